@@ -50,7 +50,8 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     for i in range(8):
         shift = shift * (x + i)
     z = x + 8
-    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * z * z)) / (z * z)) / (z * z)) / z
+    square = z * z
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / (1188 * square)) / square) / square) / square) / z
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
 
 

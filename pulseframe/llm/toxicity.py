@@ -69,7 +69,7 @@ class SubwordSoftmax:
         self.softmax = draw.normal(0, 1 / math.sqrt(DIM), (DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, dtype=np.float32)
         self.base = 0.0
-        self.offset = 0.0
+        self.offset = math.inf
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> SubwordSoftmax:
         docs = [words_of(t) for t in texts]

@@ -17,7 +17,7 @@ replaces its own files with equal ones.
 Semantics. A null html is an empty payload; a null url has the key "" and URI "null:".
 Rows that repeat a page_id are captures of their own. A null page_id is above all
 others: such a row is a revisit if its payload has a response. Pages carry no time;
-the default capture time is EPOCH plus page_id seconds. An empty table gives an empty
+the default capture time is EPOCH plus page_id seconds (none for a null id). An empty table gives an empty
 archive and index. Extra columns are ignored.
 """
 
