@@ -14,8 +14,15 @@ values, and values of common passages cost nothing. Within a list no pairs are
 emitted at first: each member meets only the list's smallest and largest document,
 and of those one best partner by estimate is verified. Connected documents are then
 labelled; only lists that still span several components are opened, and only pairs
-from different components are compared there. A hot group of near copies is one
-component by then.
+from different components are compared there.
+
+Crowded lists. An open list of over CROWD members is not paired. Its documents get a
+deeper sketch of DEEP values, the full set for most, and are listed anew. A copy with
+many edits has many values that no other document of the crowd has; they fill its
+places, so it meets nobody, as it must. For sets of up to 0.85 * DEEP the places are
+exact: the smaller set of a pair needs 2 * 0.85 / 1.85 of its values in common, the
+larger one 0.85. Stars and components go first there too, so that a hot group of
+near copies is one component before any list is opened.
 
 Components are labelled by hooking and pointer jumping over tables in the shared
 folder; nothing but counts reaches the driver.
@@ -46,6 +53,9 @@ K = 24
 NEEDED = 10
 #: Part of the union sketch that must match for a pair to be verified: 10 of 24.
 ESTIMATE = 0.4
+#: Members beyond which an open list is sketched deeper, and the values of that sketch.
+CROWD = 50
+DEEP = 1024
 MEMORY = 400_000
 _MULTIPLIERS = np.array([(xxhash.xxh3_64_intdigest(b"shingle %d" % i) | 1) for i in range(SHINGLE)], dtype=np.uint64)
 
@@ -151,34 +161,41 @@ class NearDuplicates:
         self.members = self.scratch.keep(self._listed(named), "members")
         self.links = self._links(named)
 
-    def _listed(self, named: DataFrame) -> DataFrame:
-        """(value, id): the inverted lists of two documents or more."""
-        postings = self.scratch.keep(named.select("id", "n", F.explode("sketch").alias("value")), "postings")
-        frequency = self.scratch.keep(postings.groupBy("value").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"), "frequency")
-        counted = postings.join(frequency, "value").select("id", "n", "value", "holders")
-        # a document's values that no other one has come first and fill places of the prefix
-        per_doc = counted.groupBy("id").agg(
-            F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("shared")
-        )
-        prefix = F.least(F.size("shared"), F.size("shared") - needed(F.col("n")) + 1)
-        return (
-            per_doc.filter(prefix > 0)
-            .select("id", F.explode(F.slice("shared", F.lit(1), prefix)).alias("entry"))
-            .select(F.col("entry.value").alias("value"), "id")
+    def _ranked(self, sets: DataFrame, name: str) -> DataFrame:
+        """(id, n, value, place): sketch values that several documents have, placed by rarity from 1.
+
+        ``sets``: id, n (size of the full set) and sketch. Values of one document alone take the first places.
+        """
+        postings = sets.select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
+        postings = self.scratch.keep(postings, f"{name}_postings")
+        frequency = postings.groupBy("value").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+        frequency = self.scratch.keep(frequency, f"{name}_frequency")
+        per_doc = (
+            postings.join(frequency, "value")
+            .groupBy("id")
+            .agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("shared"))
         )
+        placed = per_doc.select("id", "n", (F.col("size") - F.size("shared") + 1).alias("first"), F.posexplode("shared").alias("at", "entry"))
+        return placed.select("id", "n", F.col("entry.value").alias("value"), (F.col("first") + F.col("at")).alias("place"))
+
+    def _listed(self, named: DataFrame) -> DataFrame:
+        """(value, id): the inverted lists."""
+        size = F.least(F.col("n"), F.lit(K))
+        return self._ranked(named, "wide").filter(F.col("place") <= size - needed(F.col("n")) + 1).select("value", "id")
+
+    def _sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(id, hashes) of the documents in ``ids``."""
+        ids = self.scratch.keep(ids, f"{name}_ids")
+        held = with_small_side(self.docs, ids, ["id"], "left_semi", ids.count()).dropDuplicates(["id"])
+        return self.scratch.keep(full_sets(held), f"{name}_sets")
 
-    def _verified(self, pairs: DataFrame, name: str) -> DataFrame:
+    def _verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        wanted = self.scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{name}_ids")
-        held = with_small_side(self.docs, wanted, ["id"], "left_semi", wanted.count()).dropDuplicates(["id"])
-        sets = self.scratch.keep(full_sets(held), f"{name}_sets")
         first, second = sets.toDF("a", "of_a"), sets.toDF("b", "of_b")
         both = F.size(F.array_intersect("of_a", "of_b"))
         either = F.size("of_a") + F.size("of_b") - both
         found = pairs.join(first, "a").join(second, "b").filter(100 * both >= 85 * either).select("a", "b")
-        found = self.scratch.keep(found, f"{name}_links")
-        self.scratch.drop(f"{name}_ids", f"{name}_sets")
-        return found
+        return self.scratch.keep(found, f"{name}_links")
 
     def _estimated(self, pairs: DataFrame, named: DataFrame) -> DataFrame:
         """The pairs that may be similar by size and sketch, with the estimate."""
@@ -187,34 +204,67 @@ class NearDuplicates:
         sized = pairs.join(first, "a").join(second, "b").filter("100 * least(n_a, n_b) >= 85 * greatest(n_a, n_b)")
         return sized.select("a", "b", estimate(F.col("s_a"), F.col("s_b")).alias("near")).filter(F.col("near") >= ESTIMATE)
 
-    def _links(self, named: DataFrame) -> DataFrame:
-        ends = self.scratch.keep(self.members.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")), "ends")
+    def _stars(self, members: DataFrame, named: DataFrame, name: str) -> DataFrame:
+        """For each listed document the best pair with the smallest or largest document of one of its lists."""
+        ends = self.scratch.keep(members.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")), f"{name}_ends")
         star = (
-            self.members.join(ends, "value")
+            members.select("value", "id")
+            .join(ends, "value")
             .select("id", F.explode(F.array("low", "high")).alias("hub"))
             .filter("id != hub")
-            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"), "id")
+            .distinct()
+            .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
             .distinct()
         )
-        scored = self.scratch.keep(self._estimated(star, named).join(star, ["a", "b"]), "scored")
-        best = scored.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b"))).alias("pair"))
-        first = self._verified(self.scratch.keep(best.select("pair.*").distinct(), "best"), "star")
-        component = components(self.scratch, first, "early")
-        # what the stars left open: pairs of different components that share a list
-        labelled = self.scratch.keep(
-            self.members.join(component, "id", "left").select("value", "id", F.coalesce("component", "id").alias("component")), "labelled"
-        )
-        split = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        split = self.scratch.keep(split.select("value"), "split")
-        left = labelled.join(split, "value", "left_semi")
-        left = self.scratch.keep(left, "open")
-        a = left.select("value", F.col("id").alias("a"), F.col("component").alias("of_a"))
-        b = left.select("value", F.col("id").alias("b"), F.col("component").alias("of_b"))
-        open_pairs = a.join(b, "value").filter("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        late = self.scratch.keep(self._estimated(open_pairs, named).select("a", "b"), "late")
-        second = self._verified(late, "open")
-        self.scratch.drop("postings", "frequency", "scored", "labelled", "open", "late", "best")
-        return first.unionByName(second)
+        scored = self.scratch.keep(self._estimated(star, named), f"{name}_scored")
+        ends_of = scored.select(F.explode(F.array("a", "b")).alias("id"), "a", "b", "near")
+        best = ends_of.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("near", -F.col("a"), -F.col("b"))).alias("pair"))
+        return self.scratch.keep(best.select("pair.*").distinct(), f"{name}_best")
+
+    def _open(self, members: DataFrame, component: DataFrame, name: str) -> DataFrame:
+        """Members, with their component, of the lists that span several, and how many the list has."""
+        labelled = members.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        labelled = self.scratch.keep(labelled, f"{name}_labelled")
+        lists = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+        lists = self.scratch.keep(lists.filter("low < high").select("value", "members"), f"{name}_lists")
+        return self.scratch.keep(labelled.join(lists, "value"), f"{name}_open")
+
+    def _links(self, named: DataFrame) -> DataFrame:
+        star = self._stars(self.members, named, "star")
+        links = self._verified(star, self._sets(star.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "star"), "star")
+        opened = self._open(self.members, components(self.scratch, links, "early"), "wide")
+        few = opened.filter(F.col("members") <= CROWD)
+        a = few.select("value", F.col("id").alias("a"), F.col("component").alias("of_a"))
+        b = few.select("value", F.col("id").alias("b"), F.col("component").alias("of_b"))
+        pairs = a.join(b, "value").filter("of_a < of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        late = self.scratch.keep(self._estimated(pairs, named).select("a", "b"), "late")
+        late_links = self._verified(late, self._sets(late.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "late"), "late")
+        links = links.unionByName(late_links)
+        self.scratch.drop("wide_postings", "wide_frequency", "star_sets", "late_sets", "star_scored", "wide_labelled")
+        return links.unionByName(self._crowded(opened.filter(F.col("members") > CROWD).select("id").distinct(), links, named))
+
+    def _crowded(self, ids: DataFrame, links: DataFrame, named: DataFrame) -> DataFrame:
+        """Links among the documents of crowded lists, by their deeper sketches."""
+        sets = self._sets(ids, "deep")
+        deep = sets.select("id", F.size("hashes").alias("n"), F.slice("hashes", 1, DEEP).alias("sketch"))
+        size, n = F.least(F.col("n"), F.lit(DEEP)), F.col("n")
+        exact = n < F.lit(0.85) * DEEP
+        # what any partner shares at least, and any partner that is no smaller
+        any_size = F.when(exact, F.ceil(n * 85 / 100)).when(n <= DEEP, F.floor(n * F.lit(0.82))).otherwise(F.floor(size * F.lit(0.78)))
+        no_smaller = F.when(exact, F.ceil(n * 170 / 185)).otherwise(any_size)
+        members = self._ranked(deep, "deep").filter(F.col("place") <= size - any_size + 1)
+        members = self.scratch.keep(members.withColumn("leads", F.col("place") <= size - no_smaller + 1), "deep_members")
+        star = self._stars(members, named, "deep_star")
+        found = self._verified(star, sets, "deep_star")
+        component = components(self.scratch, links.unionByName(found), "late")
+        opened = self._open(members, component, "deep")
+        x = opened.select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"), F.col("leads").alias("leads_a"))
+        y = opened.filter("leads").select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"))
+        # y is the smaller set; of equal sets both must lead, and the smaller id stands for y
+        sized = "n_b <= n_a AND 100 * n_b >= 85 * n_a AND (n_b < n_a OR (leads_a AND b < a))"
+        pairs = x.join(y, "value").filter(f"of_a != of_b AND {sized}").select("a", "b").distinct()
+        pairs = self.scratch.keep(pairs, "deep_pairs")
+        return found.unionByName(self._verified(pairs, sets, "deep"))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for each row."""
