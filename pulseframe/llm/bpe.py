@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import free_name, table, texts_of, utf8
 
-#: Pieces that a task remembers before it starts anew.
-MEMORY = 300_000
+#: Pieces that a worker remembers before it starts anew (some 250 bytes each).
+MEMORY = 800_000
 NEVER = 1 << 62
 #: White space as the tokenizer's own pattern engine has it, without the separators U+001C to U+001F.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -47,6 +47,7 @@ class Codec:
         self.longest = max(map(len, ranks))
         self.split = regex.compile(with_plain_space(pattern)).findall
         self.tokens = {i: b for b, i in ranks.items()}
+        self.names = {i: b"%d " % i for i in self.tokens}
         self.known: dict[str, tuple[int, bytes, bytes]] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -63,18 +64,7 @@ class Codec:
             left, right = tree[2 * i], tree[2 * i + 1]
             tree[i] = left if left <= right else right
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def put(leaf: int, rank: int) -> None:
-            at = size + leaf
-            tree[at] = rank
-            while at > 1:
-                at >>= 1
-                left, right = tree[2 * at], tree[2 * at + 1]
-                least = left if left <= right else right
-                if tree[at] == least:
-                    break
-                tree[at] = least
-
+        get = ranks.get
         while (least := tree[1]) != NEVER:
             at = 1
             while at < size:
@@ -84,17 +74,32 @@ class Codec:
             here = at - size
             gone = after[here]
             beyond = after[gone]
+            left = before[here]
             after[here] = beyond
-            put(gone, NEVER)
+            tree[size + gone] = tree[at] = NEVER
             if beyond < n:
                 before[beyond] = here
                 end = after[beyond]
-                put(here, ranks.get(piece[here:end], NEVER) if end - here <= longest else NEVER)
+                if end - here <= longest:
+                    tree[at] = get(piece[here:end], NEVER)
+            if left < 0:
+                left = here
             else:
-                put(here, NEVER)
-            left = before[here]
-            if left >= 0:
-                put(left, ranks.get(piece[left:beyond], NEVER) if beyond - left <= longest else NEVER)
+                tree[size + left] = get(piece[left:beyond], NEVER) if beyond - left <= longest else NEVER
+            # the three leaves' parents, level by level; they soon coincide
+            a, b, c = size + left, at, size + gone
+            while a > 1:
+                a >>= 1
+                b >>= 1
+                c >>= 1
+                x, y = tree[2 * a], tree[2 * a + 1]
+                tree[a] = x if x <= y else y
+                if b != a:
+                    x, y = tree[2 * b], tree[2 * b + 1]
+                    tree[b] = x if x <= y else y
+                if c != b:
+                    x, y = tree[2 * c], tree[2 * c + 1]
+                    tree[c] = x if x <= y else y
         out, at = [], 0
         while at < n:
             out.append(ranks[piece[at : after[at]]])
@@ -112,7 +117,7 @@ class Codec:
         if len(self.known) >= MEMORY:
             self.known.clear()
         ids = self.encode_piece(utf8(piece))
-        entry = (len(ids), b"".join(b"%d " % i for i in ids), self.decode(ids))
+        entry = (len(ids), b"".join(map(self.names.__getitem__, ids)), self.decode(ids))
         if len(piece) <= 64:
             self.known[piece] = entry
         return entry
@@ -120,13 +125,10 @@ class Codec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by spaces, SHA-256 of the decoded bytes."""
         known, learn = self.known.get, self.learn
-        n, names, decoded = 0, [], []
-        for piece in self.split(text):
-            entry = known(piece) or learn(piece)
-            n += entry[0]
-            names.append(entry[1])
-            decoded.append(entry[2])
-        return n, hashlib.sha256(b"".join(names)[:-1]).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+        entries = [known(piece) or learn(piece) for piece in self.split(text)]
+        names = b"".join([e[1] for e in entries])[:-1]
+        decoded = b"".join([e[2] for e in entries])
+        return sum([e[0] for e in entries]), hashlib.sha256(names).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 _codecs: dict[tuple, Codec] = {}
