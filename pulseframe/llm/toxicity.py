@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -72,32 +73,37 @@ class SubwordSoftmax:
         self.offset = math.inf
 
     def fit(self, texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> SubwordSoftmax:
-        docs = [words_of(t) for t in texts]
-        labels = np.array([y for y, d in zip(labels, docs, strict=True) if d], dtype=np.int64)
-        docs = [d for d in docs if d]
-        if not docs:
+        number: dict[bytes, int] = {}
+        words, flat, sizes = array("i"), array("i"), array("i")
+        begins, owner, kept = array("q"), array("i"), []
+        for text, label in zip(texts, labels, strict=True):
+            at = len(words)
+            for word in words_of(text):
+                if (known := number.get(word)) is None:
+                    known = number[word] = len(number)
+                    buckets = subwords(word)
+                    flat.extend(buckets)
+                    sizes.append(len(buckets))
+                words.append(known)
+            if len(words) > at:
+                begins.extend(range(at, len(words), PASSAGE))
+                owner.extend([len(kept)] * (len(begins) - len(owner)))
+                kept.append(label)
+        del number
+        labels, n_docs = np.array(kept, dtype=np.int64), len(kept)
+        if not n_docs:
             return self
         self.base = float(labels.mean())
-        number: dict[bytes, int] = {}
-        words = np.concatenate([np.fromiter((number.setdefault(w, len(number)) for w in d), np.int64, len(d)) for d in docs])
-        bags = [subwords(w) for w in number]
-        sizes = np.array([len(b) for b in bags])
-        flat, flat_at = np.concatenate([np.array(b) for b in bags]), np.concatenate([[0], np.cumsum(sizes)])
-        begins, owner, at = [], [], 0
-        for d, own in enumerate(docs):
-            cuts = range(0, len(own), PASSAGE)
-            begins += [at + c for c in cuts]
-            owner += [d] * len(cuts)
-            at += len(own)
-        begins, owner = np.array(begins), np.array(owner)
+        words, flat, sizes, owner, begins = (np.asarray(x) for x in (words, flat, sizes, owner, begins))
+        flat_at = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.append(begins[1:], len(words))
-        first_of_doc = np.searchsorted(owner, np.arange(len(docs)))
+        first_of_doc = np.searchsorted(owner, np.arange(n_docs))
         draw = np.random.default_rng(seed)
         seen = np.full(self.embeddings.shape, DAMPING, dtype=np.float32), np.full(self.softmax.shape, 1e-6, dtype=np.float32), np.full(2, 1e-6, dtype=np.float32)
         weight_of = np.where(labels == 1, 0.5 / max(self.base, 1e-6), 0.5 / max(1 - self.base, 1e-6))
         for epoch in range(epochs):
             if epoch == 0:
-                chosen = draw.permutation(len(begins))[: 8 * len(docs)]
+                chosen = draw.permutation(len(begins))[: 8 * n_docs]
             else:
                 logit = self.logits(flat, flat_at, sizes, words, begins, ends)
                 order = np.lexsort((-logit, owner))
