@@ -39,6 +39,8 @@ from .common import Scratch, crc_mod, table, texts_of, utf8
 
 DEPTH = 4
 BLOCK_BYTES = 32_000_000
+#: Bytes of text that are taken apart at once: some 60 times as many bytes of arrays.
+CHUNK_BYTES = 2 << 20
 END = 255
 HELD_OUT = 2
 _NODES = 1 << 16
@@ -81,6 +83,18 @@ def grams_of(bodies: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.nd
     return packed[inside[: len(packed)]], sizes
 
 
+def chunked(sizes: list[int], most: int = CHUNK_BYTES):
+    """Ranges of consecutive texts of about ``most`` bytes together, or of one longer text."""
+    begin = held = 0
+    for at, size in enumerate(sizes):
+        if at > begin and held + size > most:
+            yield begin, at
+            begin, held = at, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
 class Trees:
     """Weighted context trees of depth ``depth`` down to 2 for (context, byte) strings that share their last two context bytes."""
 
@@ -169,21 +183,21 @@ def gathered(blocks: DataFrame, depth: int) -> DataFrame:
 
         for batch in batches:
             of_block, of_train = np.asarray(batch.column(0)), np.asarray(batch.column(1).to_pylist(), dtype=bool)
-            bodies = [utf8(t).lower() for t in texts_of(batch, "text")]
             for block in np.unique(of_block).tolist():
                 counter = words.setdefault(block, Counter())
-                own = np.flatnonzero(of_block == block)
                 more = []
                 for train in (True, False):
-                    chosen = [bodies[i] for i in own[of_train[own] == train].tolist()]
-                    for body in chosen:
-                        if train:
-                            counter.update(body.split())
-                        else:
-                            for w in set(body.split()):
-                                counter.setdefault(w, 0)
-                    if chosen:
-                        unique, n = np.unique(grams_of(chosen, depth)[0], return_counts=True)
+                    own = batch.filter(pa.array((of_block == block) & (of_train == train)))
+                    sizes = pc.binary_length(own.column(2)).to_pylist()
+                    for begin, end in chunked(sizes):
+                        bodies = [utf8(t).lower() for t in texts_of(own.slice(begin, end - begin), "text")]
+                        for body in bodies:
+                            if train:
+                                counter.update(body.split())
+                            else:
+                                for w in set(body.split()):
+                                    counter.setdefault(w, 0)
+                        unique, n = np.unique(grams_of(bodies, depth)[0], return_counts=True)
                         more.append((unique, n if train else np.zeros_like(n)))
                 settle(block, more)
         for block in sorted(words):
@@ -254,16 +268,13 @@ class ContextTreeModel:
 
     def scored(self) -> DataFrame:
         """doc_id, train and the scores of each document."""
-        nothing = {"gram": "long", "log10": "double", "word": "binary", "c": "long", "doc_id": None, "text": "string", "train": "boolean"}
         id_type = self.blocks.schema["doc_id"].dataType
-
-        def filled(df, **have):
-            return df.select("block", *(have[c].alias(c) if c in have else F.lit(None).cast(t or id_type).alias(c) for c, t in nothing.items()))
-
-        strings = self.gathered.filter("gram IS NOT NULL").select("block", "gram").join(self.model, "gram")
-        words = self.gathered.filter("word IS NOT NULL").select("block", "word").join(self.words, "word")
-        rows = filled(strings, gram=F.col("gram"), log10=F.col("log10")).unionByName(filled(words, word=F.col("word"), c=F.col("c")))
-        rows = rows.unionByName(filled(self.blocks, doc_id=F.col("doc_id"), text=F.col("text"), train=F.col("train")))
+        strings = self.gathered.filter("gram IS NOT NULL").select("block", "gram").join(self.model, "gram").select("block", "gram", "log10")
+        words = self.gathered.filter("word IS NOT NULL").select("block", "word").join(self.words, "word").select("block", "word", "c")
+        tables = strings.mapInArrow(packed_strings, PACKED).unionByName(words.mapInArrow(packed_words, PACKED))
+        empty = {c: F.lit(None).cast(t).alias(c) for c, t in (("doc_id", id_type), ("text", "string"), ("train", "boolean"))}
+        documents = self.blocks.select("block", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("boolean").alias("of_words"), "doc_id", "text", "train")
+        rows = tables.select("block", "keys", "numbers", "of_words", *empty.values()).unionByName(documents)
         # a block's strings and words come before its documents
         dealt = rows.repartition(self.parts, "block").sortWithinPartitions("block", F.col("text").isNotNull())
         depth, train_tokens, train_docs = self.depth, self.train_tokens, self.train_docs
@@ -271,36 +282,39 @@ class ContextTreeModel:
         schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("train", T.BooleanType()), *(T.StructField(n, t) for n, t in SCORED)])
 
         def run(batches):
-            block, keys, values, counts, ready = None, [], [], {}, None
+            block, strings, counts, ready = None, [], {}, None
             end = math.log10((train_docs + 1) / whole)
             for batch in batches:
-                of_block = np.asarray(batch.column(0))
-                for begin in np.flatnonzero(np.concatenate([[True], of_block[1:] != of_block[:-1]])).tolist():
-                    until = int(np.searchsorted(of_block, of_block[begin], side="right"))
-                    if of_block[begin] != block:
-                        block, keys, values, counts, ready = int(of_block[begin]), [], [], {}, None
-                    part = batch.slice(begin, until - begin)
-                    gram, word, text = part.column(1), part.column(3), part.column(6)
-                    if gram.null_count < len(part):
-                        has = gram.is_valid()
-                        keys.append(gram.filter(has))
-                        values.append(np.asarray(part.column(2).filter(has)))
-                    if word.null_count < len(part):
-                        has = word.is_valid()
-                        counts.update(zip(word.filter(has).to_pylist(), part.column(4).filter(has).to_pylist(), strict=True))
-                    if text.null_count < len(part):
-                        own = part.filter(text.is_valid())
-                        if ready is None:
-                            ready = pa.concat_arrays(keys), np.concatenate(values)
-                            keys, values = [], []
-                        yield of_documents(own, ready, counts, end)
+                of_block, sizes = np.asarray(batch.column(0)), pc.fill_null(pc.binary_length(batch.column(5)), 0).to_pylist()
+                is_text = np.asarray(batch.column(5).is_valid())
+                at = 0
+                while at < batch.num_rows:
+                    if of_block[at] != block:
+                        block, strings, counts, ready = of_block[at], [], {}, None
+                    if not is_text[at]:
+                        numbers = np.frombuffer(batch.column(2)[at].as_py(), dtype=np.float64)
+                        keys = batch.column(1)[at].as_py()
+                        if batch.column(3)[at].as_py():
+                            counts.update(zip(keys.split(b" "), numbers.tolist(), strict=True))
+                        else:
+                            strings.append((np.frombuffer(keys, dtype=np.int64), numbers))
+                        at += 1
+                        continue
+                    if ready is None:
+                        grams, logs = (np.concatenate(x) for x in zip(*strings, strict=True))
+                        strings, ready = [], (pa.array(grams), logs)
+                    begin, held = at, 0
+                    while at < batch.num_rows and of_block[at] == block and (at == begin or held + sizes[at] <= CHUNK_BYTES):
+                        held += sizes[at]
+                        at += 1
+                    yield of_documents(batch.slice(begin, at - begin), ready, counts, end)
 
         def of_documents(own, ready, counts, end):
-            bodies = [utf8(t).lower() for t in own.column(6).to_pylist()]
+            bodies = [utf8(t).lower() for t in own.column(5).to_pylist()]
             n_tokens, n_known, base = [], [], []
             for body in bodies:
                 words = body.split()
-                c = np.fromiter(map(counts.get, words, [0] * len(words)), np.int64, len(words))
+                c = np.fromiter(map(counts.get, words, [0.0] * len(words)), np.float64, len(words))
                 n_tokens.append(len(words) + 1)
                 n_known.append(int((c > 0).sum()) + (train_docs > 0))
                 base.append(float(np.log10((c + 1) / whole).sum()) + end)
@@ -308,13 +322,48 @@ class ContextTreeModel:
             slot = pc.index_in(pa.array(packed), value_set=ready[0])
             score = np.add.reduceat(ready[1][np.asarray(slot)], np.cumsum(sizes) - sizes)
             return pa.RecordBatch.from_arrays(
-                [own.column(5), own.column(7), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(bodies), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes - 1)],
+                [own.column(4), own.column(6), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(bodies), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes - 1)],
                 names=schema.names,
             )
 
         return dealt.mapInArrow(run, schema)
 
 
+PACKED = "block int, keys binary, numbers binary, of_words boolean"
+
+
+def packed_by_block(batches, pack, of_words: bool, most: int = 1 << 20):
+    """Rows (block, key, number) as one row for each block and ``most`` rows: keys and numbers back to back."""
+
+    def flush(held):
+        table = pa.Table.from_batches(held)
+        order = np.argsort(np.asarray(table.column(0)), kind="stable")
+        block, key, number = table.take(pa.array(order)).combine_chunks().columns
+        block = np.asarray(block)
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        rows = [(int(block[a]), pack(key.slice(a, b - a)), np.asarray(number.slice(a, b - a)).astype(np.float64).tobytes(), of_words) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["block", "keys", "numbers", "of_words"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= most:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def packed_strings(batches):
+    return packed_by_block(batches, lambda keys: np.asarray(keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys).tobytes(), False)
+
+
+def packed_words(batches):
+    return packed_by_block(batches, lambda keys: b" ".join(keys.to_pylist()), True)
+
+
 def op2_context_tree(spark, sf_dir):
     scored = ContextTreeModel(table(spark, sf_dir, "documents")).scored()
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
