@@ -256,7 +256,7 @@ query("sleep_union", union_sql("subject_id, night"))(lambda t: union_sleep(t))
 query("sleep_union_by_stage", union_sql("subject_id, night, stage"))(lambda t: union_sleep(t, "stage"))
 
 
-@query("best_source_daily", """, p AS (SELECT subject_id, type, source_name, start_ts::DATE AS d, sum(value) AS v FROM rec GROUP BY ALL), b AS (SELECT subject_id, type, d, max(v) AS v FROM p GROUP BY ALL)
+@query("best_source_daily", """, p AS (SELECT subject_id, type, source_name, start_ts::DATE AS d, sum(value) AS v FROM rec WHERE type IN ('step_count', 'active_energy', 'distance_walking_running') GROUP BY ALL), b AS (SELECT subject_id, type, d, max(v) AS v FROM p GROUP BY ALL)
 SELECT subject_id, CAST(d AS VARCHAR) AS d, round(max(CASE WHEN type = 'step_count' THEN v END), 4) AS steps, round(max(CASE WHEN type = 'active_energy' THEN v END), 4) AS act_kcal, round(max(CASE WHEN type = 'distance_walking_running' THEN v END), 4) AS km FROM b GROUP BY subject_id, d""")
 def best_source_daily(t: Tables) -> DataFrame:
     """AG-06, AG-07."""
@@ -449,7 +449,7 @@ ro AS (SELECT a.subject_id, a.d, """ + rd("avg(b.v)", 2) + """ AS mean, count(*)
 
 
 def hrv_days(t: Tables) -> DataFrame:
-    return t.rec.filter("type = 'hrv'").groupBy("subject_id", F.to_date("start_ts").alias("d")).agg(F.round(F.avg("value"), 1).alias("v"))
+    return t.rec.filter("type = 'hrv'").groupBy("subject_id", F.to_date("start_ts").alias("d")).agg(F.round(F.round(F.avg("value"), 9), 1).alias("v"))
 
 
 @query("rolling_mean", ROLL_SQL + "SELECT subject_id, CAST(d AS VARCHAR) AS d, mean FROM ro")

@@ -57,7 +57,8 @@ def utc_second(ts: Column) -> Column:
 
 def exported(text: Column) -> Column:
     """An instant from ``YYYY-MM-DD HH:MM:SS +HHMM`` or ISO 8601 text, else null."""
-    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss Z")), F.try_to_timestamp(text))
+    dated = F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), text)  # no "yesterday"
+    return F.coalesce(F.try_to_timestamp(dated, F.lit("yyyy-MM-dd HH:mm:ss Z")), F.try_to_timestamp(dated))
 
 
 def wired(text: Column) -> Column:

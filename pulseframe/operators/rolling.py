@@ -14,11 +14,14 @@ def day_window(by: list[str], day: str, first: int, last: int) -> Window:
 
 
 def rolling_mean(df: DataFrame, by: list[str], day: str, value: str, days: int, least: int | None = None) -> DataFrame:
-    """Mean over the last ``days`` calendar days, where they hold ``least`` readings."""
+    """Mean over the last ``days`` calendar days, where they hold ``least`` readings.
+
+    Rounded twice, so that the order of a sum doesn't decide about a half.
+    """
     least = least or max(2, days // 6)
     w = day_window(by, day, 1 - days, 0)
     known = df.filter(F.col(value).isNotNull())
-    out = known.select(*by, day, F.round(F.avg(value).over(w), 2).alias("mean"), F.count(value).over(w).alias("_n"))
+    out = known.select(*by, day, F.round(F.round(F.avg(value).over(w), 9), 2).alias("mean"), F.count(value).over(w).alias("_n"))
     return out.filter(F.col("_n") >= least).drop("_n")
 
 

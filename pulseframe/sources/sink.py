@@ -6,6 +6,9 @@ time; readers see whole files.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,9 @@ from .identity import HASHES, parent_hash
 
 def new_rows(batch: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the batch, one for each key, whose key the table lacks. The table is read for its keys alone."""
-    return batch.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+    known = table.select(*(F.col(k).alias(f"_known_{k}") for k in keys))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys))
+    return batch.dropDuplicates(keys).join(known, same, "left_anti")
 
 
 class Store:
@@ -39,9 +44,10 @@ class Store:
     def add(self, name: str, batch: DataFrame) -> int:
         """Appends what is new; how many rows that was."""
         keys = KEYS[name]
+        batch = batch.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name].fields))
         fresh = new_rows(batch, self.read(name), keys) if keys else batch
         before = self.read(name).count()
-        fresh.select(*TABLES[name].names).write.mode("append").parquet(self.path(name))
+        fresh.write.mode("append").parquet(self.path(name))
         return self.read(name).count() - before
 
     def ingest(self, frames: dict[str, DataFrame], archive: str = "", subject: str | None = None) -> dict[str, int]:
