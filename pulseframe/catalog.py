@@ -715,3 +715,65 @@ def readiness(t: Tables) -> DataFrame:
     known = t.rec.select("subject_id").distinct().withColumns({"hr_max": F.lit(190.0), "resting_hr": F.lit(60.0)})
     out = score(nights(t.seg, records, ["subject_id"]), t.wk, t.rec, known, ["subject_id"])
     return text(out.select("subject_id", "night", "readiness", "readiness_band", "acwr", "penalty", "recommendation"), "night")
+
+
+@query("sleep_scores", """, n AS (SELECT subject_id, (start_ts + INTERVAL 6 HOUR)::DATE AS night, sum(date_diff('second', start_ts, end_ts)) FILTER (WHERE stage IN ('asleep', 'core', 'deep', 'rem')) / 3600.0 AS h, sum(date_diff('second', start_ts, end_ts)) FILTER (WHERE stage IN ('deep', 'rem')) / 3600.0 AS d, count(*) FILTER (WHERE stage = 'awake') AS w FROM seg GROUP BY ALL),
+p AS (SELECT subject_id, night, CASE WHEN h IS NOT NULL THEN greatest(0, least(100, CASE WHEN h <= 8 THEN 100 - 20 * (8 - h) ELSE 100 - 10 * (h - 8) END)) END AS a, CASE WHEN h <> 0 AND d IS NOT NULL THEN greatest(0, least(100, 100 * d / h / 0.45)) END AS b, greatest(0, least(100, 100 - 8 * w)) AS c FROM n)
+SELECT subject_id, CAST(night AS VARCHAR) AS night, """ + rd("(coalesce(a * 0.6, 0) + coalesce(b * 0.15, 0) + c * 0.15) / (CASE WHEN a IS NULL THEN 0 ELSE 0.6 END + CASE WHEN b IS NULL THEN 0 ELSE 0.15 END + 0.15)", 1) + """ AS score FROM p""")
+def sleep_scores(t: Tables) -> DataFrame:
+    """SR-07, SR-09: scores of nights against a need of eight hours; what is missing is left out of the mean."""
+    from .plans.recovery import sleep_inputs as inputs
+
+    nights = inputs(t.seg, ["subject_id"])
+    share = F.try_divide(F.col("deep_rem_h"), F.nullif("hours_asleep", F.lit(0.0)))
+    score = sc.sleep_score(F.col("hours_asleep"), F.lit(8.0), share, F.col("awakenings"), F.lit(None).cast("double"))
+    return text(nights.select("subject_id", "night", score.alias("score")), "night")
+
+
+@query("illness", """, z AS (SELECT row_hash, (value - 50) / 25 AS t, (value - 60) / 30 AS h FROM rec WHERE type = 'hrv'), e AS (SELECT row_hash, greatest(t - 1, 0) AS a, greatest(-h - 1, 0) AS b FROM z)
+SELECT row_hash, CAST((a > 0)::INT + (b > 0)::INT AS INT) AS count, """ + rd("a + b", 4) + """ AS pressure, (a > 0)::INT + (b > 0)::INT >= 2 AS triggered FROM e""")
+def illness(t: Tables) -> DataFrame:
+    """SR-15: signals beyond a spread in the bad direction."""
+    own = t.rec.filter("type = 'hrv'")
+    found = sc.illness({"temp": (F.col("value") - 50) / 25, "hrv": (F.col("value") - 60) / 30})
+    return own.select("row_hash", *(found[c].alias(c) for c in ("count", "pressure", "triggered")))
+
+
+STEP_SQL = """, st AS (SELECT subject_id, start_ts::DATE AS d, row_hash, row_number() OVER (PARTITION BY subject_id, start_ts::DATE ORDER BY row_hash) - 1 AS i, CAST(date_diff('second', start_ts, end_ts) AS DOUBLE) AS s FROM seg),
+bl AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE 1 + (i - 1) // 4 END AS blk, CASE WHEN i = 0 THEN 0 ELSE (i - 1) % 2 END AS slot FROM st),
+sz AS (SELECT *, count(*) OVER (PARTITION BY subject_id, d, blk) AS n, min(blk) OVER (PARTITION BY subject_id, d) AS f, max(blk) OVER (PARTITION BY subject_id, d) AS l FROM bl),
+ro AS (SELECT *, CASE WHEN n = 1 AND f < l AND blk = f THEN 'warmup' WHEN n = 1 AND f < l AND blk = l THEN 'cooldown' WHEN slot = 0 THEN 'work' ELSE 'recovery' END AS role FROM sz)
+"""
+
+
+def steps_of_days(t: Tables) -> DataFrame:
+    day = F.to_date("start_ts")
+    order = F.row_number().over(Window.partitionBy("subject_id", day).orderBy("row_hash")) - 1
+    own = t.seg.select("subject_id", day.alias("d"), "row_hash", order.alias("step_index"), "start_ts", "end_ts")
+    block = F.when(F.col("step_index") == 0, 0).otherwise(1 + F.floor((F.col("step_index") - 1) / 4)).cast("int")
+    slot = F.when(F.col("step_index") == 0, 0).otherwise((F.col("step_index") - 1) % 2).cast("int")
+    return own.withColumns({"step_block": block, "step_slot": slot})
+
+
+@query("step_roles", STEP_SQL + "SELECT row_hash, role FROM ro")
+def step_roles(t: Tables) -> DataFrame:
+    """SC-52: what each step of a structured session is."""
+    return workouts.roles(steps_of_days(t), ["subject_id", "d"]).select("row_hash", "role")
+
+
+@query("work_summary", STEP_SQL + """SELECT subject_id, CAST(d AS VARCHAR) AS d, count(*) AS steps, count(*) FILTER (WHERE role = 'work') AS work_count, count(*) FILTER (WHERE role = 'recovery') AS recovery_count,
+  round(sum(CASE WHEN role = 'work' THEN s / 1000 END), 3) AS distance_km, count(*) FILTER (WHERE role = 'work') >= 2 OR count(*) FILTER (WHERE role = 'recovery') >= 1 AS interval_structure FROM ro GROUP BY ALL""")
+def work_summary(t: Tables) -> DataFrame:
+    """AG-20, SC-51: the work of a session, its distance in metres turned to kilometres."""
+    metres = (tm.seconds(F.col("end_ts")) - tm.seconds(F.col("start_ts"))).cast("double")
+    given = steps_of_days(t).withColumns({"distance": metres, "distance_unit": F.lit("m"), "duration_unit": F.lit("min"), "step_key_path": F.lit(None).cast("string"), "step_repeat": F.lit(0), "step_successful": F.lit(True)})
+    given = given.withColumns({c: F.lit(None).cast("double") for c in ("duration", "avg_hr", "min_hr", "max_hr", "avg_speed")})
+    told = workouts.work_summary(workouts.repetition_table(given, ["subject_id", "d"], tr.named_bounds()), ["subject_id", "d"])
+    return text(told.select("subject_id", "d", "steps", "work_count", "recovery_count", "distance_km", "interval_structure"), "d")
+
+
+@query("load_per_week_board", GRID_SQL + """, rk AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY week DESC) AS k FROM gr) SELECT subject_id, CAST(week AS VARCHAR) AS week, km, n FROM rk WHERE k <= 3 AND load > 0""")
+def load_per_week_board(t: Tables) -> DataFrame:
+    """WN-24, SO-10, PR-07: the newest weeks that had load."""
+    place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("week")))
+    return text(grid(t).withColumn("k", place).filter("k <= 3 AND load > 0").select("subject_id", "week", "km", "n"), "week")
