@@ -499,8 +499,11 @@ def longest_run(t: Tables) -> DataFrame:
     return runs(t).groupBy("subject_id").agg(F.max_by("row_hash", F.struct("km", "row_hash")).alias("row_hash"), F.max("km").alias("km"))
 
 
-@query("half_against_half", ROLL_SQL + """, e AS (SELECT subject_id, max(d) AS t FROM dv GROUP BY ALL)
-SELECT subject_id, round(avg(v) FILTER (WHERE d BETWEEN t - 29 AND t - 15), 1) AS a, round(avg(v) FILTER (WHERE d BETWEEN t - 14 AND t), 1) AS b, round(avg(v) FILTER (WHERE d BETWEEN t - 14 AND t) - avg(v) FILTER (WHERE d BETWEEN t - 29 AND t - 15), 1) AS delta,
+HALF_A, HALF_B = "avg(v) FILTER (WHERE d BETWEEN t - 29 AND t - 15)", "avg(v) FILTER (WHERE d BETWEEN t - 14 AND t)"
+
+
+@query("half_against_half", ROLL_SQL + f""", e AS (SELECT subject_id, max(d) AS t FROM dv GROUP BY ALL)
+SELECT subject_id, {rd(HALF_A, 1)} AS a, {rd(HALF_B, 1)} AS b, {rd(HALF_B + " - " + HALF_A, 1)} AS delta,
   count(*) FILTER (WHERE d BETWEEN t - 29 AND t - 15) AS n_a, count(*) FILTER (WHERE d BETWEEN t - 14 AND t) AS n_b FROM dv JOIN e USING (subject_id) GROUP BY subject_id""")
 def half_against_half(t: Tables) -> DataFrame:
     """WN-23, PR-01."""
