@@ -20,39 +20,55 @@ def trailing(df: DataFrame, by: list[str], day: str, value: str, first: int, las
     return F.transform(held, lambda x: x.v)
 
 
-def sample_sd(values: Column) -> Column:
-    """Sample standard deviation; 0 below two values."""
-    mean = average(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.when(F.size(values) < 2, 0.0).otherwise(F.sqrt(squares / F.greatest(F.size(values) - 1, F.lit(1))))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def average(values: Column) -> Column:
     return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.nullif(F.size(values), F.lit(0)))
 
 
-def median(values: Column) -> Column:
-    ordered, n = F.array_sort(values), F.size(values)
+def spread(values: Column, mean: Column) -> Column:
+    """Sample standard deviation about a known mean; 0 below two values."""
+    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+    return F.when(F.size(values) < 2, 0.0).otherwise(F.sqrt(squares / F.greatest(F.size(values) - 1, F.lit(1))))
+
+
+def sample_sd(values: Column) -> Column:
+    return let(average(values), lambda mean: spread(values, mean))
+
+
+def middle(ordered: Column) -> Column:
+    """Median of a sorted array."""
+    n = F.size(ordered)
     low, high = F.get(ordered, F.floor((n - 1) / 2).cast("int")), F.get(ordered, F.floor(n / 2).cast("int"))
     return F.when(n > 0, (low + high) / 2)
 
 
+def median(values: Column) -> Column:
+    return let(F.array_sort(values), middle)
+
+
 def variation(values: Column) -> Column:
     """Coefficient of variation; null below two values or at mean 0."""
-    return F.when(F.size(values) >= 2, F.try_divide(sample_sd(values), F.nullif(F.abs(average(values)), F.lit(0.0))))
+    share = let(average(values), lambda mean: F.try_divide(spread(values, mean), F.nullif(F.abs(mean), F.lit(0.0))))
+    return F.when(F.size(values) >= 2, share)
 
 
 def rolling_variations(values: Column, width: int) -> Column:
     """Variation of each ``width`` consecutive values, where defined."""
     n = F.size(values)
     starts = F.when(n >= width, F.sequence(F.lit(1), n - width + 1)).otherwise(F.expr("CAST(array() AS array<int>)"))
-    return F.filter(F.transform(starts, lambda i: variation(F.slice(values, i, width))), lambda x: x.isNotNull())
+    blocks = F.transform(starts, lambda i: F.slice(values, i, width))
+    return F.filter(F.transform(blocks, variation), lambda x: x.isNotNull())
+
 
+def weighted_quantile(ordered: Column, total: Column, q: float) -> Column:
+    """Quantile of a sorted array of struct<v, w> of that total weight.
 
-def weighted_quantile(pairs: Column, q: float) -> Column:
-    """Quantile of an array of struct<v, w>: plotting positions (sum so far - w / 2) / sum, linear between, ends clamped."""
-    ordered = F.array_sort(pairs)
-    total = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x.w)
+    Plotting positions are (sum so far - w / 2) / total, linear between, ends clamped.
+    """
     start = F.expr("named_struct('sum', 0D, 'at', CAST(NULL AS DOUBLE), 'v', CAST(NULL AS DOUBLE), 'out', CAST(NULL AS DOUBLE))")
 
     def step(acc, x):
@@ -64,38 +80,35 @@ def weighted_quantile(pairs: Column, q: float) -> Column:
     return F.when(total > 0, F.aggregate(ordered, start, step, lambda acc: F.coalesce(acc["out"], acc.v)))
 
 
-def recency_weights(values: Column, cfg: Scoring) -> Column:
-    """Struct<v, w> of values in order of time: a weight halves every half-life of places."""
-    n, decay = F.size(values), 0.5 ** (1 / cfg.half_life)
-    return F.transform(values, lambda v, i: F.struct(v.alias("v"), (F.pow(F.lit(decay), n - 1 - i) if cfg.ewma else F.lit(1.0)).alias("w")))
-
-
-def winsorized(values: Column, cfg: Scoring) -> Column:
-    """Values cut to the median and some robust deviations around it."""
-    if not cfg.winsorize:
-        return values
-    middle = median(values)
-    spread = 1.4826 * median(F.transform(values, lambda v: F.abs(v - middle)))
-    cut = F.transform(values, lambda v: F.least(middle + cfg.winsor_k * spread, F.greatest(middle - cfg.winsor_k * spread, v)))
-    return F.when((F.size(values) >= 2) & (spread > 0), cut).otherwise(values)
-
-
 def with_baseline(df: DataFrame, values: str, prefix: str, cfg: Scoring = DEFAULT) -> DataFrame:
-    """``df`` with <prefix>_center, <prefix>_scale and <prefix>_n of an array of values in order of time."""
-    out = df.withColumn(f"{prefix}_n", F.size(values)).withColumn("_work", winsorized(F.col(values), cfg))
-    out = out.withColumn("_pairs", recency_weights(F.col("_work"), cfg))
+    """``df`` with <prefix>_center, <prefix>_scale and <prefix>_n of an array of values in order of time.
+
+    Values are cut to the median and some robust deviations around it; a weight halves
+    every half-life of places. Each step is a column of its own, so the next ones refer
+    to it instead of repeating its expression.
+    """
+    center, scale = f"{prefix}_center", f"{prefix}_scale"
+    out = df.withColumn(f"{prefix}_n", F.size(values)).withColumn("_work", F.col(values))
+    if cfg.winsorize:
+        out = out.withColumn("_mid", median(F.col(values)))
+        out = out.withColumn("_cut", cfg.winsor_k * 1.4826 * median(F.transform(values, lambda v: F.abs(v - F.col("_mid")))))
+        held = F.transform(values, lambda v: F.least(F.col("_mid") + F.col("_cut"), F.greatest(F.col("_mid") - F.col("_cut"), v)))
+        out = out.withColumn("_work", F.when((F.size(values) >= 2) & (F.col("_cut") > 0), held).otherwise(F.col(values)))
+    n, decay = F.size("_work"), 0.5 ** (1 / cfg.half_life)
+    weigh = lambda v, i: F.struct(v.alias("v"), (F.pow(F.lit(decay), n - 1 - i) if cfg.ewma else F.lit(1.0)).alias("w"))
+    out = out.withColumn("_pairs", F.array_sort(F.transform("_work", weigh)))
+    out = out.withColumn("_total", F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w))
     if cfg.robust:
-        out = out.withColumn(f"{prefix}_center", weighted_quantile(F.col("_pairs"), 0.5))
-        away = F.transform("_pairs", lambda p: F.struct(F.abs(p.v - F.col(f"{prefix}_center")).alias("v"), p.w.alias("w")))
-        out = out.withColumn(f"{prefix}_scale", F.coalesce(1.4826 * weighted_quantile(away, 0.5), F.lit(0.0)))
+        out = out.withColumn(center, weighted_quantile(F.col("_pairs"), F.col("_total"), 0.5))
+        out = out.withColumn("_away", F.array_sort(F.transform("_pairs", lambda p: F.struct(F.abs(p.v - F.col(center)).alias("v"), p.w.alias("w")))))
+        out = out.withColumn(scale, F.coalesce(1.4826 * weighted_quantile(F.col("_away"), F.col("_total"), 0.5), F.lit(0.0)))
     else:
-        total = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w)
-        squares = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w * p.w)
-        out = out.withColumn(f"{prefix}_center", F.try_divide(F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w * p.v), F.nullif(total, F.lit(0.0))))
-        away = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w * (p.v - F.col(f"{prefix}_center")) * (p.v - F.col(f"{prefix}_center")))
-        free = total - F.try_divide(squares, F.nullif(total, F.lit(0.0)))
-        out = out.withColumn(f"{prefix}_scale", F.when((F.size("_work") >= 2) & (free > 0), F.sqrt(away / free)).otherwise(0.0))
-    return out.drop("_work", "_pairs")
+        whole = F.nullif("_total", F.lit(0.0))
+        out = out.withColumn(center, F.try_divide(F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w * p.v), whole))
+        out = out.withColumn("_away", F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w * (p.v - F.col(center)) * (p.v - F.col(center))))
+        free = F.col("_total") - F.try_divide(F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p.w * p.w), whole)
+        out = out.withColumn(scale, F.when((F.size("_work") >= 2) & (free > 0), F.sqrt(F.col("_away") / free)).otherwise(0.0))
+    return out.drop("_work", "_mid", "_cut", "_pairs", "_total", "_away")
 
 
 def logs(values: Column) -> Column:

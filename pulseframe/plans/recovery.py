@@ -93,8 +93,12 @@ def recovery(sleep: DataFrame, records: DataFrame, by: list[str], cfg: sc.Scorin
     nights = nights.withColumns(held)
     nights = nights.withColumns({"hrv_logs": bl.logs(F.col("hrv_base")), "recent_logs": bl.logs(F.col("hrv_recent"))})
     nights = nights.withColumn("cv_base", bl.rolling_variations(F.col("hrv_logs"), cfg.smoothing_days))
-    for name, source in (("hrv", "hrv_logs"), ("sleeping_hr", "sleeping_hr_base"), ("resp", "resp_base"), ("temp", "temp_base"), ("hrv_cv", "cv_base")):
-        nights = bl.with_baseline(nights, source, name, cfg)
+    # one row for each night and metric: their baselines are one set of expressions
+    sources = {"hrv": "hrv_logs", "sleeping_hr": "sleeping_hr_base", "resp": "resp_base", "temp": "temp_base", "hrv_cv": "cv_base"}
+    tall = nights.select(*key, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).alias("values")) for n, c in sources.items()))).alias("m"))
+    tall = bl.with_baseline(tall.select(*key, "m.metric", "m.values"), "values", "b", cfg)
+    wide = {f"{n}_{c}": F.max(F.when(F.col("metric") == n, F.col(f"b_{c}"))) for n in sources for c in ("center", "scale")}
+    nights = nights.join(tall.groupBy(*key).agg(*(c.alias(n) for n, c in wide.items())), key)
     today = {"hrv": bl.average(F.col("recent_logs")), "sleeping_hr": F.col("sleeping_hr"), "resp": F.col("resp"), "temp": F.col("temp"), "hrv_cv": bl.variation(F.col("recent_logs"))}
     nights = nights.withColumns({f"{n}_z": sc.z_score(x, F.col(f"{n}_center"), F.col(f"{n}_scale")) for n, x in today.items()})
     share = F.try_divide(F.col("deep_rem_h"), F.nullif("hours_asleep", F.lit(0.0)))

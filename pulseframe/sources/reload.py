@@ -30,7 +30,7 @@ def only_one(path: str, patience: float = 120.0):
             fcntl.flock(file, fcntl.LOCK_UN)
 
 
-def reload(store: Store, target: str, state: str, force: bool = False, workouts_only: bool = False, subject: str | None = None) -> dict:
+def reload(store: Store, target: str, state: str, force: bool = False, workouts_only: bool = False, subject: str = "") -> dict:
     """Imports ``target`` (an archive, or the newest one in a folder); rows added by table.
 
     An import that fails leaves what it added, isn't remembered, and is repeated next time.

@@ -50,7 +50,7 @@ class Store:
         fresh.write.mode("append").parquet(self.path(name))
         return self.read(name).count() - before
 
-    def ingest(self, frames: dict[str, DataFrame], archive: str = "", subject: str | None = None) -> dict[str, int]:
+    def ingest(self, frames: dict[str, DataFrame], archive: str = "", subject: str = "") -> dict[str, int]:
         """Adds one import's frames (by table, as the sources give them) and records the run; rows added by table."""
         added = {}
         for name, frame in frames.items():
@@ -69,8 +69,12 @@ class Store:
         return found
 
 
-def hashed(name: str, frame: DataFrame, subject: str | None = None) -> DataFrame:
-    """``frame`` with its identity, its link to a parent, and the athlete."""
+def alone():
+    return F.coalesce("subject_id", F.lit("")) == ""
+
+
+def hashed(name: str, frame: DataFrame, subject: str = "") -> DataFrame:
+    """``frame`` with its identity, its link to a parent, and the athlete ("" where there is one only)."""
     if "subject_id" not in frame.columns:
         frame = frame.withColumn("subject_id", F.lit(subject))
     if name == "workout_events":
@@ -78,9 +82,9 @@ def hashed(name: str, frame: DataFrame, subject: str | None = None) -> DataFrame
     if name in HASHES:
         own = HASHES[name]()
         # with several athletes in one store the same reading of two is two rows
-        frame = frame.withColumn("row_hash", F.when(F.col("subject_id").isNull(), own).otherwise(F.md5(F.concat_ws("|", F.col("subject_id"), own))))
+        frame = frame.withColumn("row_hash", F.when(alone(), own).otherwise(F.md5(F.concat_ws("|", F.col("subject_id"), own))))
         if name == "workout_events":
-            frame = frame.withColumn("workout_hash", F.when(F.col("subject_id").isNull(), F.col("workout_hash")).otherwise(F.md5(F.concat_ws("|", F.col("subject_id"), F.col("workout_hash")))))
+            frame = frame.withColumn("workout_hash", F.when(alone(), F.col("workout_hash")).otherwise(F.md5(F.concat_ws("|", F.col("subject_id"), F.col("workout_hash")))))
     return frame
 
 
@@ -102,7 +106,7 @@ def rebuild(store: Store, name: str, target: str, max_collapse: float = 0.01) ->
 
     old = store.read(name)
     own = HASHES[name]()
-    fresh = F.when(F.col("subject_id").isNull(), own).otherwise(F.md5(F.concat_ws("|", F.col("subject_id"), own)))
+    fresh = F.when(alone(), own).otherwise(F.md5(F.concat_ws("|", F.col("subject_id"), own)))
     collapsed(old, fresh).select(*TABLES[name].names).write.mode("overwrite").parquet(target)
     before, after = old.count(), store.spark.read.parquet(target).count()
     if before and (before - after) / before > max_collapse:

@@ -14,7 +14,7 @@ from ..sources.ndjson import delta_frames, options, rejected
 from ..sources.sink import Store
 
 
-def import_batch(store: Store, lines: DataFrame, batch_id: int, subject: str | None = None) -> dict[str, int]:
+def import_batch(store: Store, lines: DataFrame, batch_id: int, subject: str = "") -> dict[str, int]:
     """One micro-batch: good lines to the tables, bad ones to ``rejected``."""
     held = lines.persist()
     try:
@@ -27,7 +27,7 @@ def import_batch(store: Store, lines: DataFrame, batch_id: int, subject: str | N
         held.unpersist()
 
 
-def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, subject: str | None = None, archive: str | None = None, once: bool = True) -> StreamingQuery:
+def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, subject: str = "", archive: str | None = None, once: bool = True) -> StreamingQuery:
     """Imports what is in ``landing``; with ``once`` it ends when that is done, else it goes on."""
     reader = options(spark.readStream.format("json")).option("maxFilesPerTrigger", 64)
     if archive is not None:
