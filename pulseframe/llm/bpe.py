@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table, texts_of, utf8
+from .common import free_name, pieces, table, texts_of, utf8
 
-#: Pieces that a worker remembers before it starts anew (some 250 bytes each).
+#: Pieces that a task remembers before it starts anew (some 300 bytes each).
 MEMORY = 800_000
 NEVER = 1 << 62
 #: White space as the tokenizer's own pattern engine has it, without the separators U+001C to U+001F.
@@ -161,7 +161,7 @@ def encode(docs: DataFrame, text: str = "text", vocab_path: str | None = None, p
 
     def run(batches):
         own = codec(held.value, pattern)
-        for batch in batches:
+        for batch in pieces(batches, text):
             ids = pa.array([own.encode(t) for t in texts_of(batch, text)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, name])
 
@@ -192,12 +192,13 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocab_p
 
     def run(batches):
         own = codec(held.value, pattern)
-        for batch in batches:
-            n, ids, back = zip(*map(own.digest, texts_of(batch, "text")), strict=True) if batch.num_rows else ((), (), ())
+        for batch in pieces(batches, "text"):
+            n, ids, back = zip(*map(own.digest, texts_of(batch, "text")), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.known.clear()  # else it would stay in the worker's memory, beside later stages
 
     return source.mapInArrow(run, T.StructType(fields))
 

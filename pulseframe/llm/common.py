@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -31,9 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="pulseframe-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    own = spark.sparkContext.applicationId
+    if own not in _local:
+        _local[own] = "file://" + tempfile.mkdtemp(prefix="pulseframe-")
+    return _local[own]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -100,6 +105,24 @@ def free_name(taken, wanted: str) -> str:
     return wanted
 
 
+#: Bytes of text that a Python worker holds as objects at a time.
+PIECE_BYTES = 4 << 20
+
+
+def pieces(batches, column: str, most: int = PIECE_BYTES):
+    """The batches in slices of about ``most`` bytes of a text column, or of one longer text; empty batches are left out."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        begin = held = 0
+        for at, size in enumerate(sizes):
+            if at > begin and held + size > most:
+                yield batch.slice(begin, at - begin)
+                begin, held = at, 0
+            held += size
+        if begin < len(sizes):
+            yield batch.slice(begin)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 

@@ -1,6 +1,6 @@
 """Benchmark decontamination by an FM-index for each shard of training documents.
 
-Method. A shard is one Arrow batch of documents. Its words become numbers (the
+Method. A shard is some SHARD_BYTES of documents. Its words become numbers (the
 benchmark's vocabulary; any other word is 0), and the stretches that could hold a
 benchmark window (each neighbouring pair of words occurs in some window, long
 enough for the shortest window) are concatenated, each closed by a separator of its
@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table, texts_of, utf8
+from .common import free_name, pieces, table, texts_of, utf8
 
 WINDOW = 13
 #: Characters of benchmark text whose windows are searched in one pass.
 BLOCK_CHARS = 32_000_000
 #: Every so many text positions the suffix array keeps its value.
 SAMPLE = 8
+#: Bytes of documents in a shard.
+SHARD_BYTES = 16 << 20
 #: Words of a shard's stretches that one index covers at most (a longer stretch has one for itself).
 SHARD_WORDS = 1 << 19
 
@@ -281,7 +283,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window:
 
         def run(batches, held=held, first=not at):
             windows = held.value
-            for batch in batches:
+            for batch in pieces(batches, text, SHARD_BYTES):
                 n_words, spans, items = search_texts(windows, texts_of(batch, text))
                 found = [[windows.items[i] for i in sorted(x)] for x in items]
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))

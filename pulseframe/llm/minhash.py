@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table, texts_of, utf8, with_small_side
+from .common import Scratch, pieces, table, texts_of, utf8, with_small_side
 from .exact_dedup import without
 
 SHINGLE = 5
@@ -56,7 +56,6 @@ ESTIMATE = 0.4
 #: Members beyond which an open list is sketched deeper, and the values of that sketch.
 CROWD = 50
 DEEP = 1024
-MEMORY = 400_000
 _MULTIPLIERS = np.array([(xxhash.xxh3_64_intdigest(b"shingle %d" % i) | 1) for i in range(SHINGLE)], dtype=np.uint64)
 
 
@@ -67,31 +66,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def set_of(self, text: str) -> np.ndarray:
-        """Sorted distinct hashes of the text's shingles."""
-        words = utf8(text).lower().split()
-        n = len(words)
-        if not n:
-            return np.empty(0, dtype=np.uint64)
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        hashes = list(map(known.get, words))
-        if None in hashes:
-            for i, h in enumerate(hashes):
-                if h is None:
-                    hashes[i] = known[words[i]] = digest(words[i])
-        h = np.array(hashes, dtype=np.uint64)
-        if n < SHINGLE:
-            return mixed(np.array([(h * _MULTIPLIERS[:n]).sum() + np.uint64(n)], dtype=np.uint64))
-        total = np.zeros(n - SHINGLE + 1, dtype=np.uint64)
-        for i in range(SHINGLE):
-            total += h[i : n - SHINGLE + 1 + i] * _MULTIPLIERS[i]
-        return np.unique(mixed(total))
+def set_of(text: str) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    words = utf8(text).lower().split()
+    n = len(words)
+    if not n:
+        return np.empty(0, dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=n)
+    if n < SHINGLE:
+        return mixed(np.array([(h * _MULTIPLIERS[:n]).sum() + np.uint64(n)], dtype=np.uint64))
+    total = np.zeros(n - SHINGLE + 1, dtype=np.uint64)
+    for i in range(SHINGLE):
+        total += h[i : n - SHINGLE + 1 + i] * _MULTIPLIERS[i]
+    return np.unique(mixed(total))
 
 
 def sketched(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -107,11 +94,10 @@ def sketched(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     )
 
     def run(batches):
-        shingler = Shingler()
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             sizes, signatures, sketches = [], [], []
             for text_ in texts_of(batch, "text"):
-                own = shingler.set_of(text_)
+                own = set_of(text_)
                 sizes.append(len(own))
                 signatures.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 sketches.append(own[:K].view(np.int64))
@@ -127,9 +113,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
     """(id, hashes) of the texts in ``docs`` (id, text)."""
 
     def run(batches):
-        shingler = Shingler()
-        for batch in batches:
-            sets = [shingler.set_of(t).view(np.int64) for t in texts_of(batch, "text")]
+        for batch in pieces(batches, "text"):
+            sets = [set_of(t).view(np.int64) for t in texts_of(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
 
     return docs.mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("hashes", T.ArrayType(T.LongType()))]))

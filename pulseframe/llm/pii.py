@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import free_name, table, texts_of
+from .common import free_name, pieces, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -211,7 +211,7 @@ def annotate(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
     def run(batches):
         find = Finder().spans
-        for batch in batches:
+        for batch in pieces(batches, text):
             rows = [[{"kind": k, "start": a, "end": b} for k, own in find(t).items() for a, b in sorted(own)] for t in texts_of(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, ARROW_SPANS)], names=[*batch.schema.names, name])
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table, texts_of, utf8
+from .common import free_name, pieces, table, texts_of, utf8
 
 SAMPLE = 20_000
 BUCKETS = 1 << 18
@@ -209,7 +209,7 @@ def voted(docs: DataFrame, text: str) -> DataFrame:
     """The votes on each text, as digits."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, votes_of(t))) for t in texts_of(batch, text)], pa.string())], names=["votes"])
 
     return docs.select(text).mapInArrow(run, "votes string")
@@ -236,7 +236,7 @@ def annotate(docs: DataFrame, labels: LabelModel, model: HashedScorer, text: str
     def run(batches):
         labels, model = held.value
         score = model.scorer()
-        for batch in batches:
+        for batch in pieces(batches, text):
             texts = texts_of(batch, text)
             weak = labels.posterior(np.array([votes_of(t) for t in texts], dtype=np.int64).reshape(-1, len(LABELLERS)))
             columns = [*batch.columns, pa.array(weak, pa.float64()), pa.array([score(t) for t in texts], pa.float64())]

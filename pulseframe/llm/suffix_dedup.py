@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, table, texts_of, utf8, with_small_side
+from .common import Scratch, pieces, table, texts_of, utf8, with_small_side
 
 SPAN = 400
 GRAM = 64
@@ -116,7 +116,7 @@ def anchored(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             ids, hashes = (np.asarray(batch.column(i)) for i in (0, 1))
             out = []
             for row, text in enumerate(texts_of(batch, "text")):
@@ -191,7 +191,7 @@ def front_coded(needed: DataFrame, owners: int) -> DataFrame:
             columns = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, SUFFIX_ARROW, strict=True)], names=SUFFIX_NAMES)
 
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             fields = batch.to_pydict()
             for id_, body, text, wanted in zip(*(fields[c] for c in (*ROW_KEY, "text", "wanted")), strict=True):
                 data = utf8(text)
@@ -416,7 +416,7 @@ class RepeatedPassages:
 
 def cut_out(batches):
     span = pa.struct([("first", pa.int64()), ("end", pa.int64())])
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         sizes, removed, kept = [], [], []
         for text, ranges in zip(texts_of(batch, "text"), batch.column(2).to_pylist(), strict=True):
             data, spans = utf8(text), []

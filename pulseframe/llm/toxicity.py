@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, free_name, table, texts_of, utf8
+from .common import crc_mod, free_name, pieces, table, texts_of, utf8
 
 SAMPLE = 8000
 BUCKETS = 1 << 17
@@ -199,7 +199,7 @@ def annotate(docs: DataFrame, model: SubwordSoftmax, text: str = "text") -> tupl
 
     def run(batches):
         score = held.value.scorer()
-        for batch in batches:
+        for batch in pieces(batches, text):
             scores = pa.array([score(t) for t in texts_of(batch, text)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
