@@ -58,7 +58,7 @@ def reference_stats(history: DataFrame, by: list[str] | None = None) -> DataFram
     by = by or []
     logs = history.filter("hrv > 0").select(*by, F.log("hrv").alias("x"))
     middle = logs.groupBy(*by).agg(F.percentile("x", F.lit(0.5)).alias("m"))
-    away = logs.join(F.broadcast(middle), by) if by else logs.crossJoin(F.broadcast(middle))  # one row
+    away = logs.join(middle, by) if by else logs.crossJoin(F.broadcast(middle))  # one row
     return away.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 5).alias("hrv_ln_mean"), F.round(F.stddev_samp("x"), 5).alias("hrv_ln_sd"),
         F.round(1.4826 * F.percentile(F.abs(F.col("x") - F.col("m")), F.lit(0.5)), 5).alias("hrv_ln_mad_scale"),
