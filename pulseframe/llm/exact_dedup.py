@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, free_name, table, with_small_side
+from .common import BROADCAST_IDS, Scratch, free_name, table, with_small_side
 
 MAX_DEPTH = 16
 #: Entries that a bucket holds at least; it grows so that the directory keeps to MAX_DEPTH.
@@ -129,7 +129,7 @@ def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> Data
     name = free_name(docs.columns, "dropped_id")
     ids = dropped.toDF(name).filter(F.col(name).isNotNull())
     rows = ids.count()
-    side = F.broadcast(ids) if rows <= 1_000_000 else ids
+    side = F.broadcast(ids) if rows <= BROADCAST_IDS else ids
     return docs.join(side, docs[doc_id] == ids[name], "left_anti")
 
 

@@ -8,11 +8,11 @@ sketches together) filters them; the exact Jaccard similarity of the full sets
 verifies what is left.
 
 Lists. Two documents of similarity >= 0.85 share at least ``needed`` retained values
-(certain for sets of up to K; for larger sets the chance of fewer is below 1e-7).
+(certain for sets of up to K; for larger sets the chance of fewer is 1.5e-7 at 0.85).
 So each document is listed under all but the ``needed - 1`` most frequent of its
 values, and values of common passages cost nothing. Within a list no pairs are
-emitted at first: each member meets only the list's smallest and largest document,
-and of those one best partner by estimate is verified. Connected documents are then
+emitted at first: each member meets only the list's smallest document and the one with
+the fewest values of its own, and of those one best partner by estimate is verified. Connected documents are then
 labelled; only lists that still span several components are opened, and only pairs
 from different components are compared there.
 
@@ -147,9 +147,9 @@ class NearDuplicates:
         self.links = self._links(named)
 
     def _ranked(self, sets: DataFrame, name: str) -> DataFrame:
-        """(id, n, value, place): sketch values that several documents have, placed by rarity from 1.
+        """(id, n, value, place, lone): sketch values that several documents have, placed by rarity from 1.
 
-        ``sets``: id, n (size of the full set) and sketch. Values of one document alone take the first places.
+        ``sets``: id, n (size of the full set) and sketch. Values of one document alone, ``lone`` in number, take the first places.
         """
         postings = sets.select("id", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
         postings = self.scratch.keep(postings, f"{name}_postings")
@@ -160,13 +160,13 @@ class NearDuplicates:
             .groupBy("id")
             .agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("holders", "value"))).alias("shared"))
         )
-        placed = per_doc.select("id", "n", (F.col("size") - F.size("shared") + 1).alias("first"), F.posexplode("shared").alias("at", "entry"))
-        return placed.select("id", "n", F.col("entry.value").alias("value"), (F.col("first") + F.col("at")).alias("place"))
+        placed = per_doc.select("id", "n", (F.col("size") - F.size("shared")).alias("lone"), F.posexplode("shared").alias("at", "entry"))
+        return placed.select("id", "n", F.col("entry.value").alias("value"), (F.col("lone") + F.col("at") + 1).alias("place"), "lone")
 
     def _listed(self, named: DataFrame) -> DataFrame:
         """(value, id): the inverted lists."""
         size = F.least(F.col("n"), F.lit(K))
-        return self._ranked(named, "wide").filter(F.col("place") <= size - needed(F.col("n")) + 1).select("value", "id")
+        return self._ranked(named, "wide").filter(F.col("place") <= size - needed(F.col("n")) + 1).select("value", "id", "lone")
 
     def _sets(self, ids: DataFrame, name: str) -> DataFrame:
         """(id, hashes) of the documents in ``ids``."""
@@ -190,8 +190,13 @@ class NearDuplicates:
         return sized.select("a", "b", estimate(F.col("s_a"), F.col("s_b")).alias("near")).filter(F.col("near") >= ESTIMATE)
 
     def _stars(self, members: DataFrame, named: DataFrame, name: str) -> DataFrame:
-        """For each listed document the best pair with the smallest or largest document of one of its lists."""
-        ends = self.scratch.keep(members.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")), f"{name}_ends")
+        """For each listed document the best pair with a hub of one of its lists.
+
+        Hubs are the document with the fewest values of its own, which stands nearest to
+        what the list has in common, and the smallest.
+        """
+        central = F.min_by("id", F.struct("lone", "id"))
+        ends = self.scratch.keep(members.groupBy("value").agg(F.min("id").alias("low"), central.alias("high")), f"{name}_ends")
         star = (
             members.select("value", "id")
             .join(ends, "value")
