@@ -161,6 +161,7 @@ def readiness(score: Column, penalty: Column, triggered: Column, cfg: Scoring =
 
 
 def recommendation(of_band: Column, acwr: Column, triggered: Column, cfg: Scoring = DEFAULT) -> Column:
+    # What is said to each band, to a high load and to signs of illness.
     text = (
         F.when(of_band == "green", "Ready for a hard session.")
         .when(of_band == "yellow", "Moderate — keep it aerobic, hold off on a big effort.")

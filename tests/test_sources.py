@@ -59,12 +59,12 @@ def export(tmp_path):
     return str(path)
 
 
-def zipped(tmp_path, text=EXPORT, name="apple/export.xml"):
+def zipped(tmp_path, text=EXPORT, name="data/export.xml"):
     path = tmp_path / "export.zip"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        out.writestr("apple/deeper/export.xml", "<HealthData/>")
+        out.writestr("data/deeper/export.xml", "<HealthData/>")
         out.writestr(name, text)
-        out.writestr("apple/export_cda.xml", "<x/>")
+        out.writestr("data/export_cda.xml", "<x/>")
     return str(path)
 
 
