@@ -9,10 +9,11 @@ is left. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pulseframe.llm import bpe, decontaminate, exact_dedup, minhash, toxicity
-from pulseframe.llm.common import Scratch, table
+from pulseframe.llm.common import Scratch, small_batches, table
 
 
 def drop_toxic(spark, docs, sf_dir):
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -21,14 +22,17 @@ def drop_copies(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
+    small_batches(spark)
     return minhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark, docs, sf_dir):
+    small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark, docs, sf_dir):
+    small_batches(spark)
     return bpe.digests(docs)
 
 

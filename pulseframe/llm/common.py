@@ -105,6 +105,15 @@ def free_name(taken, wanted: str) -> str:
     return wanted
 
 
+#: Bytes of rows that the JVM hands to a Python worker at a time.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session's Arrow batches small: their buffers lie in the JVM and the worker, beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 #: Bytes of text that a Python worker holds as objects at a time.
 PIECE_BYTES = 4 << 20
 
