@@ -9,13 +9,14 @@ text is scored by the weights that all training documents give: the prediction m
 the estimates of all depths, each by its share of the weighted probability.
 
 Work. Text is dealt to blocks of about BLOCK_BYTES. A block gathers its distinct
-(context, byte) strings and words with their training counts; the counts of all
-blocks are summed. The trees of contexts that share their last two bytes lie in one
-task, which weights them from the deepest up; what they give to depth 1 and 0 (256 x
-255 nodes at most) is finished on the driver and sent back. Then each block gets the
-log probabilities and counts of its own strings and words, no more, and scores its
-documents as they stream by. So nothing that grows with the corpus is broadcast or
-collected.
+(context, byte) strings and words with their training counts. Contexts that share their
+last two bytes belong to one of PARTS parts; a block's strings of one part travel as one
+row, sorted and packed. The task that holds a part adds up what the blocks counted and
+weights its trees from the deepest up; what they give to depth 1 and 0 (256 x 255 nodes
+at most) is finished on the driver and sent back. Then each block gets the log
+probabilities and counts of its own strings and words, no more, and scores its documents
+as they stream by. So nothing that grows with the corpus is broadcast or collected. The
+largest task holds the distinct strings of the commonest two bytes (a fiftieth of all).
 
 Semantics. Training documents are those whose crc32(doc_id as text) mod 7 is not 2. A
 null text is empty: it has the end mark alone. Rows that repeat a document count each.
@@ -35,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, crc_mod, table, texts_of, utf8
+from .common import Scratch, crc_mod, small_batches, table, texts_of, utf8
 
-DEPTH = 4
+DEPTH = 6
 BLOCK_BYTES = 32_000_000
+#: Groups of contexts by their last two bytes.
+PARTS = 512
 #: Bytes of text that are taken apart at once: some 60 times as many bytes of arrays.
 CHUNK_BYTES = 2 << 20
 END = 255
@@ -95,53 +98,123 @@ def chunked(sizes: list[int], most: int = CHUNK_BYTES):
         yield begin, len(sizes)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Eight-byte numbers by their bytes' places, compressed."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(body: bytes, size: int, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(body, decompressed_size=8 * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, size).T).view(kind).ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending numbers, by their differences."""
+    return packed(np.diff(keys, prepend=0))
+
+
+def unpacked_keys(body: bytes, size: int) -> np.ndarray:
+    return np.cumsum(unpacked(body, size))
+
+
+def part_of(grams: np.ndarray) -> np.ndarray:
+    return (((grams >> 8) & 0xFFFF) * 40503 >> 3) % PARTS
+
+
+class Counts:
+    """Sums of counts by number; what is added waits until it is as much as what is there."""
+
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.waiting, self.size = [], 0
+
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((keys, n))
+        self.size += len(keys)
+        if self.size > max(len(self.keys), 1 << 20):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.waiting:
+            keys, n = (np.concatenate(x) for x in zip((self.keys, self.n), *self.waiting, strict=True))
+            self.waiting, self.size = [], 0
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(first) else n
+        return self.keys, self.n
+
+
 class Trees:
-    """Weighted context trees of depth ``depth`` down to 2 for (context, byte) strings that share their last two context bytes."""
+    """Weighted context trees of depth ``depth`` down to 2 for distinct (context, byte) strings, of which those that share their last two context bytes are all here.
+
+    ``strings`` has, from the deepest depth up, the distinct (context, byte) strings of that
+    depth in ascending order, their counts, and where the strings of the depth below lie in
+    it. Strings whose bytes share their leading bits are neighbours, so each level of the
+    decomposition is a run over the same order; levels are made one at a time.
+    """
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH):
-        byte, context = grams & 255, grams >> 8
-        self.levels = []
-        for level in range(8):
-            node = (1 << level) | (byte >> (8 - level))
-            bit = (byte >> (7 - level)) & 1
-            key, n = (context << 8) | node, counts.astype(np.float64)
-            zeros, ones, below, path = n * (1 - bit), n * bit, None, np.arange(len(grams))
-            chain = []
-            for d in range(depth, 1, -1):
-                key = ((key >> 8) & ((1 << (8 * d)) - 1)) << 8 | (key & 255)
-                key, slot = np.unique(key, return_inverse=True)
-                zeros, ones = np.bincount(slot, zeros, len(key)), np.bincount(slot, ones, len(key))
-                own = kt_block(zeros, ones)
-                if below is None:
-                    weighted, weight = own, np.ones(len(key))
-                else:
-                    rest = np.bincount(slot, below, len(key))
-                    weighted = np.logaddexp(own, rest) - math.log(2)
-                    weight = np.exp(own - math.log(2) - weighted)
-                below, path = weighted, slot[path]
-                chain.append((zeros, ones, weight, path))
-            self.levels.append((key, zeros, ones, below, node, bit, chain))
-        self.last = context & 255
+        self.grams, n = grams, counts.astype(np.float64)
+        keys, slot = np.unique(grams, return_inverse=True)
+        n = np.bincount(slot, n, len(keys))
+        self.strings = [(keys, n, slot)]
+        for d in range(depth - 1, 1, -1):
+            keys, slot = np.unique(keys & ((1 << (8 * (d + 1))) - 1), return_inverse=True)
+            n = np.bincount(slot, n, len(keys))
+            self.strings.append((keys, n, slot))
+
+    def level(self, level: int):
+        """For each depth from the deepest: zeros, ones, log weighted probability and own share of each node, node of each string, first string of each node; and what the nodes of depth 2 are."""
+        made, below = [], None
+        for keys, n, slot in self.strings:
+            first = np.flatnonzero(np.diff(keys >> (8 - level), prepend=-1))
+            node = np.zeros(len(keys), dtype=np.int64)
+            node[first[1:]] = 1
+            node = np.cumsum(node)
+            bit = (keys >> (7 - level)) & 1
+            ones = np.add.reduceat(n * bit, first)
+            zeros = np.add.reduceat(n, first) - ones
+            own = kt_block(zeros, ones)
+            if below is None:
+                weighted, weight = own, np.ones(len(first))
+            else:
+                rest = np.bincount(node[slot[made[-1][5]]], below, len(first))
+                weighted = np.logaddexp(own, rest) - math.log(2)
+                weight = np.exp(own - math.log(2) - weighted)
+            made.append((zeros, ones, weighted, weight, node, first))
+            below = weighted
+        at = keys[first]
+        return made, (((at >> 8) & 255) << 8) | (1 << level) | ((at & 255) >> (8 - level))
 
     def upward(self):
         """For depth 1: (last byte and decomposition node) as one number, zeros, ones, sum of the log weighted probabilities."""
         parts = []
-        for key, zeros, ones, below, *_ in self.levels:
-            own, slot = np.unique(key & 0xFFFF, return_inverse=True)
+        for level in range(8):
+            made, node = self.level(level)
+            zeros, ones, below, *_ = made[-1]
+            own, slot = np.unique(node, return_inverse=True)
             parts.append((own, *(np.bincount(slot, x, len(own)) for x in (zeros, ones, below))))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def log10(self, top: Top) -> np.ndarray:
         """log10 probability of each string's byte after its context."""
-        total = 0.0
-        for _, _, _, _, node, bit, chain in self.levels:
-            p = None
-            for zeros, ones, weight, path in chain:
-                own = kt_bit(zeros[path], ones[path], bit)
-                p = own if p is None else weight[path] * own + (1 - weight[path]) * p
-            at = (self.last << 8) | node
-            total = total + np.log10(np.where(bit, top.ones[at], top.zeros[at]) + top.passed[at] * p)
-        return total
+        keys, _, slot = self.strings[0]
+        total = np.zeros(len(keys))
+        for level in range(8):
+            made, at = self.level(level)
+            # from depth 2 down: probability of each bit by the depths so far, and the share of those below
+            p0, p1, passed = top.zeros[at], top.ones[at], top.passed[at]
+            for d in range(len(made) - 1, -1, -1):
+                zeros, ones, _, weight, _, first = made[d]
+                if d < len(made) - 1:
+                    parent = made[d + 1][4][self.strings[d + 1][2][first]]
+                    p0, p1, passed = p0[parent], p1[parent], passed[parent]
+                share = passed * weight / (zeros + ones + 1.0)
+                p0, p1, passed = p0 + share * (zeros + 0.5), p1 + share * (ones + 0.5), passed * (1 - weight)
+            node = made[0][4]
+            total += np.log10(np.where((keys >> (7 - level)) & 1, p1[node], p0[node]))
+        return total[slot]
 
 
 class Top:
@@ -163,7 +236,7 @@ class Top:
         self.ones = share * spread((root1 + 0.5) / (root0 + root1 + 1)) + (1 - share) * weight * (ones + 0.5) / (zeros + ones + 1)
 
 
-GATHERED = "block int, gram long, word binary, n long"
+GATHERED = "block int, part int, size int, grams binary, counts binary, word binary, n long"
 SCORED = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("n_bytes", T.LongType())]
 
 
@@ -172,20 +245,11 @@ def gathered(blocks: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         words: dict[int, Counter] = {}
-        grams: dict[int, list] = {}
-
-        def settle(block, more=()):
-            """The block's strings, each once."""
-            parts = [*grams.get(block, []), *more]
-            every = np.concatenate([g for g, _ in parts])
-            unique, slot = np.unique(every, return_inverse=True)
-            grams[block] = [(unique, np.bincount(slot, np.concatenate([n for _, n in parts]), len(unique)).astype(np.int64))]
-
+        grams: dict[int, Counts] = {}
         for batch in batches:
             of_block, of_train = np.asarray(batch.column(0)), np.asarray(batch.column(1).to_pylist(), dtype=bool)
             for block in np.unique(of_block).tolist():
-                counter = words.setdefault(block, Counter())
-                more = []
+                counter, strings = words.setdefault(block, Counter()), grams.setdefault(block, Counts())
                 for train in (True, False):
                     own = batch.filter(pa.array((of_block == block) & (of_train == train)))
                     sizes = pc.binary_length(own.column(2)).to_pylist()
@@ -198,28 +262,39 @@ def gathered(blocks: DataFrame, depth: int) -> DataFrame:
                                 for w in set(body.split()):
                                     counter.setdefault(w, 0)
                         unique, n = np.unique(grams_of(bodies, depth)[0], return_counts=True)
-                        more.append((unique, n if train else np.zeros_like(n)))
-                settle(block, more)
+                        strings.add(unique, n.astype(np.int64) if train else np.zeros(len(n), np.int64))
         for block in sorted(words):
-            unique, n = grams.pop(block)[0]
-            for at in range(0, len(unique), 100_000):
-                part = slice(at, at + 100_000)
-                size = len(unique[part])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block, np.int32)), pa.array(unique[part]), pa.nulls(size, pa.binary()), pa.array(n[part])], names=["block", "gram", "word", "n"])
+            unique, n = grams.pop(block).settle()
+            part = part_of(unique)
+            order = np.argsort(part, kind="stable")
+            part, unique, n = part[order], unique[order], n[order]
+            cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            rows = [(block, int(part[a]), b - a, packed_keys(unique[a:b]), packed(n[a:b]), None, None) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield gathered_rows(rows)
             items = list(words.pop(block).items())
             for at in range(0, len(items), 100_000):
-                part = items[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block, np.int32)), pa.nulls(len(part), pa.int64()), pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())],
-                    names=["block", "gram", "word", "n"],
-                )
+                yield gathered_rows([(block, None, None, None, None, w, c) for w, c in items[at : at + 100_000]])
+
+    def gathered_rows(rows):
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "part", "size", "grams", "counts", "word", "n"])
 
     return blocks.select("block", "train", "text").mapInArrow(run, GATHERED)
 
 
-def columns_of(batches) -> list[np.ndarray]:
-    held = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
-    return [np.concatenate(c) for c in zip(*held, strict=True)] if held else []
+def by_part(batches):
+    """Of rows (part, block, size, grams, counts) ordered by part: each part's rows without counts, its strings and their counts."""
+    part, rows, counts = None, [], Counts()
+    for batch in batches:
+        for own, block, size, keys, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own != part and rows:
+                yield rows, *counts.settle()
+                rows, counts = [], Counts()
+            part = own
+            rows.append((block, size, keys))
+            counts.add(unpacked_keys(keys, size), unpacked(n, size))
+    if rows:
+        yield rows, *counts.settle()
 
 
 class ContextTreeModel:
@@ -242,39 +317,40 @@ class ContextTreeModel:
         total = self.words.agg(F.sum("c"), F.count(F.lit(1))).first()
         self.train_tokens = (total[0] or 0) + self.train_docs
         self.distinct = total[1] + (self.train_docs > 0)
-        self.model = self.scratch.keep(self._model(), "model")
 
     def _model(self) -> DataFrame:
-        """(gram, log10 probability of its byte after its context) of every string of the corpus."""
+        """PACKED: each block's strings, and log10 probability of a string's byte after its context."""
         depth = self.depth
-        grams = self.gathered.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
-        grams = self.scratch.keep(grams, "grams")
-        dealt = grams.repartition(int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.shiftright("gram", 8).bitwiseAND(0xFFFF))
+        spark = self.gathered.sparkSession
+        strings = self.gathered.filter("part IS NOT NULL").select("part", "block", "size", "grams", "counts")
+        dealt = strings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
 
         def upward(batches):
-            if held := columns_of(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in Trees(*held, depth).upward()], names=["node", "n0", "n1", "below"])
+            for _, keys, n in by_part(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in Trees(keys, n, depth).upward()], names=["node", "n0", "n1", "below"])
 
         sums = dealt.mapInArrow(upward, "node long, n0 double, n1 double, below double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
         rows = sums.orderBy("node").collect()  # 256 * 255 rows at most
         top = Top(*(np.array([r[c] for r in rows], dtype=t) for c, t in (("node", np.int64), ("n0", float), ("n1", float), ("below", float))))
-        held_top = grams.sparkSession.sparkContext.broadcast(top)
+        held_top = spark.sparkContext.broadcast(top)
 
         def downward(batches):
-            if held := columns_of(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(Trees(*held, depth).log10(held_top.value))], names=["gram", "log10"])
+            for rows, keys, n in by_part(batches):
+                logs = Trees(keys, n, depth).log10(held_top.value)
+                for block, size, own in rows:
+                    numbers = packed(logs[np.searchsorted(keys, unpacked_keys(own, size))])
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own], pa.binary()), pa.array([numbers], pa.binary()), pa.array([size], pa.int32())], names=["block", "keys", "numbers", "of_strings"])
 
-        return dealt.mapInArrow(downward, "gram long, log10 double")
+        return dealt.mapInArrow(downward, PACKED)
 
     def scored(self) -> DataFrame:
         """doc_id, train and the scores of each document."""
         id_type = self.blocks.schema["doc_id"].dataType
-        strings = self.gathered.filter("gram IS NOT NULL").select("block", "gram").join(self.model, "gram").select("block", "gram", "log10")
         words = self.gathered.filter("word IS NOT NULL").select("block", "word").join(self.words, "word").select("block", "word", "c")
-        tables = strings.mapInArrow(packed_strings, PACKED).unionByName(words.mapInArrow(packed_words, PACKED))
+        tables = self._model().unionByName(words.mapInArrow(packed_words, PACKED))
         empty = {c: F.lit(None).cast(t).alias(c) for c, t in (("doc_id", id_type), ("text", "string"), ("train", "boolean"))}
-        documents = self.blocks.select("block", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("boolean").alias("of_words"), "doc_id", "text", "train")
-        rows = tables.select("block", "keys", "numbers", "of_words", *empty.values()).unionByName(documents)
+        documents = self.blocks.select("block", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("numbers"), F.lit(None).cast("int").alias("of_strings"), "doc_id", "text", "train")
+        rows = tables.select("block", "keys", "numbers", "of_strings", *empty.values()).unionByName(documents)
         # a block's strings and words come before its documents
         dealt = rows.repartition(self.parts, "block").sortWithinPartitions("block", F.col("text").isNotNull())
         depth, train_tokens, train_docs = self.depth, self.train_tokens, self.train_docs
@@ -292,17 +368,17 @@ class ContextTreeModel:
                     if of_block[at] != block:
                         block, strings, counts, ready = of_block[at], [], {}, None
                     if not is_text[at]:
-                        numbers = np.frombuffer(batch.column(2)[at].as_py(), dtype=np.float64)
-                        keys = batch.column(1)[at].as_py()
-                        if batch.column(3)[at].as_py():
-                            counts.update(zip(keys.split(b" "), numbers.tolist(), strict=True))
+                        keys, numbers, size = (batch.column(c)[at].as_py() for c in (1, 2, 3))
+                        if size is None:
+                            counts.update(zip(keys.split(b" "), np.frombuffer(numbers, dtype=np.float64).tolist(), strict=True))
                         else:
-                            strings.append((np.frombuffer(keys, dtype=np.int64), numbers))
+                            strings.append((unpacked_keys(keys, size), unpacked(numbers, size, np.float64)))
                         at += 1
                         continue
                     if ready is None:
                         grams, logs = (np.concatenate(x) for x in zip(*strings, strict=True))
-                        strings, ready = [], (pa.array(grams), logs)
+                        order = np.argsort(grams)
+                        strings, ready = [], (grams[order], logs[order])
                     begin, held = at, 0
                     while at < batch.num_rows and of_block[at] == block and (at == begin or held + sizes[at] <= CHUNK_BYTES):
                         held += sizes[at]
@@ -318,9 +394,9 @@ class ContextTreeModel:
                 n_tokens.append(len(words) + 1)
                 n_known.append(int((c > 0).sum()) + (train_docs > 0))
                 base.append(float(np.log10((c + 1) / whole).sum()) + end)
-            packed, sizes = grams_of(bodies, depth)
-            slot = pc.index_in(pa.array(packed), value_set=ready[0])
-            score = np.add.reduceat(ready[1][np.asarray(slot)], np.cumsum(sizes) - sizes)
+            grams, sizes = grams_of(bodies, depth)
+            unique, slot = np.unique(grams, return_inverse=True)
+            score = np.add.reduceat(ready[1][np.searchsorted(ready[0], unique)][slot], np.cumsum(sizes) - sizes)
             return pa.RecordBatch.from_arrays(
                 [own.column(4), own.column(6), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(bodies), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes - 1)],
                 names=schema.names,
@@ -329,20 +405,21 @@ class ContextTreeModel:
         return dealt.mapInArrow(run, schema)
 
 
-PACKED = "block int, keys binary, numbers binary, of_words boolean"
+#: ``of_strings``: how many strings the row has; null in a row of words.
+PACKED = "block int, keys binary, numbers binary, of_strings int"
 
 
-def packed_by_block(batches, pack, of_words: bool, most: int = 1 << 20):
-    """Rows (block, key, number) as one row for each block and ``most`` rows: keys and numbers back to back."""
+def packed_words(batches, most: int = 1 << 20):
+    """Rows (block, word, count) as one row for each block and ``most`` rows: words and counts back to back."""
 
     def flush(held):
         table = pa.Table.from_batches(held)
         order = np.argsort(np.asarray(table.column(0)), kind="stable")
-        block, key, number = table.take(pa.array(order)).combine_chunks().columns
+        block, word, number = table.take(pa.array(order)).combine_chunks().columns
         block = np.asarray(block)
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        rows = [(int(block[a]), pack(key.slice(a, b - a)), np.asarray(number.slice(a, b - a)).astype(np.float64).tobytes(), of_words) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["block", "keys", "numbers", "of_words"])
+        rows = [(int(block[a]), b" ".join(word.slice(a, b - a).to_pylist()), np.asarray(number.slice(a, b - a)).astype(np.float64).tobytes(), None) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["block", "keys", "numbers", "of_strings"])
 
     held, size = [], 0
     for batch in batches:
@@ -356,15 +433,8 @@ def packed_by_block(batches, pack, of_words: bool, most: int = 1 << 20):
         yield flush(held)
 
 
-def packed_strings(batches):
-    return packed_by_block(batches, lambda keys: np.asarray(keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys).tobytes(), False)
-
-
-def packed_words(batches):
-    return packed_by_block(batches, lambda keys: b" ".join(keys.to_pylist()), True)
-
-
 def op2_context_tree(spark, sf_dir):
+    small_batches(spark)
     scored = ContextTreeModel(table(spark, sf_dir, "documents")).scored()
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes"))
     return scored.select(

@@ -91,3 +91,13 @@ def test_no_training_rows_repeats_and_empty(spark):
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 3, 10.5, 1e4, 1e9])
     assert np.allclose(lm.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+
+
+def test_contexts_of_six_bytes_count(spark):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["abcdeX", "bbcdeY", "abcdez"]) + "12345"[: draw.randrange(6)] for _ in range(6)) for _ in range(30)]
+    rows = list(enumerate(texts))
+    plain = PlainTree([t.encode().lower() for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2], 6)
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    got = {r.doc_id: r.score for r in lm.ContextTreeModel(docs, block_bytes=300).scored().collect()}
+    assert all(math.isclose(got[d], plain.log10(t.encode().lower()), rel_tol=1e-9) for d, t in rows)
