@@ -5,8 +5,8 @@ n-grams (with word ends marked) and of the word itself; a passage's vector is th
 mean over its words; a linear softmax over that gives the class. Embeddings and
 softmax learn together by Adagrad. A label belongs to a whole document while the
 offence may be one sentence, so a document is cut into passages of PASSAGE words
-and, after a first epoch over all passages, its most toxic passage carries the
-gradient; its score is that passage's. A misspelling shares most n-grams with the
+and, after a first epoch over all passages (in about an eighth as many batches as
+documents), its most toxic passage carries the gradient; its score is that passage's. A misspelling shares most n-grams with the
 word it distorts and so most of its vector, whether or not it was seen in training.
 
 The softmax over two classes is linear in the passage's mean, so each word adds one
@@ -102,13 +102,15 @@ class SubwordSoftmax:
         seen = np.full(self.embeddings.shape, DAMPING, dtype=np.float32), np.full(self.softmax.shape, 1e-6, dtype=np.float32), np.full(2, 1e-6, dtype=np.float32)
         weight_of = np.where(labels == 1, 0.5 / max(self.base, 1e-6), 0.5 / max(1 - self.base, 1e-6))
         for epoch in range(epochs):
+            size = 64
             if epoch == 0:
-                chosen = draw.permutation(len(begins))[: 8 * n_docs]
+                chosen = draw.permutation(len(begins))
+                size = max(size, len(chosen) // (n_docs // 8 + 1))
             else:
                 logit = self.logits(flat, flat_at, sizes, words, begins, ends)
                 order = np.lexsort((-logit, owner))
                 chosen = draw.permutation(order[first_of_doc])
-            for batch in np.array_split(chosen, max(1, len(chosen) // 64)):
+            for batch in np.array_split(chosen, max(1, len(chosen) // size)):
                 own = [words[begins[p] : ends[p]] for p in batch]
                 lengths = np.array([len(o) for o in own])
                 every = np.concatenate(own)

@@ -40,3 +40,12 @@ def test_nulls_empty_tables_and_missing_labels(spark):
     scored, name = X.annotate(docs, X.fit(docs, odd))
     assert all(0 <= r[name] <= 1 for r in scored.collect()) and scored.count() == 5
     assert X.annotate(spark.createDataFrame([], docs.schema), X.SubwordSoftmax())[0].collect() == []
+
+
+def test_first_epoch_sees_every_passage():
+    draw = random.Random(4)
+    long = ["".join(draw.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(1200)]
+    texts, labels = [" ".join(long), "short and clean", "one vile churl here"], [0, 0, 1]
+    before, after = X.SubwordSoftmax().embeddings, X.SubwordSoftmax().fit(texts, labels, epochs=1).embeddings
+    moved = (before != after).any(axis=1)
+    assert all(moved[X.subwords(w)].any() for text in texts for w in X.words_of(text))
