@@ -16,7 +16,8 @@ overflow chain.
 Semantics. A null text is empty. The row with the largest doc_id stays; a null
 doc_id is below all others, and a group in which all are null keeps its rows'
 null id as keep_id. Rows that repeat a doc_id and its text are the same document:
-each gets the same decision. An empty table gives an empty result. Other columns
+each gets the same decision. Rows of one doc_id with unlike texts are decided each by
+its own text. An empty table gives an empty result. Other columns
 of the input are ignored.
 """
 
@@ -137,12 +138,23 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of equal texts; rows that repeat a document go too."""
     index = ExactDedup(docs)
     decisions = index.decisions()
-    dropped = index.scratch.keep(decisions.filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    dropped = index.scratch.keep(decisions.filter(~F.col("kept")).select("doc_id", "text_sha256").distinct(), "dropped")
     repeated = index.entries.groupBy("doc_id", "key", "digest").count().filter("count > 1").limit(1).count()
-    kept = without(docs, dropped)
+    kept = without_texts(docs, dropped)
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
+def without_texts(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose id and text's SHA-256 are in ``dropped``."""
+    taken = free_name(docs.columns, "dropped_id")
+    digest = free_name([*docs.columns, taken], "dropped_sha256")
+    ids = dropped.toDF(taken, digest)
+    # an id and its digest take up to four times an id's room
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS // 4 else ids
+    own = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return docs.join(side, docs["doc_id"].eqNullSafe(ids[taken]) & (own == ids[digest]), "left_anti")
+
+
 def op3_exact_dedup(spark, sf_dir):
     return ExactDedup(table(spark, sf_dir, "documents")).decisions()
 

@@ -30,7 +30,8 @@ folder; nothing but counts reaches the driver.
 Semantics. A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; fewer than five words
 make one shingle of all; a text without words (or null) has an empty set and is
 linked with nothing. Links need 100 * intersection >= 85 * union. Rows that repeat a
-doc_id are one document. A row with a null doc_id belongs to its class but links
+doc_id are one document; the stage drops all of them when one is not kept, those with
+unlike texts too. A row with a null doc_id belongs to its class but links
 nothing by itself; its component_id is its class's, or null. An empty table gives an
 empty result. Other columns are ignored.
 """

@@ -54,3 +54,9 @@ def test_stage_keeps_one_row_of_each_text(spark):
     kept = drop_copies(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "lang", "KEY"]
     assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7, 9]
+
+
+def test_stage_keeps_other_texts_of_a_dropped_id(spark):
+    rows = [(5, "x", "l", "k"), (9, "x", "l", "k"), (5, "y", "l", "k"), (None, "x", "l", "k"), (None, "z", "l", "k")]
+    kept = drop_copies(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == [(5, "y"), (9, "x"), (None, "z")]

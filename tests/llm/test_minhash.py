@@ -68,3 +68,8 @@ def test_empty_null_and_repeated_rows(spark):
     assert got == sorted([(4, 3, False), (4, 3, False), (None, 3, False), (None, None, True), (3, 3, True)], key=repr)
     kept = drop_near_copies(spark.createDataFrame([r for r in rows if r[0] is not None], SCHEMA))
     assert [r.doc_id for r in kept.collect()] == [3] and kept.columns == ["doc_id", "text", "component_id"]
+
+
+def test_stage_drops_all_rows_of_a_dropped_id(spark):
+    rows = [(3, "one two three", None), (5, "one two three", None), (5, "four five six", None)]
+    assert [r.doc_id for r in drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()] == [3]
