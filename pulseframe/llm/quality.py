@@ -138,8 +138,8 @@ _SHAPE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 5
 
 def word_buckets(word: bytes) -> tuple[int, int]:
     shape = word.translate(_SHAPE)
-    short = bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1])[:16]
-    return bucket(b"w" + word[:64].lower()), bucket(b"s" + short)
+    short = bytes(c for i, c in enumerate(shape) if not i or c != shape[i - 1])
+    return bucket(b"w" + word.lower()), bucket(b"s" + short)
 
 
 def whole_buckets(data: bytes, words: list[bytes]) -> list[int]:

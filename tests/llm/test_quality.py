@@ -45,3 +45,8 @@ def test_nulls_and_empty_tables(spark):
     assert scored.count() == 5 and all(0 <= r[n] <= 1 for r in scored.collect() for n in names.values())
     none = spark.createDataFrame([], docs.schema)
     assert Q.annotate(none, *Q.fit(none))[0].collect() == []
+
+
+def test_long_words_are_told_apart():
+    a, b = Q.word_buckets(b"w" * 64 + b"one"), Q.word_buckets(b"w" * 64 + b"two")
+    assert a[0] != b[0] and Q.word_buckets(b"a-" * 8 + b"a")[1] != Q.word_buckets(b"a-" * 8 + b"9")[1]
