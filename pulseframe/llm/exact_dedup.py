@@ -125,15 +125,6 @@ class ExactDedup:
         )
 
 
-def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` less the rows whose id is in ``dropped`` (one column of ids)."""
-    name = free_name(docs.columns, "dropped_id")
-    ids = dropped.toDF(name).filter(F.col(name).isNotNull())
-    rows = ids.count()
-    side = F.broadcast(ids) if rows <= BROADCAST_IDS else ids
-    return docs.join(side, docs[doc_id] == ids[name], "left_anti")
-
-
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of equal texts; rows that repeat a document go too."""
     index = ExactDedup(docs)
