@@ -1,27 +1,40 @@
 """The store: Parquet tables that grow by rows they don't have yet.
 
-Importing a batch again adds nothing: rows are known by their hash. One writer at a
-time; readers see whole files.
+Importing a batch again adds nothing: rows are known by their hash. Tables lie in folders
+by month; equal hashes have equal times, so a batch is compared with the months that it
+touches and no others. One writer at a time; readers see whole files.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.times import utc_second
 from ..operators.dedup import best_source, real_steps
 from ..schema import IMPORT_RUNS, KEYS, TABLES
 from .identity import HASHES, parent_hash
 
+#: What tells a row's month (in UTC), of tables in which it is part of what makes a row one row.
+TIMES = {"records": "start_ts", "sleep": "start_ts", "workouts": "start_ts", "workout_events": "workout_start_ts", "activity_summary": "date"}
+MONTH = "month"
+
 
 def new_rows(batch: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the batch, one for each key, whose key the table lacks. The table is read for its keys alone."""
+    """Rows of the batch, one for each key, whose key the table lacks. The table is read for its keys alone.
+
+    Of several rows with one key the least stays, by their columns in order.
+    """
+    rest = [c for c in batch.columns if c not in keys]
+    one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
     known = table.select(*(F.col(k).alias(f"_known_{k}") for k in keys))
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys))
-    return batch.dropDuplicates(keys).join(known, same, "left_anti")
+    return one.join(known, same, "left_anti")
 
 
 class Store:
@@ -36,28 +49,39 @@ class Store:
         where = jvm.org.apache.hadoop.fs.Path(self.path(name))
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
-    def read(self, name: str) -> DataFrame:
+    def _held(self, name: str) -> DataFrame:
+        """The table with its month."""
+        schema = T.StructType([*TABLES[name].fields, *([T.StructField(MONTH, T.StringType())] if name in TIMES else [])])
         if not self._exists(name):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self.path(name))
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def read(self, name: str) -> DataFrame:
+        return self._held(name).select(*TABLES[name].names)
 
     def add(self, name: str, batch: DataFrame) -> int:
         """Appends what is new; how many rows that was."""
-        keys = KEYS[name]
         batch = batch.select(*(F.col(f.name).cast(f.dataType) for f in TABLES[name].fields))
-        fresh = new_rows(batch, self.read(name), keys) if keys else batch
-        before = self.read(name).count()
-        fresh.write.mode("append").parquet(self.path(name))
-        return self.read(name).count() - before
-
-    def ingest(self, frames: dict[str, DataFrame], archive: str = "", subject: str = "") -> dict[str, int]:
-        """Adds one import's frames (by table, as the sources give them) and records the run; rows added by table."""
-        added = {}
-        for name, frame in frames.items():
-            added[name] = self.add(name, hashed(name, frame, subject))
+        held, folders = self._held(name), []
+        if name in TIMES:
+            at = F.col(TIMES[name])
+            month = F.substring(at if name == "activity_summary" else utc_second(at), 1, 7)
+            batch, folders = batch.withColumn(MONTH, F.coalesce(month, F.lit("none"))), [MONTH]
+            held = held.filter(F.col(MONTH).isin([r[0] for r in batch.select(MONTH).distinct().collect()]))  # a value for each month
+        fresh = new_rows(batch, held, KEYS[name])
+        seen = Observation()
+        fresh.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").partitionBy(*folders).parquet(self.path(name))
+        return seen.get["rows"]
+
+    def ingest(self, frames: dict[str, DataFrame], archive: str = "", subject: str = "", run: str | None = None) -> dict[str, int]:
+        """Adds one import's frames (by table, as the sources give them) and records the run; rows added by table.
+
+        An import that is tried again under the same ``run`` is recorded once.
+        """
+        added = {name: self.add(name, hashed(name, frame, subject)) for name, frame in frames.items()}
         totals = [self.read(t).count() for t in ("records", "workouts", "sleep")]
-        run = self.spark.createDataFrame([(archive, *totals)], "archive_name string, records_total long, workouts_total long, sleep_total long")
-        run.withColumn("imported_at", F.current_timestamp()).select(*IMPORT_RUNS.names).write.mode("append").parquet(self.path("import_runs"))
+        row = self.spark.createDataFrame([(archive, *totals)], "archive_name string, records_total long, workouts_total long, sleep_total long")
+        row.withColumn("imported_at", F.current_timestamp()).select(*IMPORT_RUNS.names).write.mode("overwrite").parquet(f"{self.path('import_runs')}/run={run or uuid.uuid4().hex}")
         return added
 
     def views(self) -> dict[str, DataFrame]:

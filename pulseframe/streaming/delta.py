@@ -14,14 +14,18 @@ from ..sources.ndjson import delta_frames, options, rejected
 from ..sources.sink import Store
 
 
-def import_batch(store: Store, lines: DataFrame, batch_id: int, subject: str = "") -> dict[str, int]:
-    """One micro-batch: good lines to the tables, bad ones to ``rejected``."""
+def import_batch(store: Store, lines: DataFrame, batch_id: int, subject: str = "", run: str = "") -> dict[str, int]:
+    """One micro-batch: good lines to the tables, bad ones to ``rejected``.
+
+    ``run`` names the stream; a batch that the stream repeats replaces what it set aside and recorded.
+    """
     held = lines.persist()
+    name = f"{run}-{batch_id}"
     try:
-        added = store.ingest(delta_frames(held), f"delta-{batch_id}", subject)
+        added = store.ingest(delta_frames(held), f"delta-{batch_id}", subject, name if run else None)
         bad = rejected(held)
         if bad.limit(1).count():
-            bad.write.mode("append").parquet(store.path("rejected"))
+            bad.write.mode("overwrite" if run else "append").parquet(f"{store.path('rejected')}/run={name}")
         return added
     finally:
         held.unpersist()
@@ -33,6 +37,11 @@ def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, subj
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
     lines = reader.load(landing)
-    writer = lines.writeStream.foreachBatch(lambda frame, number: import_batch(store, frame, number, subject) and None)
+
+    def each(frame: DataFrame, number: int) -> None:
+        query = frame.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        import_batch(store, frame, number, subject, query or checkpoint.rstrip("/").rpartition("/")[2])
+
+    writer = lines.writeStream.foreachBatch(each)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
