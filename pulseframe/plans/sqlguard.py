@@ -1,40 +1,106 @@
-"""Read-only SQL over the tables: text rules first, then the parsed plan must hold no command."""
+"""Read-only SQL over named views: what the parser made of a query decides, not its words.
+
+The parsed plan is walked as a whole, subqueries and WITH clauses included, before
+anything is analysed or run. Three lists bound it: the relational steps below, the views
+that the caller names (or every temporary view), and Spark's own functions of the groups
+that only compute. So files, catalogs, commands, scripts and calls into the JVM have no
+way in, whatever they are called.
+"""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterable, Iterator
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
-# Words that no query may contain.
-REFUSED = (
-    "insert", "update", "delete", "drop", "create", "alter", "attach", "detach", "copy", "pragma", "install", "load", "export", "import",
-    "call", "set", "reset", "vacuum", "checkpoint", "begin", "commit", "rollback", "replace",
-)
 ROWS = 1000
-_COMMENT = re.compile(r"--[^\n]*|/\*.*?\*/", re.S)
-_WORD = re.compile(rf"\b(?:{'|'.join(REFUSED)})\b", re.I)
+PLANS = "org.apache.spark.sql.catalyst.plans.logical."
+UNRESOLVED = "org.apache.spark.sql.catalyst.analysis."
+#: Steps that read, combine and reduce rows.
+STEPS = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Join LateralJoin Union Except Intersect Window WithWindowDefinition Pivot UnresolvedPivot Unpivot "
+    "Generate Sample SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith UnresolvedHaving UnresolvedInlineTable ResolvedInlineTable LocalRelation OneRowRelation".split()
+)
+#: Groups of Spark's function documentation; misc_funcs, with its calls into Java, is not among them.
+GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs "
+    "predicate_funcs string_funcs struct_funcs window_funcs".split()
+)
+ROW_SOURCES = frozenset(("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "stack"))
+
+
+class _Walk:
+    """One query's parsed plan, looked at through the JVM."""
+
+    def __init__(self, spark: SparkSession, views: frozenset[str]):
+        state, jvm = spark._jsparkSession.sessionState(), spark.sparkContext._jvm
+        self.state, self.jvm, self.views = state, jvm, views
+        kind = jvm.java.lang.Class.forName
+        self.is_product, self.is_many, self.is_plan = kind("scala.Product").isInstance, kind("scala.collection.Iterable").isInstance, kind(f"{PLANS}LogicalPlan").isInstance
+
+    def parts(self, value) -> Iterator:
+        """What a node, tuple or collection holds."""
+        step = value.iterator() if self.is_many(value) else value.productIterator() if self.is_product(value) else None
+        while step is not None and step.hasNext():
+            yield step.next()
+
+    def faults(self, value, known: frozenset[str]) -> Iterator[str]:
+        """Why this part of the plan is refused; ``known``: names of WITH that it may use."""
+        if not hasattr(value, "getClass"):  # text and numbers arrive as Python's own
+            return
+        name = value.getClass().getName()
+        short = name.rpartition(".")[2]
+        if short == "UnresolvedWith":
+            for entry in self.parts(value.cteRelations()):
+                own = list(self.parts(entry))
+                yield from self.faults(own[1], known)
+                known |= {own[0].lower()}
+            yield from self.faults(value.child(), known)
+            return
+        if short == "UnresolvedRelation":
+            words = list(self.parts(value.multipartIdentifier()))
+            if len(words) != 1 or words[0].lower() not in known | self.views:
+                yield f"there is no view {'.'.join(words)}"
+            return
+        if short in ("UnresolvedFunction", "UnresolvedGenerator", "UnresolvedTableValuedFunction"):
+            yield from self.of_function(value, short)
+        elif self.is_plan(value) and (short not in STEPS or not name.startswith((PLANS, UNRESOLVED))):
+            yield f"{short} is not allowed"
+        elif "UnresolvedIdentifier" in short:
+            yield "names must be written out"
+        for part in self.parts(value):
+            yield from self.faults(part, known)
+
+    def of_function(self, value, short: str) -> Iterator[str]:
+        if short == "UnresolvedFunction":
+            words = list(self.parts(value.nameParts()))
+        else:
+            words = [value.name().funcName()] if short == "UnresolvedGenerator" else list(self.parts(value.name()))
+        told = ".".join(words)
+        if short != "UnresolvedFunction":
+            if told.lower() not in ROW_SOURCES:
+                yield f"{told} is not allowed as a source of rows"
+            return
+        found = self.state.functionRegistry().lookupFunction(self.jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(told)) if len(words) == 1 else None
+        info = found.get() if found is not None and found.isDefined() else None
+        if info is None or info.getGroup() not in GROUPS or not info.getClassName().startswith("org.apache.spark.sql.catalyst.expressions."):
+            yield f"the function {told} is not allowed"
 
 
-def fault(query: str) -> str | None:
-    """Why the query is refused; None if it isn't. Words count wherever they stand, in literals too."""
-    bare = _COMMENT.sub(" ", query).strip().rstrip(";").strip()
-    if not bare:
-        return "the query is empty"
-    if ";" in bare:
-        return "one statement at a time"
-    if bare.split(None, 1)[0].lower() not in ("select", "with") and not re.match(r"(?i)(select|with)\b", bare):
-        return "only SELECT and WITH are allowed"
-    if word := _WORD.search(bare):
-        return f"{word[0]} is not allowed"
-    return None
+def fault(spark: SparkSession, query: str, views: Iterable[str] | None = None) -> str | None:
+    """Why the query is refused; None if it isn't."""
+    if views is None:
+        views = (t.name for t in spark.catalog.listTables() if t.isTemporary)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query)
+    except (ParseException, AnalysisException) as why:
+        return f"not a query: {why.getCondition() or 'it cannot be parsed'}"
+    return next(_Walk(spark, frozenset(v.lower() for v in views)).faults(plan, frozenset()), None)
 
 
-def run_sql(spark: SparkSession, query: str, rows: int = ROWS, args=None) -> DataFrame:
+def run_sql(spark: SparkSession, query: str, rows: int = ROWS, args=None, views: Iterable[str] | None = None) -> DataFrame:
     """At most ``rows`` rows of the query; ValueError if it is refused."""
-    if reason := fault(query):
+    if reason := fault(spark, query, views):
         raise ValueError(reason)
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(query.strip().rstrip(";"))
-    if plan.getClass().getName().startswith("org.apache.spark.sql.catalyst.plans.logical.") and "Command" in plan.getClass().getSimpleName():
-        raise ValueError("commands are not allowed")
-    return spark.sql(query.strip().rstrip(";"), args=args).limit(rows)
+    return spark.sql(query, args=args).limit(rows)

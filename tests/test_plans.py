@@ -60,14 +60,35 @@ def test_block_start_walks_over_full_weeks():
     assert dashboard.block_start([], "2024-01-30") == "2024-01-30"
 
 
-def test_sql_guard(spark, views):
-    assert sqlguard.run_sql(spark, "SELECT type, count(*) AS n FROM records_dedup GROUP BY type -- all of them;").count() == 6
-    assert sqlguard.run_sql(spark, "with x as (select 1 as a) select * from x;").count() == 1
-    assert sqlguard.run_sql(spark, "SELECT * FROM range(5000)").count() == 1000
-    assert sqlguard.run_sql(spark, "SELECT * FROM sleep WHERE stage = ?", args=["deep"]).count() == 60
-    for query in ("", "DROP TABLE records", "SELECT 1; SELECT 2", "SELECT 'please update'", "/* SELECT */ DELETE FROM records", "DESCRIBE records", "selection"):
-        with pytest.raises(ValueError, match="."):
-            sqlguard.run_sql(spark, query)
+def test_sql_guard_lets_queries_pass(spark, views):
+    run = lambda *a, **b: sqlguard.run_sql(spark, *a, **b)
+    assert run("SELECT type, count(*) AS n FROM records_dedup GROUP BY type -- all of them;").count() == 6
+    assert run("with x as (select 1 as a), y as (select a + 1 as b from x) select * from x join y on b > a;").count() == 1
+    assert run("SELECT * FROM range(5000)").count() == 1000
+    assert run("SELECT * FROM sleep WHERE stage = ?", args=["deep"]).count() == 60
+    assert run("SELECT 'please update' AS said, reload FROM (VALUES (1)) AS t(reload)").count() == 1
+    query = """SELECT w.type, row_number() OVER (PARTITION BY w.type ORDER BY w.start_ts) AS n, explode(array(1, 2)) AS e
+      FROM Workouts w LEFT JOIN (SELECT DISTINCT source_name FROM sleep UNION ALL SELECT 'x') s USING (source_name)
+      WHERE w.avg_hr > (SELECT avg(value) FROM records WHERE type = 'hrv') AND EXISTS (SELECT 1 FROM sleep) QUALIFY n < 3"""
+    assert sqlguard.fault(spark, query.replace("QUALIFY n < 3", "ORDER BY n LIMIT 3")) is None
+    assert sqlguard.fault(spark, "SELECT * FROM records", views=["sleep"]) and sqlguard.fault(spark, "SELECT * FROM sleep", views=["sleep"]) is None
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        "", "-- nothing", "selection", "SELECT 1; SELECT 2", "DROP TABLE records", "/* SELECT */ DELETE FROM records", "DESCRIBE records", "SHOW TABLES", "SET x = 1", "EXPLAIN SELECT 1", "CACHE TABLE sleep",
+        "INSERT INTO sleep SELECT * FROM sleep", "WITH x AS (SELECT 1) INSERT INTO sleep SELECT * FROM x", "CREATE TABLE t AS SELECT 1", "FROM sleep INSERT INTO sleep SELECT *",
+        "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'getenv')", "SELECT try_reflect('java.lang.Math', 'abs', 1)", "SELECT system.builtin.reflect('java.lang.System', 'getenv')",
+        "SELECT 1 WHERE EXISTS (SELECT 1 FROM (SELECT java_method('java.lang.System', 'exit', 0)))", "SELECT * FROM sleep ORDER BY java_method('java.lang.System', 'getenv')", "SELECT transform(array(1), x -> reflect('java.lang.Math', 'abs', x))",
+        "SELECT value FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM `csv`.`/etc/passwd`", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "WITH x AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM x",
+        "SELECT * FROM default.sleep", "SELECT * FROM nowhere", "SELECT * FROM x JOIN (WITH x AS (SELECT 1) SELECT * FROM x) y", "SELECT * FROM IDENTIFIER('sl' || 'eep')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getenv')", "TABLE nowhere",
+        "SELECT TRANSFORM(stage) USING 'cat' FROM sleep", "SELECT input_file_name() FROM sleep", "SELECT * FROM sql_keywords()", "SELECT current_user()",
+    ],
+)
+def test_sql_guard_refuses(spark, views, query):
+    with pytest.raises(ValueError, match="."):
+        sqlguard.run_sql(spark, query)
 
 
 def test_tools(views):
