@@ -213,10 +213,10 @@ def daily_series(t: Tables) -> DataFrame:
     return text(out.withColumn("value", F.round("value", 9)), "day")
 
 
-@query("raw_readings", """SELECT row_hash, CAST(round(value, 0) AS DOUBLE) AS bpm, source_name FROM rec WHERE type = 'heart_rate' ORDER BY start_ts, row_hash LIMIT 101""")
+@query("raw_readings", """SELECT row_hash, CAST(round(value, 0) AS DOUBLE) AS bpm, source_name FROM rec WHERE type = 'heart_rate' ORDER BY start_ts, row_hash LIMIT 2001""")
 def raw_readings(t: Tables) -> DataFrame:
     """SO-03: a page of readings and one more, which tells whether there are others."""
-    return t.rec.filter("type = 'heart_rate'").orderBy("start_ts", "row_hash").limit(101).select("row_hash", F.round("value", 0).alias("bpm"), "source_name")
+    return t.rec.filter("type = 'heart_rate'").orderBy("start_ts", "row_hash").limit(2001).select("row_hash", F.round("value", 0).alias("bpm"), "source_name")
 
 
 @query("sleep_by_stage", """SELECT subject_id, CAST((start_ts + INTERVAL 6 HOUR)::DATE AS VARCHAR) AS night, stage, round(sum(date_diff('second', start_ts, end_ts)) / 3600.0, 2) AS hours FROM seg GROUP BY ALL""")
@@ -486,17 +486,21 @@ def run_efficiency(t: Tables) -> DataFrame:
     return runs(t).withColumn("ei_mean", F.when(hard, F.round(F.avg("ei").over(w), 6))).select("row_hash", "km", "pace", "ei", "reserve", "zone", "ei_mean")
 
 
-@query("fastest_runs", RUN_SQL + f"""SELECT row_hash, {rd("distance", 2)} AS km, {rd("duration / distance", 2)} AS pace, {rd("duration / distance", 2)} * 10 AS ten_km_minutes FROM rr WHERE {rd("distance", 2)} BETWEEN 9.7 AND 40 ORDER BY pace, row_hash LIMIT 5""")
+@query("fastest_runs", RUN_SQL + f"""SELECT row_hash, {rd("distance", 2)} AS km, {rd("duration / distance", 2)} AS pace, {rd("duration / distance", 2)} * 10 AS ten_km_minutes, round(avg_hr / 190.0 * 100) AS effort, round({rd("duration / distance", 2)} - 5.0, 2) AS gap
+FROM rr WHERE {rd("distance", 2)} BETWEEN 9.7 AND 10.6 ORDER BY pace, row_hash LIMIT 5""")
 def fastest_runs(t: Tables) -> DataFrame:
-    """SO-08, PR-04: top five, and the time that their pace gives over ten kilometres."""
-    top = runs(t).filter("km BETWEEN 9.7 AND 40").orderBy("pace", "row_hash").limit(5)
-    return top.select("row_hash", "km", "pace", (F.col("pace") * 10).alias("ten_km_minutes"))
+    """SO-08, PR-04: top five, the time that their pace gives over ten kilometres, their effort, and the gap to a goal of 50 minutes."""
+    from .plans.dashboard import fastest, projected
+
+    return projected(fastest(runs(t)), goal=5.0).select("row_hash", "km", "pace", "ten_km_minutes", "effort", "gap")
 
 
 @query("longest_run", RUN_SQL + "SELECT subject_id, max_by(row_hash, (" + rd("distance", 2) + ", row_hash)) AS row_hash, max(" + rd("distance", 2) + ") AS km FROM rr GROUP BY ALL")
 def longest_run(t: Tables) -> DataFrame:
     """SO-09."""
-    return runs(t).groupBy("subject_id").agg(F.max_by("row_hash", F.struct("km", "row_hash")).alias("row_hash"), F.max("km").alias("km"))
+    from .plans.dashboard import longest
+
+    return longest(runs(t), ["subject_id"]).select("subject_id", "row_hash", "km")
 
 
 HALF_A, HALF_B = "avg(v) FILTER (WHERE d BETWEEN t - 29 AND t - 15)", "avg(v) FILTER (WHERE d BETWEEN t - 14 AND t)"
@@ -547,30 +551,36 @@ def variation(t: Tables) -> DataFrame:
     return text(out, "d")
 
 
+@query("last_night", """, n AS (SELECT subject_id, (start_ts + INTERVAL 6 HOUR)::DATE AS night FROM seg) SELECT subject_id, CAST(min(night) AS VARCHAR) AS first_night, CAST(max(night) AS VARCHAR) AS last_night, count(DISTINCT night) AS nights FROM n GROUP BY ALL""")
+def last_night(t: Tables) -> DataFrame:
+    """AG-14: an athlete's earliest and latest night."""
+    from .plans.recovery import night_range
+
+    return text(night_range(t.seg, ["subject_id"]), "first_night", "last_night")
+
+
 @query("block_variation", ROLL_SQL + """, nb AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY d) AS i FROM dv)
 SELECT a.subject_id, CAST(a.d AS VARCHAR) AS d, round(stddev_samp(b.v) / abs(avg(b.v)), 4) AS cv FROM nb a JOIN nb b ON b.subject_id = a.subject_id AND b.i BETWEEN a.i - 4 AND a.i WHERE a.i >= 5 GROUP BY a.subject_id, a.d""")
 def block_variation(t: Tables) -> DataFrame:
     """WN-17: the variation of each five consecutive values."""
-    w = Window.partitionBy("subject_id").orderBy("d").rowsBetween(-4, 0)
-    out = hrv_days(t).withColumns({"n": F.count("v").over(w), "cv": F.round(F.try_divide(F.stddev_samp("v").over(w), F.abs(F.avg("v").over(w))), 4)})
-    return text(out.filter("n = 5").select("subject_id", "d", "cv"), "d")
+    out = rolling.block_variation(hrv_days(t), ["subject_id"], "d", "v", 5)
+    return text(out.select("subject_id", "d", F.round("cv", 4).alias("cv")), "d")
 
 
-@query("log_reference", """SELECT subject_id, count(*) AS n, round(avg(ln(value)), 5) AS hrv_ln_mean, round(stddev_samp(ln(value)), 5) AS hrv_ln_sd, round(0.5 * stddev_samp(ln(value)), 5) AS hrv_swc_edge, round(quantile_cont(ln(value), 0.5), 5) AS hrv_ln_median FROM rec WHERE type = 'hrv' AND value > 0 GROUP BY ALL""")
+@query("log_reference", """SELECT subject_id, count(*) AS n, round(avg(ln(value)), 5) AS hrv_ln_mean, round(stddev_samp(ln(value)), 5) AS hrv_ln_sd, round(0.5 * stddev_samp(ln(value)), 5) AS hrv_swc_edge, round(quantile_cont(ln(value), 0.5), 5) AS hrv_ln_median, round(1.4826 * mad(ln(value)), 5) AS hrv_ln_mad_scale FROM rec WHERE type = 'hrv' AND value > 0 GROUP BY ALL""")
 def log_reference(t: Tables) -> DataFrame:
     """AG-31."""
     from .plans.calibration import reference_stats
 
-    return reference_stats(t.rec.filter("type = 'hrv'").withColumnRenamed("value", "hrv"), ["subject_id"]).drop("hrv_ln_mad_scale")
+    return reference_stats(t.rec.filter("type = 'hrv'").withColumnRenamed("value", "hrv"), ["subject_id"])
 
 
 @query("correlation", """, x AS (SELECT subject_id, start_ts::DATE AS d, avg(value) FILTER (WHERE type = 'hrv') AS h, avg(value) FILTER (WHERE type = 'heart_rate') AS r FROM rec GROUP BY ALL) SELECT subject_id, round(corr(h, r), 4) AS r, count(*) AS n FROM x WHERE h IS NOT NULL AND r IS NOT NULL GROUP BY ALL""")
 def correlation(t: Tables) -> DataFrame:
     """AG-28, JN-13, ST-03."""
-    day = F.to_date("start_ts").alias("d")
-    h = t.rec.filter("type = 'hrv'").groupBy("subject_id", day).agg(F.avg("value").alias("h"))
-    r = t.rec.filter("type = 'heart_rate'").groupBy("subject_id", day).agg(F.avg("value").alias("r"))
-    return h.join(r, ["subject_id", "d"]).groupBy("subject_id").agg(F.round(F.corr("h", "r"), 4).alias("r"), F.count(F.lit(1)).alias("n"))
+    from .plans.calibration import agreement
+
+    return agreement(t.rec, ["subject_id"], "hrv", "heart_rate").select("subject_id", F.round("r", 4).alias("r"), "n")
 
 
 def identity_sql(table: str = "rec") -> str:
@@ -603,12 +613,11 @@ def collapse_survivors(t: Tables) -> DataFrame:
   (SELECT count(DISTINCT wk.row_hash) FROM seg JOIN wk ON wk.subject_id = seg.subject_id AND wk.start_ts::DATE = seg.start_ts::DATE) AS linked""")
 def orphans(t: Tables) -> DataFrame:
     """JN-06, JN-07, AG-11, MG-04."""
-    key = ["subject_id", "day"]
-    child, parent = (df.withColumn("day", F.to_date("start_ts")) for df in (t.seg, t.wk))
-    alone = child.join(parent.select(*key), key, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
-    linked = parent.join(child.select(*key), key, "left_semi").agg(F.countDistinct("row_hash").alias("linked"))
-    rows = [child.agg(F.count(F.lit(1)).alias("total")), alone, linked]
-    return rows[0].join(F.broadcast(rows[1])).join(F.broadcast(rows[2]))  # one row each
+    from .plans.maintenance import link_counts
+
+    key = F.concat_ws("|", "subject_id", F.to_date("start_ts")).alias("workout_hash")
+    told = link_counts(t.seg.select(key), t.wk.select(key, "row_hash"))
+    return told.select("total", "orphans", "linked")
 
 
 @query("identity_drift", """, h AS (SELECT subject_id, row_hash, stage, lag(stage) OVER (PARTITION BY subject_id ORDER BY start_ts, row_hash) AS p FROM seg) SELECT row_hash FROM h WHERE stage IS DISTINCT FROM p""")
@@ -697,29 +706,6 @@ def late_orders(t: Tables) -> DataFrame:
     return kept.join(lines.filter("l_returnflag = 'R'").select("o_orderkey"), "o_orderkey", "left_anti").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("recovery")
-def recovery(t: Tables) -> DataFrame:
-    """TL-14, SR-02..12: every night of every athlete at once."""
-    from .plans.recovery import recovery as score
-
-    kinds = {"heart_rate": "heart_rate", "hrv": "hrv", "step_count": "respiratory_rate", "active_energy": "sleeping_wrist_temperature"}
-    records = t.rec.withColumn("type", ids.lookup(kinds, F.col("type")))
-    return text(score(t.seg, records, ["subject_id"]).select("subject_id", "night", "state", "score", "band", "confidence", "ci"), "night")
-
-
-@query("readiness")
-def readiness(t: Tables) -> DataFrame:
-    """TL-15, SR-13, SR-15..17, SC-55."""
-    from .plans.recovery import readiness as score
-    from .plans.recovery import recovery as nights
-
-    kinds = {"heart_rate": "heart_rate", "hrv": "hrv", "step_count": "respiratory_rate", "active_energy": "sleeping_wrist_temperature"}
-    records = t.rec.withColumn("type", ids.lookup(kinds, F.col("type")))
-    known = t.rec.select("subject_id").distinct().withColumns({"hr_max": F.lit(190.0), "resting_hr": F.lit(60.0)})
-    out = score(nights(t.seg, records, ["subject_id"]), t.wk, t.rec, known, ["subject_id"])
-    return text(out.select("subject_id", "night", "readiness", "readiness_band", "acwr", "penalty", "recommendation"), "night")
-
-
 @query("sleep_scores", """, n AS (SELECT subject_id, (start_ts + INTERVAL 6 HOUR)::DATE AS night, sum(date_diff('second', start_ts, end_ts)) FILTER (WHERE stage IN ('asleep', 'core', 'deep', 'rem')) / 3600.0 AS h, sum(date_diff('second', start_ts, end_ts)) FILTER (WHERE stage IN ('deep', 'rem')) / 3600.0 AS d, count(*) FILTER (WHERE stage = 'awake') AS w FROM seg GROUP BY ALL),
 p AS (SELECT subject_id, night, CASE WHEN h IS NOT NULL THEN greatest(0, least(100, CASE WHEN h <= 8 THEN 100 - 20 * (8 - h) ELSE 100 - 10 * (h - 8) END)) END AS a, CASE WHEN h <> 0 AND d IS NOT NULL THEN greatest(0, least(100, 100 * d / h / 0.45)) END AS b, greatest(0, least(100, 100 - 8 * w)) AS c FROM n)
 SELECT subject_id, CAST(night AS VARCHAR) AS night, """ + rd("(coalesce(a * 0.6, 0) + coalesce(b * 0.15, 0) + c * 0.15) / (CASE WHEN a IS NULL THEN 0 ELSE 0.6 END + CASE WHEN b IS NULL THEN 0 ELSE 0.15 END + 0.15)", 1) + """ AS score FROM p""")
@@ -775,8 +761,10 @@ def work_summary(t: Tables) -> DataFrame:
     return text(told.select("subject_id", "d", "steps", "work_count", "recovery_count", "distance_km", "interval_structure"), "d")
 
 
-@query("load_per_week_board", GRID_SQL + """, rk AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY week DESC) AS k FROM gr) SELECT subject_id, CAST(week AS VARCHAR) AS week, km, n FROM rk WHERE k <= 3 AND load > 0""")
+@query("load_per_week_board", GRID_SQL + """, rk AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY week DESC) AS k FROM gr) SELECT subject_id, CAST(week AS VARCHAR) AS week, km, n FROM rk WHERE k <= 8""")
 def load_per_week_board(t: Tables) -> DataFrame:
-    """WN-24, SO-10, PR-07: the newest weeks that had load."""
-    place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("week")))
-    return text(grid(t).withColumn("k", place).filter("k <= 3 AND load > 0").select("subject_id", "week", "km", "n"), "week")
+    """WN-24, SO-10, PR-07: the last eight weeks side by side."""
+    return text(rolling.newest(grid(t), ["subject_id"], "week", 8).select("subject_id", "week", "km", "n"), "week")
+
+
+from . import catalog_imports, catalog_more, catalog_recovery  # noqa: E402, F401  they register their queries

@@ -65,6 +65,11 @@ class Scoring:
 DEFAULT = Scoring()
 
 
+def settled(x: Column, digits: int) -> Column:
+    """Rounded twice, so that the order of a sum doesn't decide about a half."""
+    return F.round(F.round(x, 9), digits)
+
+
 def z_score(x: Column, center: Column, scale: Column) -> Column:
     return F.try_divide(x - center, F.nullif(scale, F.lit(0.0)))
 
@@ -116,7 +121,7 @@ def sleep_score(hours: Column, need: Column, deep_rem: Column, awakenings: Colum
         "awakenings": clamp(100 - awakenings * cfg.awakening),
         "regularity": clamp(100 * (1 - regularity / cfg.regularity_zero)),
     }
-    return F.round(weighted_mean(parts, cfg.sleep_weights), 1)
+    return settled(weighted_mean(parts, cfg.sleep_weights), 1)
 
 
 def band(score: Column, cfg: Scoring = DEFAULT) -> Column:
@@ -130,9 +135,9 @@ def confidence(n: Column, cfg: Scoring = DEFAULT) -> Column:
 def recovery(scores: dict[str, Column], confidences: dict[str, Column], cfg: Scoring = DEFAULT) -> dict[str, Column]:
     """score, confidence and ci; weights shrink with confidence, unless all confidence is 0."""
     trusted = weighted_mean(scores, {k: cfg.weights[k] * confidences[k] for k in scores})
-    score = F.round(F.coalesce(trusted, weighted_mean(scores, cfg.weights)), 1)
+    score = settled(F.coalesce(trusted, weighted_mean(scores, cfg.weights)), 1)
     sure = weighted_mean({k: F.when(s.isNotNull(), confidences[k]) for k, s in scores.items()}, cfg.weights)
-    return {"score": score, "confidence": F.round(sure, 3), "ci": F.round((1 - sure) * cfg.ci_max, 1)}
+    return {"score": score, "confidence": settled(sure, 3), "ci": settled((1 - sure) * cfg.ci_max, 1)}
 
 
 def load_penalty(acwr: Column, owed_hours: Column, cfg: Scoring = DEFAULT) -> Column:
@@ -156,7 +161,7 @@ def illness(z: dict[str, Column], cfg: Scoring = DEFAULT) -> dict[str, Column]:
 
 
 def readiness(score: Column, penalty: Column, triggered: Column, cfg: Scoring = DEFAULT) -> Column:
-    plain = F.round(clamp(score - penalty), 1)
+    plain = settled(clamp(score - penalty), 1)
     return F.when(triggered, F.least(plain, F.lit(cfg.illness_cap))).otherwise(plain)
 
 

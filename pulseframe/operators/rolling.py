@@ -53,25 +53,31 @@ def acwr(daily: DataFrame, by: list[str], day: str = "day", load: str = "load",
     return out.select(*by, day, F.round("acute_7d", 1).alias("acute_7d"), F.round("_chronic", 1).alias("chronic_28d_weekly"), "acwr", "flag")
 
 
-def exponential_load(daily: DataFrame, by: list[str], day: str = "day", load: str = "load", fatigue: int = 7, fitness: int = 42) -> DataFrame:
+def exponential_load(daily: DataFrame, by: list[str], day: str = "day", load: str = "load", fatigue: int = 7, fitness: int = 42, block: int = 64) -> DataFrame:
     """Fatigue, fitness and form of each day of a day-contiguous series.
 
-    The recursion x += (load - x) / n has no window form that stays in range, so it folds
-    over a group's days in order: one array of doubles for each athlete.
+    The recursion x += (load - x) / n keeps the share r = 1 - 1/n of what was there a day before. Inside a
+    block of days its closed form is a running sum of loads over powers of r, which stay in range; what a
+    block hands on is folded over each athlete's blocks, a 64th of the days.
     """
-    days = daily.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), F.col(load).cast("double").alias("load")))).alias("s"))
-    start = F.expr("named_struct('a', 0D, 'c', 0D, 'out', CAST(array() AS array<struct<day:date,atl:double,ctl:double>>))")
-
-    def step(acc, x):
-        a = acc.a + (x.load - acc.a) / fatigue
-        c = acc.c + (x.load - acc.c) / fitness
-        row = F.struct(x.day.alias("day"), a.alias("atl"), c.alias("ctl"))
-        return F.struct(a.alias("a"), c.alias("c"), F.concat(acc.out, F.array(row)).alias("out"))
-
-    rows = days.select(*by, F.explode(F.aggregate("s", start, step, lambda acc: acc.out)).alias("r"))
-    return rows.select(
-        *by, F.col("r.day").alias(day), F.round("r.atl", 1).alias("atl"), F.round("r.ctl", 1).alias("ctl"), F.round(F.col("r.ctl") - F.col("r.atl"), 1).alias("tsb")
-    )
+    keep = {"atl": 1 - 1 / fatigue, "ctl": 1 - 1 / fitness}
+    number = F.unix_date(F.col(day))
+    days = daily.select(*by, day, F.col(load).cast("double").alias("_load"), F.floor(number / block).alias("_block"), F.pmod(number, F.lit(block)).alias("_at"))
+    w = Window.partitionBy(*by, "_block").orderBy("_at")
+    power = lambda r, n: F.pow(F.lit(r), n.cast("double"))
+    own = days.withColumns({f"_{x}": F.sum(F.col("_load") * power(r, -F.col("_at"))).over(w) * power(r, F.col("_at")) * (1 - r) for x, r in keep.items()})
+    ends = own.groupBy(*by, "_block").agg(*(F.max_by(f"_{x}", "_at").alias(x) for x in keep))
+    blocks = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", *keep))).alias("_blocks"))
+    start = F.expr("named_struct('atl', 0D, 'ctl', 0D, 'out', CAST(array() AS array<struct<_block:bigint,atl:double,ctl:double>>))")
+
+    def step(held, x):
+        handed = F.array(F.struct(x["_block"].alias("_block"), held.atl.alias("atl"), held.ctl.alias("ctl")))
+        return F.struct(*((held[k] * r**block + x[k]).alias(k) for k, r in keep.items()), F.concat(held.out, handed).alias("out"))
+
+    before = blocks.select(*by, F.explode(F.aggregate("_blocks", start, step, lambda held: held.out)).alias("_r")).select(*by, "_r.*")
+    both = own.join(before, [*by, "_block"])
+    found = both.withColumns({x: F.col(x) * power(r, F.col("_at") + 1) + F.col(f"_{x}") for x, r in keep.items()})
+    return found.select(*by, day, F.round("atl", 1).alias("atl"), F.round("ctl", 1).alias("ctl"), F.round(F.col("ctl") - F.col("atl"), 1).alias("tsb"))
 
 
 def streaks(df: DataFrame, by: list[str], day: str, days_apart: int = 7) -> DataFrame:
@@ -81,12 +87,25 @@ def streaks(df: DataFrame, by: list[str], day: str, days_apart: int = 7) -> Data
     return df.withColumn("_anchor", anchor).groupBy(*by, "_anchor").agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count(F.lit(1)).alias("n")).drop("_anchor")
 
 
+def block_variation(df: DataFrame, by: list[str], day: str, value: str, width: int) -> DataFrame:
+    """(by, day, cv): coefficient of variation of each ``width`` consecutive values."""
+    w = Window.partitionBy(*by).orderBy(day).rowsBetween(1 - width, 0)
+    share = F.try_divide(F.stddev_samp(value).over(w), F.abs(F.avg(value).over(w)))
+    return df.select(*by, day, F.count(value).over(w).alias("_n"), share.alias("cv")).filter(F.col("_n") == width).drop("_n")
+
+
+def newest(df: DataFrame, by: list[str], day: str, n: int) -> DataFrame:
+    """The last ``n`` rows of each group."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(day)))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
 def as_of(probes: DataFrame, facts: DataFrame, by: list[str], day: str, value: str, default=None) -> DataFrame:
-    """``probes`` with the latest ``value`` on or before their day: one sort by key and day, no range join."""
+    """``probes`` with the latest ``value`` on or before their day (of several at once the greatest): one sort by key and day, no range join."""
     columns = probes.columns
     marked = probes.withColumn("_fact", F.lit(None).cast(facts.schema[value].dataType)).withColumn("_probe", F.lit(1))
     known = facts.filter(F.col(value).isNotNull()).select(*by, day, F.col(value).alias("_fact")).withColumn("_probe", F.lit(0))
-    w = Window.partitionBy(*by).orderBy(day, "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy(day, "_probe", "_fact").rowsBetween(Window.unboundedPreceding, 0)
     both = marked.unionByName(known, allowMissingColumns=True).withColumn(value, F.last("_fact", ignorenulls=True).over(w))
     out = both.filter("_probe = 1").select(*columns, value)
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))

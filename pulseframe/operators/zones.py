@@ -13,9 +13,18 @@ from .dedup import real_workouts
 
 
 def gap_weights(samples: DataFrame, by: list[str], at: str = "start_ts", cap: int = 60, tie: str = "row_hash") -> DataFrame:
-    """``samples`` with ``seconds`` to the next one, ``cap`` at most; the last weighs nothing."""
-    following = F.lead(at).over(Window.partitionBy(*by).orderBy(at, tie))
-    return samples.withColumn("seconds", F.least(F.coalesce(seconds(following) - seconds(F.col(at)), F.lit(0)), F.lit(cap)))
+    """``samples`` with ``seconds`` to the next one, ``cap`` at most; the last weighs nothing.
+
+    Samples are ordered within their day; a day's last one looks at the first of the athlete's next day, of
+    which there is one row a day.
+    """
+    placed = samples.withColumn("_day", F.to_date(at))
+    firsts = placed.groupBy(*by, "_day").agg(F.min(at).alias("_first"))
+    later = firsts.select(*by, "_day", F.lead("_first").over(Window.partitionBy(*by).orderBy("_day")).alias("_later"))
+    within = F.lead(at).over(Window.partitionBy(*by, "_day").orderBy(at, tie))
+    following = F.coalesce("_within", "_later")
+    found = placed.withColumn("_within", within).join(later, [*by, "_day"])
+    return found.withColumn("seconds", F.least(F.coalesce(seconds(following) - seconds(F.col(at)), F.lit(0)), F.lit(cap))).drop("_day", "_within", "_later")
 
 
 def time_in_zones(samples: DataFrame, by: list[str], models: dict[str, list[tuple[str, float]]], cap: int = 60, tie: str = "row_hash") -> DataFrame:

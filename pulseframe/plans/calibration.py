@@ -53,6 +53,13 @@ def fit(features: DataFrame, labels: DataFrame, penalty: float = 1.0) -> dict:
     return out
 
 
+def agreement(records: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
+    """(by, r, n): Pearson's correlation of two metrics' daily means, over days that have both."""
+    own = records.filter(F.col("type").isin(first, second)).groupBy(*by, F.to_date("start_ts").alias("d"))
+    days = own.agg(*(F.avg(F.when(F.col("type") == m, F.col("value"))).alias(c) for c, m in (("a", first), ("b", second)))).filter("a IS NOT NULL AND b IS NOT NULL")
+    return days.groupBy(*by).agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n"))
+
+
 def reference_stats(history: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean, spread, robust spread and smallest worthwhile change of log HRV over the whole history."""
     by = by or []

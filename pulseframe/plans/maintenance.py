@@ -8,17 +8,26 @@ from pyspark.sql import functions as F
 from ..operators.dedup import real_steps
 
 
+def link_counts(events: DataFrame, workouts: DataFrame) -> DataFrame:
+    """One row: steps in all, steps without a workout, and workouts with steps. ``workouts`` has workout_hash and row_hash."""
+    marked = events.groupBy("workout_hash").agg(F.count(F.lit(1)).alias("steps"))
+    known = workouts.groupBy("workout_hash").agg(F.countDistinct("row_hash").alias("rows"))
+    both = marked.join(known, "workout_hash", "left")
+    return both.agg(
+        F.coalesce(F.sum("steps"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("rows").isNull(), F.col("steps"))), F.lit(0)).alias("orphans"), F.coalesce(F.sum("rows"), F.lit(0)).alias("linked")
+    )
+
+
 def link_report(events: DataFrame, workouts: DataFrame) -> dict[str, int]:
     """Steps in all, real ones, repetitions, orphans, workouts with steps, and sessions of intervals."""
-    real = real_steps(events)
-    parents = workouts.select(F.col("row_hash").alias("workout_hash")).distinct()
-    linked = events.join(parents, "workout_hash", "left_semi")
+    linked = link_counts(events, workouts.select(F.col("row_hash").alias("workout_hash"), "row_hash")).first()
+    kinds = real_steps(events).agg(F.count(F.lit(1)).alias("deduped"), F.count(F.when(F.col("event_kind") == "activity", 1)).alias("reps")).first()
     return {
-        "total": events.count(),
-        "deduped": real.count(),
-        "reps": real.filter("event_kind = 'activity'").count(),
-        "orphans": events.join(parents, "workout_hash", "left_anti").count(),
-        "linked_workouts": linked.agg(F.countDistinct("workout_hash")).first()[0],
+        "total": linked["total"],
+        "deduped": kinds["deduped"],
+        "reps": kinds["reps"],
+        "orphans": linked["orphans"],
+        "linked_workouts": linked["linked"],
         "interval_sessions": events.filter("event_kind = 'activity'").agg(F.countDistinct("workout_hash")).first()[0],
     }
 

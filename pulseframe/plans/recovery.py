@@ -22,21 +22,21 @@ ASLEEP = ("asleep", "core", "deep", "rem")
 METRICS = {"hrv": "hrv", "sleeping_hr": "heart_rate", "resp": "respiratory_rate", "temp": "sleeping_wrist_temperature"}
 
 
-def night_means(sleep: DataFrame, records: DataFrame, by: list[str], metric: str) -> DataFrame:
-    """(by, night, value, samples): the metric's mean between a night's first start and last end."""
+def night_values(sleep: DataFrame, records: DataFrame, by: list[str], metrics: dict[str, str]) -> DataFrame:
+    """(by, night, a mean and a count <name>_n for each metric) between a night's first start and last end, from one range join."""
     own = sleep.filter(F.col("stage").isin(*ASLEEP, "in_bed"))
     spans = own.groupBy(*by, wake_day(F.col("start_ts")).alias("night")).agg(F.min("start_ts").alias("win_start"), F.max("end_ts").alias("win_end"))
-    points = records.filter(F.col("type") == metric).select(*by, "start_ts", "value")
-    return intervals.averages_within(spans, points, by, ["night"], "start_ts", "value", "win_start", "win_end")
-
-
-def segments(sleep: DataFrame, by: list[str], stages: tuple[str, ...]) -> DataFrame:
-    own = sleep.filter(F.col("stage").isin(*stages))
-    return own.select(*by, wake_day(F.col("start_ts")).alias("night"), F.col("start_ts").alias("seg_start"), F.col("end_ts").alias("seg_end"))
+    points = records.filter(F.col("type").isin(*metrics.values())).select(*by, "start_ts", "type", "value")
+    inside = intervals.points_in(points, spans, by, "start_ts", "win_start", "win_end", True)
+    of = {name: F.when(F.col("type") == metric, F.col("value")) for name, metric in metrics.items()}
+    return inside.groupBy(*by, "night").agg(*(F.avg(v).alias(n) for n, v in of.items()), *(F.count(v).alias(f"{n}_n") for n, v in of.items()))
 
 
-def asleep_hours(parts: DataFrame, by: list[str]) -> DataFrame:
-    return parts.groupBy(*by, "night").agg((F.sum(seconds(F.col("seg_end")) - seconds(F.col("seg_start"))) / 3600).alias("asleep_hours"))
+def night_means(sleep: DataFrame, records: DataFrame, by: list[str], metric: str) -> DataFrame:
+    """(by, night, value, samples) of one metric; nights without samples stay."""
+    own = sleep.filter(F.col("stage").isin(*ASLEEP, "in_bed")).select(*by, wake_day(F.col("start_ts")).alias("night")).distinct()
+    found = night_values(sleep, records, by, {"value": metric})
+    return own.join(found, [*by, "night"], "left").select(*by, "night", "value", F.coalesce("value_n", F.lit(0)).alias("samples"))
 
 
 def sleeping_rate(sleep: DataFrame, records: DataFrame, by: list[str], window: int = 5, least_samples: int = 2, least_hours: float = 3.0, least_windows: int = 5, low: float = 0.05) -> DataFrame:
@@ -44,24 +44,30 @@ def sleeping_rate(sleep: DataFrame, records: DataFrame, by: list[str], window: i
 
     Of nights with stages: the least mean of ``window`` minutes with ``least_samples``
     samples, over samples in deep, core or REM sleep; a night too short or with too few
-    windows has none. Of nights with generic sleep only: a low percentile.
+    windows has none. Of nights with generic sleep only: a low percentile. A night is of
+    one kind, so both come from one range join and one pass over its samples.
     """
+    night, key = Window.partitionBy(*by, "night"), [*by, "night"]
     points = records.filter("type = 'heart_rate'").select(*by, "start_ts", "value")
-    staged, generic = segments(sleep, by, ("core", "deep", "rem")), segments(sleep, by, ("asleep",))
-    generic = generic.join(staged.select(*by, "night").distinct(), [*by, "night"], "left_anti")
-    within = lambda parts: intervals.points_in(points, parts, by, "start_ts", "seg_start", "seg_end", False)
+    own = sleep.filter(F.col("stage").isin(*ASLEEP)).select(
+        *by, wake_day(F.col("start_ts")).alias("night"), F.col("start_ts").alias("seg_start"), F.col("end_ts").alias("seg_end"), (F.col("stage") != "asleep").alias("staged")
+    )
+    parts = own.withColumn("_any", F.max("staged").over(night)).filter("staged = _any").drop("_any")
+    hours = (F.sum(seconds(F.col("seg_end")) - seconds(F.col("seg_start"))) / 3600).alias("asleep_hours")
+    slept = parts.groupBy(*key).agg(hours, F.max("staged").alias("staged"))
     # whole microseconds, so the frame is the same for either kind of timestamp
-    ahead = Window.partitionBy(*by, "night").orderBy("at").rangeBetween(0, window * 60_000_000)
-    sample = within(staged).withColumn("at", micros(F.col("start_ts")))
-    windows = sample.select(*by, "night", F.avg("value").over(ahead).alias("mean"), F.count(F.lit(1)).over(ahead).alias("n")).filter(F.col("n") >= least_samples)
-    lowest = windows.groupBy(*by, "night").agg(F.min("mean").alias("value"), F.count(F.lit(1)).alias("valid_windows"))
-    first = asleep_hours(staged, by).join(lowest, [*by, "night"], "left").withColumn("valid_windows", F.coalesce("valid_windows", F.lit(0)))
-    good = (F.col("asleep_hours") >= least_hours) & (F.col("valid_windows") >= least_windows)
-    first = first.select(*by, "night", F.when(good, F.col("value")).alias("value"), F.lit("stage_restricted").alias("source"), "asleep_hours", "valid_windows")
-    percentile = within(generic).groupBy(*by, "night").agg(F.percentile("value", F.lit(low)).alias("value"))
-    second = asleep_hours(generic, by).join(percentile, [*by, "night"], "left")
-    second = second.select(*by, "night", F.when(F.col("asleep_hours") >= least_hours, F.col("value")).alias("value"), F.lit("p5_fallback").alias("source"), "asleep_hours", F.lit(None).cast("long").alias("valid_windows"))
-    return first.unionByName(second)
+    ahead = night.orderBy("at").rangeBetween(0, window * 60_000_000)
+    sample = intervals.points_in(points, parts.drop("staged"), by, "start_ts", "seg_start", "seg_end", False).withColumn("at", micros(F.col("start_ts")))
+    windows = sample.select(*key, "value", F.avg("value").over(ahead).alias("mean"), F.count(F.lit(1)).over(ahead).alias("n"))
+    full = F.col("n") >= least_samples
+    told = windows.groupBy(*key).agg(F.min(F.when(full, F.col("mean"))).alias("lowest"), F.count(F.when(full, 1)).alias("windows"), F.percentile("value", F.lit(low)).alias("low"))
+    out = slept.join(told, key, "left")
+    long, enough = F.col("asleep_hours") >= least_hours, F.col("windows") >= least_windows
+    value = F.when(F.col("staged"), F.when(long & enough, F.col("lowest"))).otherwise(F.when(long, F.col("low")))
+    return out.select(
+        *key, value.alias("value"), F.when(F.col("staged"), "stage_restricted").otherwise("p5_fallback").alias("source"), "asleep_hours",
+        F.when(F.col("staged"), F.coalesce("windows", F.lit(0))).alias("valid_windows"),
+    )
 
 
 def sleep_inputs(sleep: DataFrame, by: list[str]) -> DataFrame:
@@ -73,6 +79,12 @@ def sleep_inputs(sleep: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def night_range(sleep: DataFrame, by: list[str]) -> DataFrame:
+    """(by, first_night, last_night, nights)."""
+    night = wake_day(F.col("start_ts"))
+    return sleep.groupBy(*by).agg(F.min(night).alias("first_night"), F.max(night).alias("last_night"), F.countDistinct(night).alias("nights"))
+
+
 def regularity(nights: DataFrame, by: list[str], days: int = 14) -> DataFrame:
     """``nights`` with the spread of bedtimes, in minutes, over the night and the ``days`` before."""
     w = rolling.day_window(by, "night", -days, 0)
@@ -84,9 +96,9 @@ def recovery(sleep: DataFrame, records: DataFrame, by: list[str], cfg: sc.Scorin
     """One row a night: state, score, band, confidence, ci, and z, sub-score and baseline size of each metric."""
     nights = regularity(sleep_inputs(sleep, by), by)
     key = [*by, "night"]
-    for name, metric in METRICS.items():
-        found = sleeping_rate(sleep, records, by, hr_window) if name == "sleeping_hr" else night_means(sleep, records, by, metric)
-        nights = nights.join(found.select(*key, F.col("value").alias(name)), key, "left")
+    means = {n: m for n, m in METRICS.items() if n != "sleeping_hr"}
+    nights = nights.join(night_values(sleep, records, by, means).select(*key, *means), key, "left")
+    nights = nights.join(sleeping_rate(sleep, records, by, hr_window).select(*key, F.col("value").alias("sleeping_hr")), key, "left")
     before = lambda c, first, last: bl.trailing(nights, by, "night", c, first, last)
     held = {f"{n}_base": before(n, -cfg.window_days, -1) for n in METRICS} | {"hours_base": before("hours_asleep", -cfg.window_days, -1)}
     held["hrv_recent"] = before("hrv", 1 - max(cfg.smoothing_days, 1), 0)
@@ -95,10 +107,11 @@ def recovery(sleep: DataFrame, records: DataFrame, by: list[str], cfg: sc.Scorin
     nights = nights.withColumn("cv_base", bl.rolling_variations(F.col("hrv_logs"), cfg.smoothing_days))
     # one row for each night and metric: their baselines are one set of expressions
     sources = {"hrv": "hrv_logs", "sleeping_hr": "sleeping_hr_base", "resp": "resp_base", "temp": "temp_base", "hrv_cv": "cv_base"}
-    tall = nights.select(*key, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).alias("values")) for n, c in sources.items()))).alias("m"))
-    tall = bl.with_baseline(tall.select(*key, "m.metric", "m.values"), "values", "b", cfg)
+    whole = [c for c in nights.columns if c not in key]
+    tall = nights.withColumn("m", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).alias("values")) for n, c in sources.items()))))
+    tall = bl.with_baseline(tall.select(*key, F.struct(*whole).alias("night_row"), "m.metric", "m.values"), "values", "b", cfg)
     wide = {f"{n}_{c}": F.max(F.when(F.col("metric") == n, F.col(f"b_{c}"))) for n in sources for c in ("center", "scale")}
-    nights = nights.join(tall.groupBy(*key).agg(*(c.alias(n) for n, c in wide.items())), key)
+    nights = tall.groupBy(*key).agg(F.first("night_row").alias("night_row"), *(c.alias(n) for n, c in wide.items())).select(*key, "night_row.*", *wide)
     today = {"hrv": bl.average(F.col("recent_logs")), "sleeping_hr": F.col("sleeping_hr"), "resp": F.col("resp"), "temp": F.col("temp"), "hrv_cv": bl.variation(F.col("recent_logs"))}
     nights = nights.withColumns({f"{n}_z": sc.z_score(x, F.col(f"{n}_center"), F.col(f"{n}_scale")) for n, x in today.items()})
     share = F.try_divide(F.col("deep_rem_h"), F.nullif("hours_asleep", F.lit(0.0)))
@@ -122,27 +135,31 @@ def recovery(sleep: DataFrame, records: DataFrame, by: list[str], cfg: sc.Scorin
     return nights.select(*key, "state", "history_days", "score", "band", "confidence", "ci", "low_confidence", "hours_asleep", "awakenings", "regularity", need.alias("need_h"), *METRICS, *figures)
 
 
-def readiness(recovered: DataFrame, workouts: DataFrame, records: DataFrame, anchors: DataFrame, by: list[str], cfg: sc.Scoring = sc.DEFAULT) -> DataFrame:
-    """``recovered`` with workload, recovery still owed, illness signals and the readiness that follows."""
+def readiness(recovered: DataFrame, workouts: DataFrame, records: DataFrame, anchors: DataFrame, by: list[str], cfg: sc.Scoring = sc.DEFAULT, known_nights: DataFrame | None = None) -> DataFrame:
+    """``recovered`` with workload, recovery still owed, illness signals and the readiness that follows.
+
+    ``known_nights``: its (by, night), if they can be had without computing ``recovered`` again.
+    """
+    known_nights = recovered.select(*by, "night") if known_nights is None else known_nights
     days = load.daily_load(workouts, records, anchors, by).select(*by, "day", "load")
     # rest days up to the last night count as 0
-    nights = recovered.select(*by, F.col("night").alias("day"), F.lit(0.0).alias("load"))
+    nights = known_nights.select(*by, F.col("night").alias("day"), F.lit(0.0).alias("load"))
     contiguous = rolling.all_days(days.unionByName(nights).groupBy(*by, "day").agg(F.sum("load").alias("load")), by, "day", ["load"])
     ratio = rolling.acwr(contiguous, by, since=load.data_start(workouts, records, by)).withColumnRenamed("day", "night")
     impulse = tr.trimp(F.coalesce("duration", F.lit(0.0)), F.col("avg_hr"), F.col("resting_hr"), F.col("hr_max"))
     done = workouts.join(anchors, by).filter("end_ts IS NOT NULL").select(
         *by, F.col("end_ts").cast("timestamp").alias("at"), F.struct(F.coalesce(impulse, F.coalesce("energy", F.lit(0.0)) * tr.ENERGY_LOAD).alias("load"), F.col("end_ts").cast("timestamp").alias("end")).alias("last")
     )
-    probes = recovered.select(*by, "night", (F.date_add("night", 1)).cast("timestamp").alias("at"))
+    probes = known_nights.select(*by, "night", (F.date_add("night", 1)).cast("timestamp").alias("at"))
     last = rolling.as_of(probes, done, by, "at", "last").drop("at")
     out = recovered.join(ratio, [*by, "night"], "left").join(last, [*by, "night"], "left")
     waited = (micros(F.col("night").cast("timestamp") + F.expr("INTERVAL 8 HOURS")) - micros(F.col("last.end"))) / 6e7
     out = out.withColumn("owed_h", F.when(F.col("last").isNull(), 0.0).otherwise(load.owed_hours(F.col("last.load"), waited)))
-    ill = sc.illness({n: F.round(f"{n}_z", 2) for n in METRICS}, cfg)
+    ill = sc.illness({n: sc.settled(F.col(f"{n}_z"), 2) for n in METRICS}, cfg)
     out = out.withColumn("penalty", F.when(F.col("score").isNotNull(), sc.load_penalty(F.col("acwr"), F.col("owed_h"), cfg)))
     out = out.withColumn("readiness", sc.readiness(F.col("score"), F.col("penalty"), ill["triggered"], cfg)).withColumn("readiness_band", sc.band(F.col("readiness"), cfg))
     told = sc.recommendation(F.col("readiness_band"), F.col("acwr"), ill["triggered"] & F.col("score").isNotNull(), cfg)
-    return out.withColumns({"recommendation": told, "illness": F.struct(*(c.alias(n) for n, c in ill.items())), "penalty": F.round("penalty", 1), "owed_h": F.round("owed_h", 1)}).drop("last")
+    return out.withColumns({"recommendation": told, "illness": F.struct(*(c.alias(n) for n, c in ill.items())), "penalty": sc.settled(F.col("penalty"), 1), "owed_h": sc.settled(F.col("owed_h"), 1)}).drop("last")
 
 
 def contributors(row, cfg: sc.Scoring = sc.DEFAULT) -> list[dict]:
