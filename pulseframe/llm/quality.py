@@ -229,25 +229,26 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int
 
 
 def annotate(docs: DataFrame, labels: LabelModel, model: HashedScorer, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with weak_posterior and quality, and the names that these got."""
+    """``docs`` with votes (a digit for each labeller), weak_posterior and quality, and the names that these got."""
     held = docs.sparkSession.sparkContext.broadcast((labels, model))
-    names = {c: free_name(docs.columns, c) for c in ("weak_posterior", "quality")}
+    names = {c: free_name(docs.columns, c) for c in ("votes", "weak_posterior", "quality")}
 
     def run(batches):
         labels, model = held.value
         score = model.scorer()
         for batch in pieces(batches, text):
             texts = texts_of(batch, text)
-            weak = labels.posterior(np.array([votes_of(t) for t in texts], dtype=np.int64).reshape(-1, len(LABELLERS)))
-            columns = [*batch.columns, pa.array(weak, pa.float64()), pa.array([score(t) for t in texts], pa.float64())]
+            votes = [votes_of(t) for t in texts]
+            weak = labels.posterior(np.array(votes, dtype=np.int64).reshape(-1, len(LABELLERS)))
+            columns = [*batch.columns, pa.array(["".join(map(str, v)) for v in votes], pa.string()), pa.array(weak, pa.float64()), pa.array([score(t) for t in texts], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names.values()])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names.values())])), names
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.StringType() if c == "votes" else T.DoubleType()) for c, n in names.items())])), names
 
 
 def op4_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored, _ = annotate(docs, *fit(docs))
     return scored.select(
-        "doc_id", "weak_posterior", F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"), (F.col("quality") >= 0.5).alias("kept")
+        "doc_id", "votes", "weak_posterior", F.col("quality").alias("score"), (F.col("quality") >= 0.5).cast("int").alias("predicted"), (F.col("quality") >= 0.5).alias("kept")
     )
