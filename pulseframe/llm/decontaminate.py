@@ -34,7 +34,7 @@ from .common import free_name, pieces, table, texts_of, utf8
 
 WINDOW = 13
 #: Characters of benchmark text whose windows are searched in one pass.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 2_000_000
 #: Every so many text positions the suffix array keeps its value.
 SAMPLE = 8
 #: Bytes of documents in a shard.

@@ -308,7 +308,7 @@ class ContextTreeModel:
         size = source.agg(F.sum(F.octet_length("text")), F.sum(F.col("train").cast("long"))).first()
         self.train_docs = size[1] or 0
         self.n_blocks = max(1, math.ceil((size[0] or 0) / block_bytes))
-        self.blocks = source.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(self.n_blocks)).cast("int"))
+        self.blocks = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n_blocks)).cast("int"))
         self.parts = max(self.n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.gathered = self.scratch.keep(gathered(self.blocks.repartition(self.parts, "block"), depth), "gathered")
         self.words = self.scratch.keep(
