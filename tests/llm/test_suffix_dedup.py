@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -48,9 +49,10 @@ def test_equals_counting_all_strings(spark, monkeypatch, hot):
 def test_pieces_of_a_long_text(monkeypatch):
     draw = random.Random(9)
     data = "".join(draw.choice("ab") for _ in range(5000)).encode()
-    whole = S.anchors_of(data)
+    codes = S.of_bytes().codes(data)
+    whole = S.anchors_of(codes)
     monkeypatch.setattr(S, "PIECE", 700)
-    parts = S.anchors_of(data)
+    parts = S.anchors_of(codes)
     spread = lambda a: [(p, i) for p, f, z in zip(*map(list, a), strict=True) for i in range(f, z + 1)]
     assert spread(whole) == spread(parts)
 
@@ -70,3 +72,33 @@ def test_repeated_rows_nulls_and_empty(spark):
     rows = sorted((r.n_bytes, r.n_removed) for r in S.RepeatedPassages(docs).kept().collect())
     assert rows == [(0, 0), (300, 0), (450, 450), (900, 900), (900, 900)]
     assert S.RepeatedPassages(spark.createDataFrame([], SCHEMA)).kept().collect() == []
+
+
+def passages(texts, least):
+    """Runs and words that strings of ``least`` words cover which another document has."""
+    words = [(t or "").split() for t in texts]
+    holders = defaultdict(set)
+    for i, own in enumerate(words):
+        for at in range(len(own) - least + 1):
+            holders[tuple(own[at : at + least])].add(i)
+    out = []
+    for own in words:
+        hit = [False] * len(own)
+        for at in range(len(own) - least + 1):
+            if len(holders[tuple(own[at : at + least])]) > 1:
+                hit[at : at + least] = [True] * least
+        out.append((sum(h and (i == 0 or not hit[i - 1]) for i, h in enumerate(hit)), sum(hit)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_passages_of_other_documents(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    draw = random.Random(8)
+    say = lambda n: " ".join(draw.choice(["a", "be", "sea", "dé"]) for _ in range(n))
+    known = [say(n) for n in (40, 50, 51, 52, 70, 200)]
+    texts = [f"{say(draw.choice([0, 3, 60]))} {draw.choice(known)} {say(draw.choice([0, 1, 90]))}" for _ in range(40)]
+    texts += ["x " * 200, "x " * 40, f"{known[4]}\n{known[4]}", "y " * 300, None, "", texts[0], " ".join(known[5].split()[:51])]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.n_passages, r.passage_words, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.op10_suffix_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [a + b for a, b in zip(passages(texts, S.PASSAGE), without_repeats(texts, S.SPAN), strict=True)]
