@@ -17,8 +17,8 @@ replaces its own files with equal ones.
 Semantics. A null html is an empty payload; a null url has the key "" and URI "null:".
 Rows that repeat a page_id are captures of their own. A null page_id is above all
 others: such a row is a revisit if its payload has a response. Pages carry no time;
-the default capture time is EPOCH plus page_id seconds (none for a null id). An empty table gives an empty
-archive and index. Extra columns are ignored.
+the default capture time is EPOCH plus page_id seconds, modulo SPAN of them so that any id gives a
+date of this era (0 for a null id). An empty table gives an empty archive and index. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +47,9 @@ MERGE_ROWS = 100_000
 #: Digests (about 100 bytes each) that may be broadcast.
 BROADCAST_DIGESTS = 200_000
 EPOCH = 1_577_836_800
+SPAN = 1 << 32
+#: Tasks that read archives back, at most; one takes several archives beyond that.
+READERS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 CAPTURE = T.StructType(
@@ -197,7 +200,7 @@ class Archives:
                         out.write(data)
                         size += len(data)
                     kind = "response" if first is None else "revisit"
-                    captured = EPOCH + (page or 0)
+                    captured = EPOCH + (page or 0) % SPAN
                     data = packed(record(kind, page, url, captured, digest, utf8(payload), first))
                     out.write(data)
                     rows.append((url_key(url), captured, page, kind, digest, name, size, len(data)))
@@ -254,9 +257,9 @@ class Archives:
     def records(self) -> DataFrame:
         """All records read back from the archives; a revisit's payload is null, its size and digest are the response's."""
         root = self.scratch.path("archives")
-        spark = self.captures.sparkSession
-        files = self.captures.select("archive").distinct()
-        files = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "archive")
+        # dealt by number: a deal by name would be merged with distinct's own, and its partitions with each other
+        files = self.scratch.keep(self.captures.select("archive").distinct(), "files")
+        files = files.repartition(max(1, min(files.count(), READERS)))
 
         def run(batches):
             store, folder = fs.FileSystem.from_uri(root)
@@ -328,7 +331,8 @@ def op6_warc(spark, sf_dir):
     archives = Archives(table(spark, sf_dir, "pages"))
     read = archives.records().drop("payload", "url")
     history = archives.numbered().select("archive", "offset", "url_key", "captured", "index_no")
-    return read.join(history, ["archive", "offset"]).select(
+    # both sides grow with the pages
+    return read.hint("merge").join(history, ["archive", "offset"]).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "index_no"
     )
 
@@ -345,7 +349,7 @@ WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to,
-       url_key, 1577836800 + page_id AS captured,
-       row_number() OVER (ORDER BY url_key, 1577836800 + page_id, page_id) - 1 AS index_no
+       url_key, 1577836800 + ((page_id % 4294967296) + 4294967296) % 4294967296 AS captured,
+       row_number() OVER (ORDER BY url_key, ((page_id % 4294967296) + 4294967296) % 4294967296, page_id) - 1 AS index_no
 FROM u
 """

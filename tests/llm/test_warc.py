@@ -44,6 +44,20 @@ def test_null_ids_and_empty_table(spark):
     assert [r.page_id for r in archives.numbered().orderBy("index_no").collect()] == [None, 3]
 
 
+def test_ids_of_any_size_have_dates(spark):
+    ids = [10**15, -(10**15), 2**62, 0, -1]
+    archives = W.Archives(spark.createDataFrame([(i, "http://a/", "v" * 200, None) for i in ids], SCHEMA))
+    read = archives.records().collect()
+    assert {r.page_id for r in read} == set(ids) and {r.refers_to for r in read} == {None, min(ids)}
+    order = [(r.captured, r.page_id) for r in archives.numbered().orderBy("index_no").collect()]
+    assert order == sorted((W.EPOCH + i % W.SPAN, i) for i in ids)
+
+
+def test_archives_are_read_by_tasks_of_their_own(spark):
+    archives = W.Archives(spark.createDataFrame(pages(), SCHEMA).repartition(6))
+    assert archives.records().rdd.getNumPartitions() == archives.captures.select("archive").distinct().count() > 1
+
+
 def test_keys_and_members():
     assert W.url_key("https://u@WWW.Example.com:80/a/B?q=1#x") == "com,example,www)/a/B?q=1"
     assert W.url_key("http://example.com") == "com,example)/" and W.url_key(None) == ""
