@@ -5,13 +5,15 @@ through a directory: it starts with one bucket, and while a bucket holds more
 entries than fit, the directory doubles and that bucket is split by one more bit.
 Copies are pre-aggregated to one entry for each (key, digest) before any shuffle,
 so a group of copies fills one slot however large it is. Owner tasks take ranges
-of buckets and write them, ordered by key, as the index files. Entries of one key
-form a chain; the texts of keys that more than one row has are compared byte for
-byte (grouping by the whole text), so unequal texts never meet, whatever the hash.
+of buckets, one for about OWNED entries, chain the entries of each key (collisions
+and copies alike) and write them, ordered, as the index files; that is the only time
+entries are dealt. Chains of several rows name the keys whose texts are then compared
+byte for byte (grouping by the whole text, partial groups first), so unequal texts
+never meet, whatever the hash.
 
 Only texts whose key is shared are shuffled. The directory has at most
-2 ** MAX_DEPTH entries; a bucket that is still overfull at that depth stays as an
-overflow chain.
+2 ** MAX_DEPTH entries: a bucket's capacity grows with the table beyond that, and a
+bucket that is still overfull at that depth stays as an overflow chain.
 
 Semantics. A null text is empty. The row with the largest doc_id stays; a null
 doc_id is below all others, and a group in which all are null keeps its rows'
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, Scratch, free_name, table, with_small_side
@@ -33,6 +35,8 @@ from .common import BROADCAST_IDS, Scratch, free_name, table, with_small_side
 MAX_DEPTH = 16
 #: Entries that a bucket holds at least; it grows so that the directory keeps to MAX_DEPTH.
 BUCKET = 2048
+#: Entries that an owner task takes.
+OWNED = 200_000
 
 
 def grow_directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
@@ -79,7 +83,10 @@ class ExactDedup:
         self.groups = self._groups()
 
     def _index(self, bucket: int) -> DataFrame:
-        """(bucket, key, digest, rows, keep): one entry for all copies, in files by key range."""
+        """(bucket, key, digest, rows, keep, chained, head): one entry for all copies, in files by key range.
+
+        ``chained``: rows of all entries of the key; ``head``: whether the entry is the first of its chain.
+        """
         spark = self.entries.sparkSession
         chains = self.scratch.keep(
             self.entries.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("keep")), "chains"
@@ -90,16 +97,17 @@ class ExactDedup:
         n_buckets = self.directory[-1] + 1
         lookup = spark.createDataFrame(list(enumerate(self.directory)), "prefix int, bucket int")
         placed = chains.withColumn("prefix", leading_bits(F.col("key"), self.depth)).join(F.broadcast(lookup), "prefix").drop("prefix")
-        owners = placed.repartitionByRange(max(1, min(n_buckets, 4096)), "bucket", "key").sortWithinPartitions("bucket", "key")
-        index = self.scratch.keep(owners.select("bucket", "key", "digest", "rows", "keep"), "index")
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / OWNED))
+        owned = placed.repartitionByRange(max(1, min(n_buckets, tasks)), "bucket", "key")
+        chain = Window.partitionBy("bucket", "key")  # the owners' ranges hold it: no other deal
+        linked = owned.withColumns({"chained": F.sum("rows").over(chain), "head": F.min("digest").over(chain) == F.col("digest")})
+        index = self.scratch.keep(linked.select("bucket", "key", "digest", "rows", "keep", "chained", "head").sortWithinPartitions("bucket", "key", "digest"), "index")
         self.scratch.drop("chains")
         return index
 
     def _groups(self) -> DataFrame:
         """(key, digest, keep_id, group_size) of texts that several rows have, by comparing bytes."""
-        shared = self.scratch.keep(
-            self.index.groupBy("key").agg(F.sum("rows").alias("rows")).filter("rows > 1").select("key"), "shared"
-        )
+        shared = self.index.filter("head AND chained > 1").select("key")
         compared = (
             with_small_side(self.texts, shared, ["key"], "left_semi", shared.count())
             .groupBy("key", "body")
