@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
 Method. One Aho-Corasick automaton over each text finds the anchors: at-signs, URL
-schemes, plus signs, digits and identifier cues. Each anchor is handed to a small
+schemes, plus signs, digits and identifier cues, these in any case. Each anchor is handed to a small
 deterministic parser, which expands to the left or right as far as the kind's
 characters go and validates what it got (dotted domain, octets, Luhn, digit counts,
 IBAN check digits). A parser reports how far it has read, so the same characters
@@ -16,8 +16,10 @@ Base kinds, with the results of a leftmost, non-overlapping search for
 
 where a match that fails its condition is dropped without another try. Added kinds:
 ``url`` (scheme://host with a userinfo part, or a query parameter that names a
-person's data) and ``account`` (an IBAN with valid check digits, or the identifier
-after a cue such as "account number:").
+person's data), ``account`` (an IBAN with valid check digits wherever it stands, or the
+identifier of ACCOUNT_DIGITS digits after a cue such as "account number:") and
+``secret`` (after a cue such as "token" and a colon or equals sign, SECRET characters or
+more with letters and digits among them). An identifier reaches as far as its characters go.
 
 Semantics. A null text is empty and has no spans; positions are code points, ends
 exclusive; each row is searched by itself, without a shuffle. An empty table gives
@@ -36,19 +38,24 @@ from pyspark.sql import types as T
 from .common import free_name, pieces, table, texts_of
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "url", "account")
+KINDS = (*BASE, "url", "account", "secret")
 
 DIGITS = frozenset("0123456789")
-WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+WORD = UPPER | DIGITS | frozenset("abcdefghijklmnopqrstuvwxyz")
 LOCAL = WORD | frozenset("._%+-")
 LABEL = WORD | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
+KEY = WORD | frozenset("_-./+=~")
 URL_END = frozenset(" \t\n\r\x0b\x0c<>\"'`{}|\\^")
 SCHEMES = ("http://", "https://", "ftp://", "ftps://")
-CUES = ("account number", "account no", "account id", "acct", "iban", "kontonummer", "numéro de compte", "número de cuenta", "customer id", "passport no", "passport number", "ssn", "social security")
+CUES = ("account number", "account no", "account id", "acct", "kontonummer", "numéro de compte", "número de cuenta", "customer id", "passport no", "passport number", "ssn", "social security")
+SECRETS = ("token", "secret", "password", "passwd", "api key", "api_key", "apikey", "access key", "access_key", "private key", "private_key")
 PERSONAL = ("email=", "user=", "username=", "phone=", "name=", "account=", "ssn=")
-#: Characters of an identifier after a cue, and how many digits it must have.
+#: How many digits an identifier after a cue must have, and the least characters of a secret.
 ACCOUNT_DIGITS = (6, 30)
+SECRET = 16
+IBAN_LENGTHS = (15, 34)
 
 
 def luhn(digits: str) -> bool:
@@ -59,27 +66,56 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban(text: str) -> bool:
-    body = text.replace(" ", "").upper()
-    if not 15 <= len(body) <= 34 or not (body[:2].isalpha() and body[2:4].isdigit() and body.isascii() and body.isalnum()):
-        return False
+def iban(body: str) -> bool:
+    """Whether letters and digits without spaces are an IBAN with valid check digits."""
     return int("".join(str(int(c, 36)) for c in body[4:] + body[:4])) % 97 == 1
 
 
+def iban_at(text: str, digit: int) -> tuple[int, int] | None:
+    """An IBAN whose first check digit is at ``digit``: groups may be set apart by single spaces; the longest valid one."""
+    begin, n = digit - 2, len(text)
+    if begin < 0 or text[begin] not in UPPER or text[begin + 1] not in UPPER or (begin and text[begin - 1] in WORD) or digit + 1 >= n or text[digit + 1] not in DIGITS:
+        return None
+    body, at, ends = [], begin, []
+    while at < n and len(body) <= IBAN_LENGTHS[1]:
+        if text[at] in UPPER or text[at] in DIGITS:
+            body.append(text[at])
+            at += 1
+            if at == n or text[at] not in WORD:
+                ends.append((len(body), at))
+        elif text[at] == " " and at + 1 < n and (text[at + 1] in UPPER or text[at + 1] in DIGITS):
+            at += 1
+        else:
+            break
+    for size, end in reversed(ends):
+        if IBAN_LENGTHS[0] <= size <= IBAN_LENGTHS[1] and iban("".join(body[:size])):
+            return begin, end
+    return None
+
+
 def automaton() -> ahocorasick.Automaton:
-    """Anchors and the parser that each goes to. Cues are written in lower case, with a capital or in capitals."""
+    """Anchors, in lower case, and the parser that each goes to."""
     found = ahocorasick.Automaton()
     for d in DIGITS:
         found.add_word(d, ("digit", 1))
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
-    for word, what in [(s, "scheme") for s in SCHEMES] + [(c, "cue") for c in CUES]:
-        for form in {word, word.capitalize(), word.title(), word.upper()}:
-            found.add_word(form, (what, len(form)))
+    for words, what in ((SCHEMES, "scheme"), (CUES, "cue"), (SECRETS, "secret")):
+        for word in words:
+            found.add_word(word, (what, len(word)))
     found.make_automaton()
     return found
 
 
+_LOWER = {code: code + 32 for code in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def run_of(text: str, at: int, chars: frozenset) -> int:
     """End of the stretch of such characters that begins at ``at``."""
     n = len(text)
@@ -153,18 +189,32 @@ def url(text: str, begin: int, host: int) -> tuple[int, int] | None:
     return (begin, end) if "@" in authority.strip("@") or any(p in query for p in PERSONAL) else None
 
 
-_IDENTIFIER = regex.compile(r"(?:\s?(?:no\.?|number|nr\.?))?\s?[:#=]?\s?([A-Za-z]{0,4}[0-9](?:[ -]?[0-9A-Z]){3,40})")
+_IDENTIFIER = regex.compile(r"(?:\s?(?:no\.?|number|nr\.?))?\s?[:#=]?\s?([A-Za-z]{0,4}[0-9](?:[ -]?[0-9A-Z])*+)")
 
 
-def account(text: str, after: int) -> tuple[int, int] | None:
-    found = _IDENTIFIER.match(text, after, min(len(text), after + 72))
+def account(text: str, after: int) -> tuple[tuple[int, int] | None, int]:
+    """The identifier that follows a cue, if it has enough digits, and how far was read."""
+    found = _IDENTIFIER.match(text, after)
     if not found:
-        return None
+        return None, after
     begin, end = found.span(1)
+    digits = sum(c in DIGITS for c in text[begin:end])
+    return ((begin, end) if ACCOUNT_DIGITS[0] <= digits <= ACCOUNT_DIGITS[1] else None), end
+
+
+_ASSIGNED = regex.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?")
+
+
+def secret(text: str, after: int) -> tuple[tuple[int, int] | None, int]:
+    """The key that a cue names after a colon or equals sign, and how far was read."""
+    found = _ASSIGNED.match(text, after)
+    if not found:
+        return None, after
+    begin = found.end()
+    end = run_of(text, begin, KEY)
     body = text[begin:end]
-    if iban(body) or ACCOUNT_DIGITS[0] <= sum(c in DIGITS for c in body) <= ACCOUNT_DIGITS[1]:
-        return begin, end
-    return None
+    mixed = any(c in DIGITS for c in body) and any(c in WORD and c not in DIGITS for c in body)
+    return ((begin, end) if end - begin >= SECRET and mixed else None), end
 
 
 class Finder:
@@ -173,11 +223,14 @@ class Finder:
 
     def spans(self, text: str) -> dict[str, list[tuple[int, int]]]:
         out: dict = {kind: [] for kind in KINDS} | {"ip_from": 0, "card_from": 0}
-        emails = phones = urls = accounts = digits = 0
-        for last, (what, length) in self.anchors.iter(text):
+        emails = phones = urls = accounts = secrets = digits = 0
+        for last, (what, length) in self.anchors.iter(lowered(text)):
             if what == "digit":
                 if last >= digits:
                     digits = numbers(text, last, out)
+                    if last >= accounts and (found := iban_at(text, last)):
+                        out["account"].append(found)
+                        accounts = found[1]
             elif what == "at":
                 if (found := email(text, last, emails)) is not None:
                     out["email"].append(found)
@@ -191,9 +244,15 @@ class Finder:
                 if last >= urls and (found := url(text, last + 1 - length, last + 1)):
                     out["url"].append(found)
                     urls = found[1]
-            elif last >= accounts and (found := account(text, last + 1)):
-                out["account"].append(found)
-                accounts = found[1]
+            elif what == "cue":
+                if last >= accounts:
+                    found, accounts = account(text, last + 1)
+                    if found:
+                        out["account"].append(found)
+            elif last >= secrets:
+                found, secrets = secret(text, last + 1)
+                if found:
+                    out["secret"].append(found)
         return {kind: out[kind] for kind in KINDS}
 
 
@@ -228,6 +287,7 @@ def op9_pii(spark, sf_dir):
     return found.select(
         "doc_id",
         *(of(kind) for kind in BASE),
+        F.size(pii).cast("long").alias("n_found"),
         F.sha2(F.array_join(F.transform(base, line), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform(pii, line), ",").alias("spans"),
     )
