@@ -23,6 +23,15 @@ def guarded_sql(t: Tables) -> DataFrame:
     return run_sql(t.spark, asked, args=["hrv", "2024-01-05"], views=["pulseframe_readings"])
 
 
+@query("capped_series", "SELECT subject_id, CAST(start_ts::DATE AS VARCHAR) AS day, round(sum(value), 4) AS value, count(*) AS samples FROM rec WHERE type = 'step_count' GROUP BY subject_id, start_ts::DATE ORDER BY start_ts::DATE, subject_id LIMIT 5000")
+def capped_series(t: Tables) -> DataFrame:
+    """SO-04: a tool's series in order of days, as much as it shows."""
+    from .plans.tools import daily, first_days
+
+    out = first_days(daily(t.rec, "step_count", ["subject_id"]), ["subject_id"])
+    return text(out.select("subject_id", "day", F.round("value", 4).alias("value"), "samples"), "day")
+
+
 def detail(t: Tables, section: str) -> DataFrame:
     from .plans.tools import workout_details
 

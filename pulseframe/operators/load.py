@@ -27,9 +27,11 @@ def daily_load(workouts: DataFrame, records: DataFrame, anchors: DataFrame, by:
         F.when(F.min("method") == F.max("method"), F.min("method")).otherwise("mixed").alias("method"),
     )
     energy = records.filter("type = 'active_energy'").groupBy(*by, F.to_date("start_ts").alias("day")).agg(F.sum("value").alias("kcal"))
-    quiet = energy.join(trained.select(*by, "day"), [*by, "day"], "left_anti").filter(F.col("kcal") > tr.RESTING_KCAL)
-    proxy = quiet.select(*by, "day", F.round((F.col("kcal") - tr.RESTING_KCAL) * tr.ENERGY_LOAD, 1).alias("load"), F.lit(0).cast("long").alias("workouts"), F.lit("energy_proxy").alias("method"))
-    return trained.unionByName(proxy)
+    proxy = F.when(F.col("kcal") > tr.RESTING_KCAL, F.round((F.col("kcal") - tr.RESTING_KCAL) * tr.ENERGY_LOAD, 1))
+    both = trained.join(energy, [*by, "day"], "full_outer").withColumn("quiet", F.col("workouts").isNull())
+    return both.filter("NOT quiet OR kcal > " + str(tr.RESTING_KCAL)).select(
+        *by, "day", F.when(F.col("quiet"), proxy).otherwise(F.col("load")).alias("load"), F.coalesce("workouts", F.lit(0)).alias("workouts"), F.coalesce("method", F.lit("energy_proxy")).alias("method")
+    )
 
 
 def data_start(workouts: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
@@ -45,7 +47,7 @@ def weekly_grid(runs: DataFrame, day_load: DataFrame, by: list[str]) -> DataFram
     )
     load = day_load.groupBy(*by, week(F.col("day")).alias("week")).agg(F.sum("load").alias("load"))
     both = run.join(load, [*by, "week"], "full_outer")
-    full = all_days(both, by, "week", ["km", "n", "minutes", "load"], step="7 days")
+    full = all_days(both, by, "week", ["km", "n", "minutes", "load"], step=7)
     return full.select(*by, "week", F.round("km", 1).alias("km"), F.col("n").cast("long").alias("n"), F.round("minutes").alias("minutes"), F.round("load").alias("load"))
 
 

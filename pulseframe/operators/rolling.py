@@ -25,12 +25,17 @@ def rolling_mean(df: DataFrame, by: list[str], day: str, value: str, days: int,
     return out.filter(F.col("_n") >= least).drop("_n")
 
 
-def all_days(df: DataFrame, by: list[str], day: str, values: list[str], last=None, step: str = "1 day") -> DataFrame:
-    """Every day from the first to the last (of each group, or the given one); missing values are 0."""
-    ends = df.groupBy(*by).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    end = F.col("_last") if last is None else F.greatest(F.col("_last"), last)
-    grid = ends.select(*by, F.explode(F.sequence(F.col("_first"), end, F.expr(f"INTERVAL {step}"))).alias(day))
-    return grid.join(df.select(*by, day, *values), [*by, day], "left").fillna(0, values)
+def all_days(df: DataFrame, by: list[str], day: str, values: list[str], last=None, step: int = 1) -> DataFrame:
+    """Every ``step`` days from the first to the last (of each group, or the given one); missing values are 0.
+
+    Each row fills the days up to the next one, so ``df`` is read once and joined with nothing.
+    """
+    following = F.lead(day).over(Window.partitionBy(*by).orderBy(day))
+    end = F.col(day) if last is None else F.greatest(F.col(day), last)
+    until = F.coalesce(F.date_sub(following, step), end)
+    held = df.select(*by, F.col(day).alias("_own"), *values).withColumn(day, F.col("_own")).withColumn("_until", until)
+    spread = held.withColumn(day, F.explode(F.sequence(F.col("_own"), F.col("_until"), F.expr(f"INTERVAL {step} DAYS"))))
+    return spread.select(*by, day, *(F.when(F.col(day) == F.col("_own"), F.col(v)).alias(v) for v in values)).fillna(0, values)
 
 
 def acwr(daily: DataFrame, by: list[str], day: str = "day", load: str = "load", since: DataFrame | None = None, acute: int = 7, chronic: int = 28, uncoupled: bool = True) -> DataFrame:

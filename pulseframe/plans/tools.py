@@ -50,6 +50,15 @@ def daily(records: DataFrame, metric: str, by=BY, first: str | None = None, last
     )
 
 
+#: Days of a series that a tool shows at most.
+SERIES_ROWS = 5000
+
+
+def first_days(df: DataFrame, by=BY, day: str = "day", most: int = SERIES_ROWS) -> DataFrame:
+    """A series from its first day on, as much as a tool shows."""
+    return df.orderBy(day, *by).limit(most)
+
+
 #: The tools that are one metric by day.
 DAILY_TOOLS = {"steps": "step_count", "heart_rate": "heart_rate", "hrv": "hrv", "weight": "weight", "vo2max": "vo2max"}
 

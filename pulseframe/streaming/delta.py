@@ -7,7 +7,10 @@ memory; the checkpoint only saves reading files again.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.ndjson import delta_frames, options, rejected
@@ -31,8 +34,11 @@ def import_batch(store: Store, lines: DataFrame, batch_id: int, subject: str = "
         held.unpersist()
 
 
-def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, subject: str = "", archive: str | None = None, once: bool = True) -> StreamingQuery:
-    """Imports what is in ``landing``; with ``once`` it ends when that is done, else it goes on."""
+def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, subject: str = "", archive: str | None = None, once: bool = True, tries: int = 2) -> StreamingQuery:
+    """Imports what is in ``landing``; with ``once`` it ends when that is done, else it goes on.
+
+    A batch that can't be imported after ``tries`` is kept whole in ``failed``, with the reason, and the rest goes on.
+    """
     reader = options(spark.readStream.format("json")).option("maxFilesPerTrigger", 64)
     if archive is not None:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
@@ -40,8 +46,53 @@ def start(spark: SparkSession, landing: str, store: Store, checkpoint: str, subj
 
     def each(frame: DataFrame, number: int) -> None:
         query = frame.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        import_batch(store, frame, number, subject, query or checkpoint.rstrip("/").rpartition("/")[2])
+        run = query or checkpoint.rstrip("/").rpartition("/")[2]
+        for left in reversed(range(max(1, tries))):
+            try:
+                import_batch(store, frame, number, subject, run)
+                return
+            except Exception as why:
+                if not left:
+                    kept = frame.withColumn("failure", F.lit(f"{type(why).__name__}: {why}"[:500]))
+                    kept.write.mode("overwrite").parquet(f"{store.path('failed')}/run={run}-{number}")
 
-    writer = lines.writeStream.foreachBatch(each)
-    writer = writer.option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
+
+
+def import_pending(spark: SparkSession, landing: str, store: Store, checkpoint: str, wait_seconds: float = 0.0, poll: float = 2.0, most: float = 300.0, subject: str = "") -> dict:
+    """Imports what has landed; if nothing has, looks again every ``poll`` seconds, for ``wait_seconds`` at most.
+
+    Rows that came and batches that failed, of this call. An import that takes longer than ``most`` seconds goes on by itself.
+    """
+    deadline = time.monotonic() + max(0.0, wait_seconds)
+    before = failed_batches(store)
+    while True:
+        query = start(spark, landing, store, checkpoint, subject)
+        if not query.awaitTermination(most):
+            return {"state": "still importing", "rows": 0, "failed": 0}
+        rows = sum(p["numInputRows"] for p in query.recentProgress)
+        if rows or time.monotonic() >= deadline:
+            return {"state": "imported" if rows else "nothing has arrived", "rows": rows, "failed": failed_batches(store) - before}
+        time.sleep(min(poll, max(0.0, deadline - time.monotonic())))
+
+
+def failed_batches(store: Store) -> int:
+    return store.spark.read.parquet(store.path("failed")).select("run").distinct().count() if store._exists("failed") else 0
+
+
+def diagnostics(store: Store) -> dict:
+    """What was set aside: bad lines by reason, failed batches with theirs, and what to do about it."""
+    out: dict = {"rejected": {}, "failed": {}, "notes": []}
+    if store._exists("rejected"):
+        out["rejected"] = {r["reason"]: r["n"] for r in store.spark.read.parquet(store.path("rejected")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if store._exists("failed"):
+        rows = store.spark.read.parquet(store.path("failed")).groupBy("run").agg(F.first("failure").alias("failure")).collect()
+        out["failed"] = {r["run"]: r["failure"] for r in rows}
+    if out["rejected"]:
+        out["notes"].append(f"{sum(out['rejected'].values())} lines could not be taken")
+    if out["failed"]:
+        out["notes"].append(f"{len(out['failed'])} batches failed and are kept in {store.path('failed')}")
+    if not store.read("import_runs").filter(F.col("archive_name").startswith("delta")).limit(1).count():
+        out["notes"].append("no delta has been imported yet")
+    return out

@@ -222,3 +222,34 @@ def test_calibration(spark, tmp_path):
     reference = str(tmp_path / "reference.json")
     assert calibration.drift(read, reference)["state"] == "reference written" and calibration.drift(read, reference)["state"] == "within tolerance"
     assert calibration.drift(read.withColumn("hrv", F.col("hrv") * 3), reference)["state"] == "drifted"
+
+
+def test_gaps_reach_over_midnight(spark):
+    rows = [("a", 1, "2024-01-01 23:59:50"), ("a", 2, "2024-01-02 00:00:05"), ("a", 3, "2024-01-02 00:00:05"), ("a", 4, "2024-01-09 10:00:00"), ("b", 5, "2024-01-01 08:00:00")]
+    samples = spark.createDataFrame(rows, "subject_id string, row_hash int, t string").selectExpr("subject_id", "row_hash", "CAST(t AS TIMESTAMP) AS start_ts")
+    assert {r.row_hash: r.seconds for r in zones.gap_weights(samples, ["subject_id"]).collect()} == {1: 15, 2: 0, 3: 60, 4: 0, 5: 0}
+
+
+def test_fatigue_and_fitness_follow_the_recursion(spark):
+    draw, first = random.Random(2), dt.date(2021, 11, 3)
+    loads = {who: [draw.choice([0.0, 0.0, 55.5, 120.0]) for _ in range(n)] for who, n in (("a", 400), ("b", 3))}
+    rows = [(who, first + dt.timedelta(days=i), x) for who, own in loads.items() for i, x in enumerate(own)]
+    daily = spark.createDataFrame(rows, "subject_id string, day date, load double")
+    got = {(r.subject_id, r.day): (r.atl, r.ctl) for r in rolling.exponential_load(daily, ["subject_id"]).collect()}
+    for who, own in loads.items():
+        a = c = 0.0
+        for i, x in enumerate(own):
+            a, c = a + (x - a) / 7, c + (x - c) / 42
+            found = got[who, first + dt.timedelta(days=i)]
+            assert abs(found[0] - a) < 0.051 and abs(found[1] - c) < 0.051
+    assert len(got) == len(rows)
+
+
+def test_days_between_rows_are_filled(spark):
+    rows = [("a", "2024-01-01", 2.0), ("a", "2024-01-04", None), ("b", "2024-02-28", 1.0)]
+    df = spark.createDataFrame(rows, "k string, d string, v double").selectExpr("k", "CAST(d AS DATE) AS d", "v")
+    full = rolling.all_days(df, ["k"], "d", ["v"], last=F.lit("2024-03-01").cast("date"))
+    got = sorted((r.k, r.d.isoformat(), r.v) for r in full.collect())
+    assert [g for g in got if g[0] == "b"] == [("b", "2024-02-28", 1.0), ("b", "2024-02-29", 0.0), ("b", "2024-03-01", 0.0)]
+    assert len(got) == 61 + 3 and got[0][2] == 2.0 and sum(g[2] for g in got) == 3.0
+    assert rolling.all_days(df, ["k"], "d", ["v"]).count() == 5

@@ -45,13 +45,28 @@ def test_dashboard(views, tmp_path):
     found = dashboard.collected(views)
     assert found["dupes"] == 40 and found["steps_raw"][-1] == ["2024-04-29", 9000.0]
     assert {round(v, 2) for _, v in found["sleep_h_raw"]} == {8.0} and {v for _, v in found["deep_h_raw"]} == {2.0}
-    assert found["kpi"]["weeks_run_in_block"] == found["kpi"]["weeks_in_block"] and found["kpi"]["longest"]["km"] == 10.0 and len(found["kpi"]["fastest_10k"]) == 5
-    assert found["month"]["halves"]["rhr"]["d"] < 0 and len(found["month"]["board"]) == 8 and found["month"]["n30"] == 9
+    assert found["kpi"]["weeks_run_q3"] == found["kpi"]["weeks_q3"] and found["kpi"]["longest"]["km"] == 10.0 and found["kpi"]["dupes"] == 40
+    assert found["month"]["rhr"]["d"] < 0 and len(found["month"]["board"]) == 8 and found["month"]["n30"] == 9
     assert found["load"]["ctl"][-1][1] > 0 and len(found["load"]["atl"]) == 61
     page = open(path, encoding="utf-8").read()
     assert page.count("</script>") == 1 and "2024-04-30" in page
     assert "</b" not in dashboard.render(found | {"note": "</b>"}).split("const data")[1].split("\n")[0]
-    assert set(dashboard.narrative_slices(found)) >= {"month.hero", "perf.tenk", "load.intro"}
+    slices = dashboard.narrative_slices(found, goal=4.5)
+    assert set(slices) >= {"month.hero", "perf.tenk", "load.intro"} and all(slices.values())
+    best = slices["perf.tenk"]["fastest_10k_efforts"]
+    assert len(best) == 5 and best[0]["time"] == 50.0 and best[0]["gap"] == 0.5 and best[0]["effort"] == round(best[0]["hr"] / found["hrmax"] * 100)
+    month = found["month"]
+    assert (month["w1"], month["h_mid"], month["hrr_b_d"]) == ("2024-04-30", "2024-04-16", "2024-04-29") and month["hrr_n"] == len(slices["month.hero"]["hrr_series_in_block"])
+    assert found["kpi"]["hrr_blockstart"] == month["hrr_a"] and len(dashboard.clipped(found["steps"], "2024-04-30", 10)) == 10
+    assert dashboard.pauses([{"d": "2024-01-01"}, {"d": "2024-03-16"}, {"d": "2024-03-20"}]) == [75]
+
+
+def test_narratives_and_plan_of_the_page(tmp_path):
+    told, plan = tmp_path / "told.json", tmp_path / "plan.json"
+    told.write_text(json.dumps({"generated_for": "2024-04-30", "blocks": {"month.hero": "up"}}))
+    assert dashboard.narratives(str(told), "2024-04-30")["blocks"] and dashboard.narratives(str(told), "2024-05-01") is None and dashboard.narratives(str(plan), "2024-04-30") is None
+    plan.write_text(json.dumps({"week_of": "2024-04-22", "planned": [{"id": "a"}]}))
+    assert dashboard.current_plan(str(plan), "2024-04-30") and dashboard.current_plan(str(plan), "2024-05-20") is None and dashboard.current_plan(str(told), "2024-04-30") is None
 
 
 def test_block_start_walks_over_full_weeks():
@@ -105,7 +120,15 @@ def test_tools(views):
     assert tools.sections("zones, reps") == ("zones", "reps") and tools.sections(None) == tools.SECTIONS
     with pytest.raises(ValueError, match="tempo"):
         tools.sections(["tempo"])
-    assert tools.hr_zones(views["records_dedup"], views["workouts"], 190.0).count() == 0
+    rate = views["records_dedup"].limit(1).selectExpr("subject_id", "'heart_rate' AS type", "explode(sequence(0, 9)) AS n").selectExpr("subject_id", "type", "CAST(n AS STRING) AS row_hash", "100D + 10 * n AS value", "timestamp'2024-03-01 17:00:00' + make_dt_interval(0, 0, 0, 20 * n) AS start_ts")
+    spent = {(r.model, r.zone): r.seconds for r in tools.hr_zones(rate, views["workouts"], 190.0).collect()}
+    assert sum(v for (m, _), v in spent.items() if m == "percent") == 180 and spent["percent", "Z5"] == 20 and spent["training", "vo2max"] == 0
+    details = tools.workout_details(views["workouts"].filter("source_name = 'Watch 0'"), rate, views["workout_events"], include="zones, series, splits, reps")
+    assert set(details) == {"zones", "series", "splits", "reps", "work"} and details["zones"].select("workout").distinct().count() == 1 and details["splits"].count() == 0
+    assert details["series"].agg({"hr": "avg"}).first()[0] > 100 and details["reps"].count() == 0
+    known = views["workouts"].select("subject_id").distinct().selectExpr("*", "190D AS hr_max", "60D AS resting_hr")
+    loads = tools.training_load(views["workouts"], views["records_dedup"], known, "2024-04-01", "2024-04-10")
+    assert loads["daily"].count() == 10 and loads["acwr"].filter("acwr IS NOT NULL").count() == 10
 
 
 def test_weekly_plans(tmp_path):

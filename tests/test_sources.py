@@ -235,6 +235,27 @@ def test_a_repeated_batch_is_recorded_once(spark, tmp_path):
     assert store.read("import_runs").count() == 1 and spark.read.parquet(store.path("rejected")).count() == 5
 
 
+def test_waits_and_keeps_what_fails(spark, tmp_path, monkeypatch):
+    landing, store, checkpoint = tmp_path / "in", Store(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint")
+    landing.mkdir()
+    pending = lambda **more: delta.import_pending(spark, str(landing), store, checkpoint, **more)
+    assert pending(wait_seconds=0.1, poll=0.1) == {"state": "nothing has arrived", "rows": 0, "failed": 0}
+    assert delta.diagnostics(store)["notes"] == ["no delta has been imported yet"]
+    write_batch(landing, "b1.ndjson.gz", lines(BAD))
+    assert pending() == {"state": "imported", "rows": 11, "failed": 0}
+
+    def broken(*_, **__):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(delta, "import_batch", broken)
+        write_batch(landing, "b2.ndjson.gz", lines(), broken=None)
+        assert pending() == {"state": "imported", "rows": 6, "failed": 1}
+    told = delta.diagnostics(store)
+    assert sum(told["rejected"].values()) == 5 and list(told["failed"].values()) == ["OSError: disk full"] and len(told["notes"]) == 2
+    assert spark.read.parquet(store.path("failed")).count() == 6
+
+
 def test_first_writer_wins_in_any_order(spark, tmp_path):
     from pulseframe.sources.sink import new_rows
 
