@@ -4,6 +4,14 @@ Toxicity drops the documents that the model rejects; exact dedup keeps one of eq
 texts; near dedup keeps one document of each group of near copies; decontamination
 drops documents that hold benchmark windows; byte-level BPE encodes and decodes what
 is left. All but the last return the columns of ``documents``.
+
+Each stage decides every row by its own text, whatever its doc_id. A null text is empty:
+it is never toxic by more than the labels' share, equal to other empty texts, near to
+none, and never contaminated. Of equal texts the row with the largest doc_id stays (a null
+id is below all others), of near copies that with the smallest (a null id is above all
+others); of rows that repeat id and text one stays. Without labels nothing is toxic, an
+empty benchmark contaminates nothing, and an empty table gives an empty result. Extra
+columns pass all stages but the last.
 """
 
 from __future__ import annotations
