@@ -1,8 +1,11 @@
 import os
 import random
+import zlib
 
 import corpus_pipeline
+from pulseframe.llm import toxicity
 from tests.llm.helpers import contamination, near_components
+from tests.llm.test_toxicity import corpus as toxic_corpus
 
 
 def words(draw, n):
@@ -44,3 +47,15 @@ def test_stages_keep_what_brute_force_keeps(spark, tmp_path):
     assert len(kept) < len(rows) - 6
     out = corpus_pipeline.run(spark, folder)
     assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, _ in kept)
+
+
+def test_first_stage_drops_what_the_model_rejects(spark, tmp_path):
+    rows = [(i, t) for i, t, _ in toxic_corpus(260)] + [(800, None), (801, "")]
+    spark.createDataFrame([(i, y) for i, _, y in toxic_corpus(260)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, TOXICITY string")
+    train = [(i, t, y) for i, t, y in toxic_corpus(260) if zlib.crc32(str(i).encode()) % 5]
+    score = toxicity.SubwordSoftmax().fit([t for _, t, _ in train], [y for _, _, y in train]).scorer()
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, os.fspath(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, t in rows if score(t or "") < 0.5)
+    assert 0 < len(rows) - kept.count() < len(rows) / 2
