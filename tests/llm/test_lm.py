@@ -1,9 +1,11 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pulseframe.llm import lm
 
@@ -101,3 +103,9 @@ def test_contexts_of_six_bytes_count(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
     got = {r.doc_id: r.score for r in lm.ContextTreeModel(docs, block_bytes=300).scored().collect()}
     assert all(math.isclose(got[d], plain.log10(t.encode().lower()), rel_tol=1e-9) for d, t in rows)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_held_out_texts_are_likelier_than_by_the_base(spark):
+    held = lm.op2_context_tree(spark, "/root/testdata/sf0.1").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert held["sum(score)"] > 0.95 * held["sum(base_score)"]
