@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a narrow id (8 bytes and its hash entry) that may be broadcast: 64 MB at most.
 BROADCAST_IDS = 1_000_000
@@ -136,5 +137,28 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def positions(df: DataFrame, order: list, scratch: Scratch, name: str) -> tuple[DataFrame, str]:
+    """``df`` with each row's place (from 0) in the whole order, and that column's name.
+
+    One sort by ranges; what reaches the driver is a number for each range. Rows that tie
+    in all of ``order`` stand in any order, and are dealt to ranges apart by a last key.
+    """
+    place, own = free_name(df.columns, "place"), free_name([*df.columns, "place"], "own")
+    apart = F.xxhash64(F.monotonically_increasing_id()) if df.columns else F.lit(0)
+    keyed = df.withColumn(own, apart)
+    sorted_ = keyed.repartitionByRange(*order, F.col(own)).sortWithinPartitions(*order, F.col(own)).withColumn(own, F.monotonically_increasing_id())
+    kept = scratch.keep(sorted_, name)
+    piece = F.shiftright(F.col(own), 33)
+    sizes = sorted((r["piece"], r["n"]) for r in kept.groupBy(piece.alias("piece")).agg(F.count("*").alias("n")).collect())
+    before, rows = 0, []
+    for number, n in sizes:
+        rows.append((number, before))
+        before += n
+    begin = free_name([*kept.columns, place], "begin")
+    starts = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("piece", T.LongType()), T.StructField(begin, T.LongType())]))
+    joined = kept.join(F.broadcast(starts), piece == F.col("piece"))
+    return joined.withColumn(place, F.col(begin) + F.col(own).bitwiseAND(F.lit((1 << 33) - 1))).drop("piece", begin, own), place
+
+
 def utf8(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")

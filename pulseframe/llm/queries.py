@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, lm, minhash, pii, quality, suffix_dedup, toxicity, warc
+from . import bpe, decontaminate, exact_dedup, lm, minhash, pii, quality, resampling, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_resampling": resampling.op11_resampling,
 }
 
 SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op5_decontaminate": decontaminate.SQL,
     "op6_warc": warc.SQL,
+    "op11_resampling": resampling.SQL,
 }
