@@ -133,6 +133,19 @@ def pieces(batches, column: str, most: int = PIECE_BYTES):
             yield batch.slice(begin)
 
 
+def record_batches(rows, schema: pa.Schema, most_rows: int = 2000, most: int = PIECE_BYTES):
+    """Tuples as Arrow batches, of so many rows or about so many bytes of text."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if len(held) >= most_rows or size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 

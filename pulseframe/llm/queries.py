@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, lm, minhash, pii, quality, resampling, suffix_dedup, toxicity, warc
+from . import bpe, conversations, decontaminate, exact_dedup, lm, minhash, packing, pii, quality, resampling, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_resampling": resampling.op11_resampling,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_packing": packing.op13_packing,
 }
 
 SQL = {
@@ -23,4 +25,5 @@ SQL = {
     "op5_decontaminate": decontaminate.SQL,
     "op6_warc": warc.SQL,
     "op11_resampling": resampling.SQL,
+    "op12_conversation_repair": conversations.SQL,
 }
