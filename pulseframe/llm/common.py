@@ -161,16 +161,17 @@ def positions(df: DataFrame, order: list, scratch: Scratch, name: str) -> tuple[
     keyed = df.withColumn(own, apart)
     sorted_ = keyed.repartitionByRange(*order, F.col(own)).sortWithinPartitions(*order, F.col(own)).withColumn(own, F.monotonically_increasing_id())
     kept = scratch.keep(sorted_, name)
-    piece = F.shiftright(F.col(own), 33)
-    sizes = sorted((r["piece"], r["n"]) for r in kept.groupBy(piece.alias("piece")).agg(F.count("*").alias("n")).collect())
+    part = F.shiftright(F.col(own), 33)
+    sizes = sorted((r["part"], r["n"]) for r in kept.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     before, rows = 0, []
-    for number, n in sizes:
-        rows.append((number, before))
+    for at, n in sizes:
+        rows.append((at, before))
         before += n
-    begin = free_name([*kept.columns, place], "begin")
-    starts = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField("piece", T.LongType()), T.StructField(begin, T.LongType())]))
-    joined = kept.join(F.broadcast(starts), piece == F.col("piece"))
-    return joined.withColumn(place, F.col(begin) + F.col(own).bitwiseAND(F.lit((1 << 33) - 1))).drop("piece", begin, own), place
+    number = free_name([*kept.columns, place], "part")
+    begin = free_name([*kept.columns, place, number], "begin")
+    starts = df.sparkSession.createDataFrame(rows, T.StructType([T.StructField(number, T.LongType()), T.StructField(begin, T.LongType())]))
+    joined = kept.join(F.broadcast(starts), part == F.col(number))
+    return joined.withColumn(place, F.col(begin) + F.col(own).bitwiseAND(F.lit((1 << 33) - 1))).drop(number, begin, own), place
 
 
 def utf8(text: str) -> bytes:

@@ -15,8 +15,9 @@ are at most 3 * limit of them and 3 * limit**2 runs (in practice a few thousand)
 
 Tokens. Texts are cut where the tokenizer's own pattern always cuts, at a single space
 between two characters that aren't white space; each distinct unit is encoded once a task by
-the tokenizers library and remembered. Ids of a text are those of its units in a row. Only a
-unit, a stretch without such a space, is ever encoded whole.
+the tokenizers library, whose byte-level BPE model makes every id, and remembered. Ids of a
+text are those of its units in a row. Only a unit, a stretch without such a space, is ever
+encoded whole.
 
 Semantics. A null text is empty and has the end id alone. Texts with the string of a special
 token hold it as ordinary text. Rows that repeat are packed each by itself. An empty table
@@ -26,6 +27,7 @@ sequence. Columns that clash with new ones get those with underscores before the
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -39,39 +41,86 @@ from .common import Scratch, free_name, pieces, positions, table, texts_of
 
 LIMIT = 1024
 END = 2
-#: Units that a task remembers before it starts anew (some 250 bytes each), and the longest of them.
-MEMORY = 300_000
+#: Units that a task remembers before it starts anew (some 200 bytes each), and the longest of them.
+MEMORY = 400_000
 LONGEST = 64
 #: Characters of a text that are in units at a time.
 CHUNK = 1 << 20
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+#: A word and its marks, or two of them on two lines: each is a piece of the pattern, and so is the line end.
+PLAIN = re.compile(f"({LATIN})([.,;:!?]*)(?:(\n)({LATIN})([.,;:!?]*))?")
+
+
+def byte_letters() -> str:
+    """The letter that byte-level vocabularies write each byte as: printable Latin-1 ones as themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(others)) for b in range(256))
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit numbers."""
+    """Ids of whole texts as little-endian 32-bit numbers.
+
+    In units as PLAIN has them the pattern's pieces are plain to see; these go to the library's
+    merges at once. Any other unit goes through the whole library.
+    """
 
     def __init__(self, definition: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.numbers = [np.array(i, dtype="<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.known: dict[str, bytes] = {}
-
-    def fresh(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def piece(self, text: str) -> bytes:
+        """Ids of one piece of the pattern."""
+        spelt = text.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.numbers[t.id] for t in self.merge(spelt)])
+
+    def short(self, text: str) -> bytes:
+        """The same for marks and words that open a line, which recur."""
+        if (ids := self.pieces.get(text)) is None:
+            ids = self.piece(text)
+            if len(self.pieces) < MEMORY // 8 and len(text) <= LONGEST:
+                self.pieces[text] = ids
+        return ids
+
+    def fresh(self, units: list[str], before: str) -> list[bytes]:
+        """Ids of units that follow ``before``, nothing or a space."""
+        out, rest, merge, numbers, lead = [], [], self.merge, self.numbers, "".join(self.letters[b] for b in before.encode())
+        for at, unit in enumerate(units):
+            if unit.isascii() and unit.isalpha():
+                out.append(b"".join([numbers[t.id] for t in merge(lead + unit)]))
+            elif (plain := PLAIN.fullmatch(unit)) is not None:
+                word, marks, line, second, more = plain.groups()
+                ids = self.piece(before + word) + self.short(marks)
+                out.append(ids + self.short("\n") + self.short(second) + self.short(more) if line else ids)
+            else:
+                rest.append(at)
+                out.append(b"")
+        if rest:
+            for at, encoded in zip(rest, self.tokenizer.encode_batch_fast([before + units[at] for at in rest], add_special_tokens=False), strict=True):
+                out[at] = np.array(encoded.ids, dtype="<u4").tobytes()
+        return out
 
     def stretch(self, text: str) -> list[bytes]:
-        """Ids of a stretch that follows a single space."""
-        units = BETWEEN.split(text)
-        found = list(map(self.known.get, units))
-        if None in found:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
-                found = [None] * len(units)
-            missing = list(dict.fromkeys(u for u, f in zip(units, found, strict=True) if f is None))
-            new = dict(zip(missing, self.fresh([" " + u for u in missing]), strict=True))
-            found = [new[u] if f is None else f for u, f in zip(units, found, strict=True)]
-            self.known.update((u, ids) for u, ids in new.items() if len(u) <= LONGEST)
+        """Ids of a stretch that follows a single space, unit by unit."""
+        units, known = BETWEEN.split(text), self.known
+        if missing := list(set(units).difference(known)):
+            if len(known) >= MEMORY:
+                known.clear()
+                missing = list(set(units))
+            known.update(zip(missing, self.fresh(missing, " "), strict=True))
+        found = list(map(known.__getitem__, units))
+        for unit in missing:
+            if len(unit) > LONGEST:
+                del known[unit]
         return found
 
     def encode(self, text: str) -> bytes:
@@ -79,8 +128,8 @@ class Encoder:
             return b""
         first = BETWEEN.search(text)
         if first is None:
-            return self.fresh([text])[0]
-        out, begin = self.fresh([text[: first.start()]]), first.end()
+            return self.fresh([text], "")[0]
+        out, begin = self.fresh([text[: first.start()]], ""), first.end()
         while begin <= len(text):
             cut = BETWEEN.search(text, begin + CHUNK)
             end, after = (cut.start(), cut.end()) if cut else (len(text), len(text) + 1)
