@@ -21,7 +21,8 @@ in order is asked for.
 
 Semantics. A null role or text is one space. Rows are ordered by turn, nulls first; rows of
 one turn by role and then by the text's digest. A null conv_id is a conversation of its
-own. Roles count by their first letter, an empty role has none. Columns other than
+own. Roles count by their first letter; an empty role has none and
+can't stay as it is. Columns other than
 conv_id, turn, role and text are ignored, whatever their names. An empty table gives an
 empty result.
 """
