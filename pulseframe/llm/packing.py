@@ -14,7 +14,7 @@ each length and range of sequences it uses; ranges split only where a length end
 are at most 3 * limit of them and 3 * limit**2 runs (in practice a few thousand).
 
 Tokens. Texts are cut where the tokenizer's own pattern always cuts, at a single space
-between two characters that aren't white space; each distinct unit is encoded once a task by
+between two characters that aren't white space; each distinct unit is encoded once a worker by
 the tokenizers library, whose byte-level BPE model makes every id, and remembered. Ids of a
 text are those of its units in a row. Only a unit, a stretch without such a space, is ever
 encoded whole.
@@ -41,8 +41,8 @@ from .common import Scratch, free_name, pieces, positions, table, texts_of
 
 LIMIT = 1024
 END = 2
-#: Units that a task remembers before it starts anew (some 200 bytes each), and the longest of them.
-MEMORY = 400_000
+#: Units that a worker remembers before it starts anew (some 200 bytes each), and the longest of them.
+MEMORY = 800_000
 LONGEST = 64
 #: Characters of a text that are in units at a time.
 CHUNK = 1 << 20
@@ -138,6 +138,17 @@ class Encoder:
         return b"".join(out)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """One for each Python worker, which keeps what it remembers from task to task."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = Encoder(definition)
+    return _encoders[definition]
+
+
 def cuts(n: int, limit: int) -> list[int]:
     """Starts of a document's pieces: all have ``limit`` tokens but the first, which may have fewer."""
     rest = n % limit
@@ -158,7 +169,7 @@ def tokenise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit:
     tail = b"" if end is None else np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder = Encoder(held.value)
+        encoder = encoder_of(held.value)
         for batch in pieces(batches, "text"):
             at, number, starts, parts = [], [], [], []
             for row, body in enumerate(texts_of(batch, "text")):
