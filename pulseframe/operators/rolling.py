@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.training import acwr_flag
+from . import scans
 
 
 def day_window(by: list[str], day: str, first: int, last: int) -> Window:
@@ -105,12 +106,19 @@ def newest(df: DataFrame, by: list[str], day: str, n: int) -> DataFrame:
     return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
 
 
-def as_of(probes: DataFrame, facts: DataFrame, by: list[str], day: str, value: str, default=None) -> DataFrame:
-    """``probes`` with the latest ``value`` on or before their day (of several at once the greatest): one sort by key and day, no range join."""
+def as_of(probes: DataFrame, facts: DataFrame, by: list[str], day: str, value: str, default=None, block: Column | None = None) -> DataFrame:
+    """``probes`` with the latest ``value`` on or before their day (of several at once the greatest): one sort by key and day, no range join.
+
+    Give a ``block`` of the day (a month of it) where a key's history is long; blocks then are worked on side by side.
+    """
     columns = probes.columns
     marked = probes.withColumn("_fact", F.lit(None).cast(facts.schema[value].dataType)).withColumn("_probe", F.lit(1))
     known = facts.filter(F.col(value).isNotNull()).select(*by, day, F.col(value).alias("_fact")).withColumn("_probe", F.lit(0))
-    w = Window.partitionBy(*by).orderBy(day, "_probe", "_fact").rowsBetween(Window.unboundedPreceding, 0)
-    both = marked.unionByName(known, allowMissingColumns=True).withColumn(value, F.last("_fact", ignorenulls=True).over(w))
+    both = marked.unionByName(known, allowMissingColumns=True)
+    if block is None:
+        w = Window.partitionBy(*by).orderBy(day, "_probe", "_fact").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn(value, F.last("_fact", ignorenulls=True).over(w))
+    else:
+        both = scans.running(both, by, [day, "_probe", "_fact"], block, {value: scans.Scan("last", F.col("_fact"))})
     out = both.filter("_probe = 1").select(*columns, value)
     return out if default is None else out.withColumn(value, F.coalesce(value, F.lit(default)))
