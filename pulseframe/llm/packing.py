@@ -59,6 +59,22 @@ def byte_letters() -> str:
     return "".join(chr(b if b in printable else next(others)) for b in range(256))
 
 
+class Remembered(dict):
+    """Ids of units, made when first asked for."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.make(unit)
+        if len(unit) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers.
 
@@ -75,65 +91,49 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.numbers = [np.array(i, dtype="<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def piece(self, text: str) -> bytes:
-        """Ids of one piece of the pattern."""
-        spelt = text.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.numbers[t.id] for t in self.merge(spelt)])
-
-    def short(self, text: str) -> bytes:
-        """The same for marks and words that open a line, which recur."""
-        if (ids := self.pieces.get(text)) is None:
-            ids = self.piece(text)
-            if len(self.pieces) < MEMORY // 8 and len(text) <= LONGEST:
-                self.pieces[text] = ids
-        return ids
-
-    def fresh(self, units: list[str], before: str) -> list[bytes]:
-        """Ids of units that follow ``before``, nothing or a space."""
-        out, rest, merge, numbers, lead = [], [], self.merge, self.numbers, "".join(self.letters[b] for b in before.encode())
-        for at, unit in enumerate(units):
-            if unit.isascii() and unit.isalpha():
-                out.append(b"".join([numbers[t.id] for t in merge(lead + unit)]))
-            elif (plain := PLAIN.fullmatch(unit)) is not None:
-                word, marks, line, second, more = plain.groups()
-                ids = self.piece(before + word) + self.short(marks)
-                out.append(ids + self.short("\n") + self.short(second) + self.short(more) if line else ids)
-            else:
-                rest.append(at)
-                out.append(b"")
-        if rest:
-            for at, encoded in zip(rest, self.tokenizer.encode_batch_fast([before + units[at] for at in rest], add_special_tokens=False), strict=True):
-                out[at] = np.array(encoded.ids, dtype="<u4").tobytes()
-        return out
-
-    def stretch(self, text: str) -> list[bytes]:
-        """Ids of a stretch that follows a single space, unit by unit."""
-        units, known = BETWEEN.split(text), self.known
-        if missing := list(set(units).difference(known)):
-            if len(known) >= MEMORY:
-                known.clear()
-                missing = list(set(units))
-            known.update(zip(missing, self.fresh(missing, " "), strict=True))
-        found = list(map(known.__getitem__, units))
-        for unit in missing:
-            if len(unit) > LONGEST:
-                del known[unit]
-        return found
+        self.space = self.letters[32]
+        self.opening = Remembered(self.opens, MEMORY // 8)
+        self.spaced = Remembered(self.follows, MEMORY)
+
+    def piece(self, text: str, before: str = "") -> bytes:
+        """Ids of one piece of the pattern; ``before`` is spelt already."""
+        spelt = text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.numbers[t.id] for t in self.merge(before + spelt)])
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def opens(self, unit: str) -> bytes:
+        """A unit at the beginning of a text or line."""
+        if (plain := PLAIN.fullmatch(unit)) is None:
+            return self.whole(unit)
+        word, marks, line, second, more = plain.groups()
+        ids = self.piece(word) + (self.piece(marks) if marks else b"")
+        return ids + self.piece("\n") + self.opening[second] + (self.opening[more] if more else b"") if line else ids
+
+    def follows(self, unit: str) -> bytes:
+        """A unit after a single space."""
+        if unit.isascii() and unit.isalpha():
+            return b"".join([self.numbers[t.id] for t in self.merge(self.space + unit)])
+        if (plain := PLAIN.fullmatch(unit)) is None:
+            return self.whole(" " + unit)
+        word, marks, line, second, more = plain.groups()
+        if len(word) == len(unit):
+            return self.piece(word, self.space)
+        ids = self.spaced[word] + (self.opening[marks] if marks else b"")
+        return ids + self.opening["\n"] + self.opening[second] + (self.opening[more] if more else b"") if line else ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         first = BETWEEN.search(text)
         if first is None:
-            return self.fresh([text], "")[0]
-        out, begin = self.fresh([text[: first.start()]], ""), first.end()
+            return self.whole(text)
+        out, begin, known = [self.opening[text[: first.start()]]], first.end(), self.spaced.__getitem__
         while begin <= len(text):
             cut = BETWEEN.search(text, begin + CHUNK)
             end, after = (cut.start(), cut.end()) if cut else (len(text), len(text) + 1)
-            out.extend(self.stretch(text[begin:end]))
+            out.append(b"".join(map(known, BETWEEN.split(text[begin:end]))))
             begin = after
         return b"".join(out)
 
