@@ -33,11 +33,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, pieces, positions, table, texts_of
+from .common import Scratch, free_name, pieces, positions, table
 
 LIMIT = 1024
 END = 2
@@ -60,13 +61,13 @@ def byte_letters() -> str:
 
 
 class Remembered(dict):
-    """Ids of units, made when first asked for."""
+    """Ids of units, made when first asked for; None for what ``make`` doesn't take."""
 
     def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most = make, most
 
-    def __missing__(self, unit: str) -> bytes:
+    def __missing__(self, unit: str) -> bytes | None:
         ids = self.make(unit)
         if len(unit) <= LONGEST:
             if len(self) >= self.most:
@@ -111,12 +112,12 @@ class Encoder:
         ids = self.piece(word) + (self.piece(marks) if marks else b"")
         return ids + self.piece("\n") + self.opening[second] + (self.opening[more] if more else b"") if line else ids
 
-    def follows(self, unit: str) -> bytes:
-        """A unit after a single space."""
+    def follows(self, unit: str) -> bytes | None:
+        """A unit after a single space; None if it begins or ends with white space or is empty."""
         if unit.isascii() and unit.isalpha():
             return b"".join([self.numbers[t.id] for t in self.merge(self.space + unit)])
         if (plain := PLAIN.fullmatch(unit)) is None:
-            return self.whole(" " + unit)
+            return self.whole(" " + unit) if unit and not unit[0].isspace() and not unit[-1].isspace() else None
         word, marks, line, second, more = plain.groups()
         if len(word) == len(unit):
             return self.piece(word, self.space)
@@ -124,19 +125,43 @@ class Encoder:
         return ids + self.opening["\n"] + self.opening[second] + (self.opening[more] if more else b"") if line else ids
 
     def encode(self, text: str) -> bytes:
+        """Ids of any text, a stretch of about CHUNK characters at a time."""
         if not text:
             return b""
         first = BETWEEN.search(text)
         if first is None:
             return self.whole(text)
-        out, begin, known = [self.opening[text[: first.start()]]], first.end(), self.spaced.__getitem__
+        out, begin = [self.opening[text[: first.start()]]], first.end()
         while begin <= len(text):
             cut = BETWEEN.search(text, begin + CHUNK)
             end, after = (cut.start(), cut.end()) if cut else (len(text), len(text) + 1)
-            out.append(b"".join(map(known, BETWEEN.split(text[begin:end]))))
+            units = BETWEEN.split(text[begin:end])
+            out.extend(self.whole(" " + u) if ids is None else ids for u, ids in zip(units, map(self.spaced.__getitem__, units), strict=True))
             begin = after
         return b"".join(out)
 
+    def encode_all(self, column: pa.Array) -> list[bytes]:
+        """Ids of every text. Units of texts that have only single spaces, each between two words, are told apart for all of them at once."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        sizes = np.asarray(pc.binary_length(column))
+        able = np.flatnonzero((sizes > 0) & (sizes <= CHUNK))
+        out: list[bytes | None] = [None] * len(column)
+        if len(able):
+            parts = pc.split_pattern(column.take(pa.array(able)), " ")
+            offsets = np.asarray(parts.offsets)
+            begins, coded = offsets[:-1], parts.flatten().dictionary_encode()
+            index, units = np.array(coded.indices), coded.dictionary.to_pylist()
+            found = list(map(self.spaced.__getitem__, units))
+            odd = np.fromiter((f is None for f in found), dtype=bool, count=len(found))
+            regular = ~np.logical_or.reduceat(odd[index], begins)
+            firsts = [self.opening[units[i]] if good else b"" for i, good in zip(index[begins].tolist(), regular.tolist(), strict=True)]
+            index[begins] = len(units) + np.arange(len(begins))
+            every, numbers, bounds = found + firsts, index.tolist(), offsets.tolist()
+            for row, good, a, b in zip(able.tolist(), regular.tolist(), bounds, bounds[1:], strict=False):
+                if good:
+                    out[row] = b"".join([every[i] for i in numbers[a:b]])
+        return [self.encode(text) if ids is None else ids for text, ids in zip(column.to_pylist(), out, strict=True)]
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -172,8 +197,8 @@ def tokenise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit:
         encoder = encoder_of(held.value)
         for batch in pieces(batches, "text"):
             at, number, starts, parts = [], [], [], []
-            for row, body in enumerate(texts_of(batch, "text")):
-                data = encoder.encode(body) + tail
+            for row, data in enumerate(encoder.encode_all(batch.column(1))):
+                data += tail
                 begins = cuts(len(data) // 4, limit)
                 at.extend([row] * len(begins))
                 number.extend(range(len(begins)))

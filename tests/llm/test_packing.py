@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 
@@ -42,6 +43,15 @@ def test_ids_are_the_librarys(encoder, library, monkeypatch):
         assert np.frombuffer(encoder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("chunk", [40, 1 << 20])
+def test_ids_of_many_texts_at_once(encoder, library, monkeypatch, chunk):
+    monkeypatch.setattr(packing, "CHUNK", chunk)
+    texts = [*odd_texts(), None, "plain words, only single spaces here", "two\nlines of them", "ends with a line\n", "", None]
+    for got, text in zip(encoder.encode_all(pa.array(texts, pa.string())), texts, strict=True):
+        assert np.frombuffer(got, dtype="<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert encoder.encode_all(pa.array([], pa.string())) == [] and encoder.encode_all(pa.array([None], pa.string())) == [b""]
+
+
 def one_by_one(lengths, limit):
     """Remaining capacities after best-fit decreasing, piece by piece."""
     left = []
