@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import real_steps
+from ..functions.times import utc_second
+from ..operators.dedup import collapsed, real_steps
+from ..schema import TABLES
+from ..sources.commits import Conflict
+from ..sources.sink import MONTH, TIMES, Store, hashed
 
 
 def link_counts(events: DataFrame, workouts: DataFrame) -> DataFrame:
@@ -42,3 +48,39 @@ def gates(before: dict[str, int], after: dict[str, int], rows_before: int, rows_
     if rows_before and (rows_before - rows_after) / rows_before > max_collapse:
         found.append(f"{rows_before - rows_after} of {rows_before} rows collapsed, more than {max_collapse:.2%}")
     return found
+
+
+def rebuild(store: Store, name: str, max_collapse: float = 0.01) -> dict:
+    """Gives a table's rows the hashes that their fields have now, and swaps it in if the gates let it pass.
+
+    The new table is written beside the old one and checked: one row for each hash, no more steps without a
+    workout, few enough rows that met under one hash. The swap is a commit that fails if the table has changed
+    since it was read. A table that may not stand is deleted; readers see the old one until the commit.
+    """
+    state, own = store.state(), f"{name}/import=rebuilt-{uuid.uuid4().hex}"
+    version, old = state["version"], store.read(name, state)
+    linked = lambda events, workouts: link_counts(events, workouts.select(F.col("row_hash").alias("workout_hash"), "row_hash")).first().asDict()
+    now = hashed(name, old.withColumn("_old", F.col("row_hash")))
+    fresh = collapsed(now.withColumn("_fresh", F.col("row_hash")).withColumn("row_hash", F.col("_old")), F.col("_fresh")).select(*TABLES[name].names)
+    if name in TIMES:
+        fresh = fresh.withColumn(MONTH, F.coalesce(F.substring(utc_second(F.col(TIMES[name])), 1, 7), F.lit("none")))
+    fresh.write.partitionBy(*([MONTH] if name in TIMES else [])).parquet(store.path(own))
+    new = store.spark.read.schema(fresh.schema).parquet(store.path(own))
+    told = new.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("row_hash").alias("hashes")).first()
+    before = after = {"orphans": 0}
+    if name == "workouts":
+        events = store.read("workout_events", state)
+        before, after = linked(events, old), linked(events, new)
+    elif name == "workout_events":
+        workouts = store.read("workouts", state)
+        before, after = linked(old, workouts), linked(new, workouts)
+    rows = store.rows(name, state)
+    against = gates(before, after, rows, told["rows"], told["hashes"], max_collapse)
+    try:
+        if not against:
+            store.replace(name, own, told["rows"], version)
+    except Conflict as why:
+        against.append(str(why))
+    if against:
+        store.files.delete(store.path(own))
+    return {"before": rows, "after": told["rows"], "swapped": not against, "against": against}

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.sources import archive, ndjson, xml
-from pulseframe.sources.sink import Store, rebuild, verify
+from pulseframe.plans.maintenance import rebuild
+from pulseframe.sources.sink import Store, verify
 from pulseframe.streaming import delta
 
 Q = "HKQuantityTypeIdentifier"
@@ -140,7 +141,8 @@ def test_import_twice_adds_nothing(spark, export, tmp_path):
     assert linked.count() == 5
     for name in ("records", "workouts", "workout_events", "sleep", "clinical"):
         assert verify(store.read(name), name) == {"wrong_hash": 0, "wrong_link": 0, "duplicate_keys": 0}
-    assert rebuild(store, "records", str(tmp_path / "again")) == {"before": 5, "after": 5}
+    assert rebuild(store, "records") == {"before": 5, "after": 5, "swapped": True, "against": []}
+    assert store.read("records").count() == 5 and verify(store.read("records"), "records") == {"wrong_hash": 0, "wrong_link": 0, "duplicate_keys": 0}
 
 
 def test_two_athletes_share_a_store(spark, export, tmp_path):
@@ -245,14 +247,14 @@ def test_waits_and_keeps_what_fails(spark, tmp_path, monkeypatch):
     assert pending() == {"state": "imported", "rows": 11, "failed": 0}
 
     def broken(*_, **__):
-        raise OSError("disk full")
+        raise ValueError("no such unit")
 
     with monkeypatch.context() as m:
         m.setattr(delta, "import_batch", broken)
         write_batch(landing, "b2.ndjson.gz", lines(), broken=None)
         assert pending() == {"state": "imported", "rows": 6, "failed": 1}
     told = delta.diagnostics(store)
-    assert sum(told["rejected"].values()) == 5 and list(told["failed"].values()) == ["OSError: disk full"] and len(told["notes"]) == 2
+    assert sum(told["rejected"].values()) == 5 and list(told["failed"].values()) == ["ValueError: no such unit"] and len(told["notes"]) == 2
     assert spark.read.parquet(store.path("failed")).count() == 6
 
 
@@ -269,7 +271,7 @@ def test_first_writer_wins_in_any_order(spark, tmp_path):
 def test_a_batch_reads_its_months_alone(spark, export, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.ingest(xml.export_frames(spark, export))
-    assert [p.name for p in (tmp_path / "store" / "records").glob("month=*")] == ["month=2025-06"]
+    assert [p.name for p in (tmp_path / "store" / "records").glob("*/month=*")] == ["month=2025-06"]
     assert "month" not in store.read("records").columns
 
 
@@ -290,3 +292,130 @@ def test_reload_skips_what_is_in(spark, tmp_path):
     report = link_report(store.read("workout_events"), store.read("workouts"))
     assert report == {"total": 5, "deduped": 5, "reps": 2, "orphans": 0, "linked_workouts": 1, "interval_sessions": 1}
     assert gates(report, report, 100, 99, 99) == [] and len(gates(report, report | {"orphans": 1}, 100, 90, 91)) == 3
+
+
+def folders_of(store, name):
+    return store.files.names(store.path(name))
+
+
+def some_records(spark, numbers, value=None):
+    rows = [("heart_rate", "HR", "Watch", "bpm", float(i if value is None else value), f"2024-0{1 + i % 3}-10 10:00:{i % 60:02}") for i in numbers]
+    df = spark.createDataFrame(rows, "type string, raw_type string, source_name string, unit string, value double, at string")
+    null = [F.lit(None).cast("string").alias(c) for c in ("source_version", "device", "value_str")]
+    return df.select("type", "raw_type", "source_name", "unit", "value", *null, F.to_timestamp("at").alias("start_ts"), F.to_timestamp("at").alias("end_ts"), F.to_timestamp("at").alias("created_ts"), F.lit(30).alias("source_priority"))
+
+
+def test_an_import_that_fails_leaves_nothing(spark, export, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    frames = xml.export_frames(spark, export)
+    broken = frames | {"clinical": frames["clinical"].withColumn("type", F.raise_error(F.lit("torn page")))}
+    with pytest.raises(Exception, match="torn page"):
+        store.ingest(broken)
+    assert store.state()["version"] == 0 and store.read("records").count() == 0
+    assert not any(folders_of(store, name) for name in ("records", "sleep", "workouts", "_parsed"))
+    assert store.ingest(frames)["records"] == 5 and store.state()["version"] == 1
+
+
+def test_a_reader_keeps_its_commit(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest({"records": some_records(spark, range(4))})
+    early = store.state()
+    store.ingest({"records": some_records(spark, range(9))})
+    assert store.read("records", early).count() == 4 and store.read("records").count() == 9
+    assert store.rows("records") == 9 and [r.records_total for r in store.read("import_runs").orderBy("imported_at").collect()] == [4, 9]
+
+
+def test_of_two_writers_the_later_one_looks_again(spark, tmp_path, monkeypatch):
+    store, other = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    store.ingest({"records": some_records(spark, range(3))})
+    commit, raced = store.commits.commit, []
+
+    def late(state):
+        if not raced:
+            raced.append(other.ingest({"records": some_records(spark, range(2, 6))}))
+        commit(state)
+
+    monkeypatch.setattr(store.commits, "commit", late)
+    assert store.ingest({"records": some_records(spark, range(8))}) == {"records": 2} and raced == [{"records": 3}]
+    assert store.read("records").count() == 8 and store.read("records").select("row_hash").distinct().count() == 8
+    assert len(folders_of(store, "records")) == 3 and store.read("import_runs").count() == 3
+
+
+def test_compaction_and_vacuum(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for i in range(6):
+        store.ingest({"records": some_records(spark, range(i * 3, i * 3 + 4))})
+    before = sorted(r.row_hash for r in store.read("records").collect())
+    assert store.compact(most=10) == {} and len(folders_of(store, "records")) == 6
+    assert store.compact(most=3) == {"records": 6, "import_runs": 6}
+    assert sorted(r.row_hash for r in store.read("records").collect()) == before and store.rows("records") == len(before) == 19
+    assert len(store.vacuum()) == 12 and len(folders_of(store, "records")) == 1
+    assert sorted(r.row_hash for r in store.read("records").collect()) == before
+    assert store.ingest({"records": some_records(spark, range(19))}) == {"records": 0}
+    assert store.compact(most=0, small=5) == {} or store.read("records").count() == 19  # large folders stay
+
+
+def test_rebuild_stops_at_its_gates(spark, tmp_path):
+    from pulseframe.plans import maintenance
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.ingest({"records": some_records(spark, range(10))})
+    wrong = store.read("records").withColumn("row_hash", F.md5("row_hash"))
+    store.add("records", wrong.limit(4))  # four readings a second time, under hashes of another make
+    assert store.read("records").count() == 14
+    told = maintenance.rebuild(store, "records")
+    assert not told["swapped"] and told["after"] == 10 and "collapsed" in told["against"][0] and store.read("records").count() == 14
+    assert len(folders_of(store, "records")) == 2
+    assert maintenance.rebuild(store, "records", max_collapse=0.5)["swapped"] and store.read("records").count() == 10
+    assert verify(store.read("records"), "records") == {"wrong_hash": 0, "wrong_link": 0, "duplicate_keys": 0}
+
+
+def test_rebuild_doesnt_lose_what_came_meanwhile(spark, tmp_path, monkeypatch):
+    from pulseframe.plans import maintenance
+
+    store, other = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    store.ingest({"records": some_records(spark, range(5))})
+    replace = store.replace
+
+    def late(*args):
+        other.ingest({"records": some_records(spark, range(5, 7))})
+        replace(*args)
+
+    monkeypatch.setattr(store, "replace", late)
+    told = maintenance.rebuild(store, "records")
+    assert not told["swapped"] and "has changed since" in told["against"][0] and store.read("records").count() == 7
+
+
+def test_a_failed_batch_is_taken_up_again(spark, tmp_path):
+    landing, store, checkpoint = tmp_path / "in", Store(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint")
+
+    def refuse(frame, number):
+        raise ValueError("out of order")
+
+    write_batch(landing, "b1.ndjson.gz", lines(BAD))
+    delta.start(spark, str(landing), store, checkpoint, accept=refuse).awaitTermination(120)
+    assert store.read("records").count() == 0 and len(delta.kept_batches(store, "failed")) == 1
+    assert delta.retry_failed(store, accept=refuse) == {}
+    row = delta.batch_states(store).first()
+    assert (row.state, row.tries, row.failure) == ("failed", 2, "ValueError: out of order")
+    added = delta.retry_failed(store)
+    assert [a["records"] for a in added.values()] == [2] and store.read("records").count() == 2
+    row = delta.batch_states(store).first()
+    assert (row.state, row.tries) == ("retried", 3) and delta.retry_failed(store) == {}
+    assert spark.read.parquet(store.path("rejected")).count() == 5
+
+
+def test_other_errors_stop_the_stream(spark, tmp_path, monkeypatch):
+    landing, store, checkpoint = tmp_path / "in", Store(spark, str(tmp_path / "store")), str(tmp_path / "checkpoint")
+    write_batch(landing, "b1.ndjson.gz", lines(BAD))
+
+    def broken(*_, **__):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(delta, "import_batch", broken)
+        with pytest.raises(Exception, match="disk full"):
+            delta.start(spark, str(landing), store, checkpoint).awaitTermination(120)
+    assert delta.kept_batches(store, "failed") == []
+    delta.start(spark, str(landing), store, checkpoint).awaitTermination(120)  # repeats the batch
+    assert store.read("records").count() == 2
