@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import Tables, identity_sql, query
+from .catalog import LOAD_SQL, Tables, identity_sql, query, text
 from .catalog_imports import METRICS, joined, wire
 from .functions import identifiers as ids
 from .plans import maintenance
+from .plans.maintained import Maintained, changed_days
 from .sources.commits import Conflict
 from .sources.sink import Store, verify
 from .sources.workspace import workspace
@@ -38,7 +39,7 @@ def twenty_deltas(t: Tables) -> DataFrame:
     told = store.read("import_runs", state).agg(F.count(F.lit(1)).alias("imports"), F.max("records_total").alias("last_total")).first()
     wrong = sum(verify(store.read("records", state), "records").values())
     return store.read("records", state).groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(
-        "type", "n", F.lit(told["imports"]).alias("imports"), F.lit(len(store.files.names(store.path("records")))).cast("long").alias("folders"), F.lit(told["last_total"]).alias("last_total"), F.lit(wrong).cast("long").alias("wrong")
+        "type", "n", F.lit(told["imports"]).cast("long").alias("imports"), F.lit(len(store.files.names(store.path("records")))).cast("long").alias("folders"), F.lit(told["last_total"]).cast("long").alias("last_total"), F.lit(wrong).cast("long").alias("wrong")
     )
 
 
@@ -117,3 +118,28 @@ def all_or_nothing(t: Tables) -> DataFrame:
     store.ingest({"records": rows.withColumn("source_name", F.lit("Another"))}, "more")
     told("of the first commit", first)
     return spark.createDataFrame(out, "what string, records long, sleep long, version long")
+
+
+SERIES_SQL = LOAD_SQL + """, st AS (SELECT subject_id, min(start_ts)::DATE AS start FROM (SELECT subject_id, start_ts FROM rec WHERE type = 'active_energy' UNION ALL SELECT subject_id, start_ts FROM wk) GROUP BY ALL),
+ra AS (SELECT *, sum(load) OVER (PARTITION BY subject_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS ac, coalesce(sum(load) OVER (PARTITION BY subject_id ORDER BY day ROWS BETWEEN 27 PRECEDING AND 7 PRECEDING) / 3.0, 0) AS ch FROM fl),
+rb AS (SELECT ra.*, CASE WHEN ch > 0 THEN round(ac / ch, 2) END AS r, date_diff('day', start, day) >= 27 AS enough FROM ra JOIN st USING (subject_id)),
+nb AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY day) AS i FROM fl),
+wt AS (SELECT b.subject_id, b.day, a.load, pow(6.0 / 7, b.i - a.i) / 7 AS wa, pow(41.0 / 42, b.i - a.i) / 42 AS wc FROM nb b JOIN nb a ON a.subject_id = b.subject_id AND a.i <= b.i),
+ff AS (SELECT subject_id, day, round(sum(load * wa), 1) AS atl, round(sum(load * wc), 1) AS ctl, round(sum(load * wc) - sum(load * wa), 1) AS tsb FROM wt GROUP BY ALL)
+SELECT subject_id, CAST(day AS VARCHAR) AS day, round(ac, 1) AS acute_7d, round(ch, 1) AS chronic_28d_weekly, r AS acwr, CASE WHEN NOT enough THEN 'insufficient_history' WHEN r IS NULL THEN 'no_load' WHEN r > 1.5 THEN 'elevated' WHEN r < 0.8 THEN 'low' WHEN r <= 1.3 THEN 'sweet_spot' ELSE 'moderate' END AS flag, atl, ctl, tsb
+FROM rb JOIN ff USING (subject_id, day)"""
+
+
+def late_rows():
+    """Some athletes' rows of a few days, which come after all others."""
+    return (F.col("row_hash") % 1_000_000_000 % 7 == 3) & (F.col("subject_id") < 3) & F.to_date("start_ts").between("2024-01-09", "2024-01-11")
+
+
+@query("late_delta", SERIES_SQL)
+def late_delta(t: Tables) -> DataFrame:
+    """2.12 late data: load, workload ratio and fitness after a delta that came late, of which only the touched parts were computed again."""
+    known = t.rec.select("subject_id").distinct().withColumns({"hr_max": F.lit(190.0), "resting_hr": F.lit(60.0)})
+    kept = Maintained(t.spark, f"{workspace(t.spark, 'late')}/kept", ["subject_id"], block=8, shards=4)
+    kept.update(t.wk.filter(~late_rows()), t.rec.filter(~late_rows()), known)
+    kept.update(t.wk, t.rec, known, changed_days(t.wk.filter(late_rows()), t.rec.filter(late_rows()), ["subject_id"]))
+    return text(kept.series(), "day")

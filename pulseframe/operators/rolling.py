@@ -59,33 +59,50 @@ def acwr(daily: DataFrame, by: list[str], day: str = "day", load: str = "load",
     return out.select(*by, day, F.round("acute_7d", 1).alias("acute_7d"), F.round("_chronic", 1).alias("chronic_28d_weekly"), "acwr", "flag")
 
 
-def exponential_load(daily: DataFrame, by: list[str], day: str = "day", load: str = "load", fatigue: int = 7, fitness: int = 42, block: int = 64) -> DataFrame:
-    """Fatigue, fitness and form of each day of a day-contiguous series.
+def _power(r: float, n: Column) -> Column:
+    return F.pow(F.lit(r), n.cast("double"))
+
+
+def _shares(fatigue: int, fitness: int) -> dict[str, float]:
+    """Of each average, what a day leaves of the one before."""
+    return {"atl": 1 - 1 / fatigue, "ctl": 1 - 1 / fitness}
+
+
+def load_in_blocks(daily: DataFrame, by: list[str], day: str = "day", load: str = "load", fatigue: int = 7, fitness: int = 42, block: int = 64) -> DataFrame:
+    """(by, day, _block, _at, _atl, _ctl) of a day-contiguous series: what the days of each block since its beginning add.
 
     The recursion x += (load - x) / n keeps the share r = 1 - 1/n of what was there a day before. Inside a
-    block of days its closed form is a running sum of loads over powers of r, which stay in range; what a
-    block hands on is folded over each athlete's blocks, a 64th of the days.
+    block of days its closed form is a running sum of loads over powers of r, which stay in range.
     """
-    keep = {"atl": 1 - 1 / fatigue, "ctl": 1 - 1 / fitness}
     number = F.unix_date(F.col(day))
     days = daily.select(*by, day, F.col(load).cast("double").alias("_load"), F.floor(number / block).alias("_block"), F.pmod(number, F.lit(block)).alias("_at"))
     w = Window.partitionBy(*by, "_block").orderBy("_at")
-    power = lambda r, n: F.pow(F.lit(r), n.cast("double"))
-    own = days.withColumns({f"_{x}": F.sum(F.col("_load") * power(r, -F.col("_at"))).over(w) * power(r, F.col("_at")) * (1 - r) for x, r in keep.items()})
+    own = {f"_{x}": F.sum(F.col("_load") * _power(r, -F.col("_at"))).over(w) * _power(r, F.col("_at")) * (1 - r) for x, r in _shares(fatigue, fitness).items()}
+    return days.withColumns(own).drop("_load")
+
+
+def carried_load(own: DataFrame, by: list[str], day: str = "day", fatigue: int = 7, fitness: int = 42, block: int = 64) -> DataFrame:
+    """Fatigue, fitness and form of each day from ``load_in_blocks``: what blocks hand on is folded over each athlete's blocks."""
+    keep = _shares(fatigue, fitness)
     ends = own.groupBy(*by, "_block").agg(*(F.max_by(f"_{x}", "_at").alias(x) for x in keep))
     blocks = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_block", *keep))).alias("_blocks"))
     start = F.expr("named_struct('atl', 0D, 'ctl', 0D, 'out', CAST(array() AS array<struct<_block:bigint,atl:double,ctl:double>>))")
 
     def step(held, x):
-        handed = F.array(F.struct(x["_block"].alias("_block"), held.atl.alias("atl"), held.ctl.alias("ctl")))
-        return F.struct(*((held[k] * r**block + x[k]).alias(k) for k, r in keep.items()), F.concat(held.out, handed).alias("out"))
+        handed = F.struct(x["_block"].alias("_block"), held.atl.alias("atl"), held.ctl.alias("ctl"))
+        return F.struct(*((held[k] * r**block + x[k]).alias(k) for k, r in keep.items()), F.array_append(held.out, handed).alias("out"))
 
     before = blocks.select(*by, F.explode(F.aggregate("_blocks", start, step, lambda held: held.out)).alias("_r")).select(*by, "_r.*")
     both = own.join(before, [*by, "_block"])
-    found = both.withColumns({x: F.col(x) * power(r, F.col("_at") + 1) + F.col(f"_{x}") for x, r in keep.items()})
+    found = both.withColumns({x: F.col(x) * _power(r, F.col("_at") + 1) + F.col(f"_{x}") for x, r in keep.items()})
     return found.select(*by, day, F.round("atl", 1).alias("atl"), F.round("ctl", 1).alias("ctl"), F.round(F.col("ctl") - F.col("atl"), 1).alias("tsb"))
 
 
+def exponential_load(daily: DataFrame, by: list[str], day: str = "day", load: str = "load", fatigue: int = 7, fitness: int = 42, block: int = 64) -> DataFrame:
+    """Fatigue, fitness and form of each day of a day-contiguous series, in blocks of days."""
+    return carried_load(load_in_blocks(daily, by, day, load, fatigue, fitness, block), by, day, fatigue, fitness, block)
+
+
 def streaks(df: DataFrame, by: list[str], day: str, days_apart: int = 7) -> DataFrame:
     """(by, first, last, n) of runs of days (weeks) that follow one another."""
     number = F.row_number().over(Window.partitionBy(*by).orderBy(day))
