@@ -106,6 +106,32 @@ def free_name(taken, wanted: str) -> str:
     return wanted
 
 
+#: Bytes of text that a model is fitted on at most.
+SAMPLE_BYTES = 64 << 20
+
+
+def sample_texts(docs: DataFrame, chosen: DataFrame, scratch: Scratch, most: int = SAMPLE_BYTES) -> list:
+    """Rows (the columns of ``chosen``, body) to fit on, at most one for each row of ``chosen``, with ``most`` bytes of text in all.
+
+    ``chosen`` has distinct rows with a doc_id, as many as a sample may have; ``docs`` has doc_id and body. Of several
+    rows of one doc_id the least text counts. Texts are taken in the order of the ids' hashes while they fit
+    into ``most``; one that doesn't is left out. Sizes are looked at first, so nothing larger reaches the driver.
+    """
+    joined = docs.join(F.broadcast(chosen), "doc_id").groupBy(*chosen.columns).agg(F.min("body").alias("body"))
+    held = scratch.keep(joined.withColumn("size", F.octet_length("body")).withColumn("place", F.xxhash64("doc_id")), "sample")
+    sizes = sorted((tuple(r) for r in held.select("place", *chosen.columns, "size").collect()), key=lambda r: r[:-1])
+    taken, left = [], most
+    for row in sizes:
+        if row[-1] <= left:
+            left -= row[-1]
+            taken.append(row[1:-1])
+    if len(taken) < len(sizes):
+        held = held.join(F.broadcast(docs.sparkSession.createDataFrame(taken, chosen.schema)), chosen.columns, "left_semi")
+    found = held.select(*chosen.columns, "body").collect()
+    scratch.drop("sample")
+    return found
+
+
 #: Bytes of rows that the JVM hands to a Python worker at a time.
 BATCH_BYTES = "8m"
 

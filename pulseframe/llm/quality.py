@@ -8,11 +8,13 @@ is its soft label, and soft labels train a hashed linear scorer over words, word
 shapes and repetition, which then scores every text, also where labellers say little.
 
 Bounds. There are 3 ** labellers vote patterns at most, which the driver gets with
-their counts over all documents. The scorer is fitted on at most SAMPLE documents,
-those of the smallest hash of doc_id; it has BUCKETS weights and is broadcast.
+their counts over all documents. The scorer is fitted on at most SAMPLE documents with
+SAMPLE_BYTES of text in all, those of the smallest hash of doc_id (``common.sample_texts``); it
+has BUCKETS weights and is broadcast.
 
 Semantics. A null text is empty; no labeller votes on a text without words, and its
-score is the share of good documents. Repeated rows count each. An empty table gives
+score is the share of good documents. Repeated rows count each, but of one doc_id the least text alone
+trains the scorer. An empty table gives
 an empty result; if all patterns are alike the model can't tell classes apart and
 every document keeps the prior. Extra columns pass through ``annotate``.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, pieces, table, texts_of, utf8
+from .common import SAMPLE_BYTES, Scratch, free_name, pieces, sample_texts, table, texts_of, utf8
 
 SAMPLE = 20_000
 BUCKETS = 1 << 18
@@ -215,15 +217,14 @@ def voted(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "votes string")
 
 
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE) -> tuple[LabelModel, HashedScorer]:
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[LabelModel, HashedScorer]:
     rows = voted(docs, text).groupBy("votes").count().collect()
     rows = sorted((r["votes"], r["count"]) for r in rows)
     patterns = np.array([[int(c) for c in v] for v, _ in rows], dtype=np.int64)
     labels = LabelModel(patterns, np.array([n for _, n in rows], dtype=float))
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    chosen = source.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = sorted((r["doc_id"], r["body"]) for r in source.join(F.broadcast(chosen.distinct()), "doc_id").collect())
-    texts = [t for _, t in texts]
+    chosen = source.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
+    texts = [t for _, t in sorted((r["doc_id"], r["body"]) for r in sample_texts(source, chosen, Scratch(docs.sparkSession, "quality"), most))]
     good = labels.posterior(np.array([votes_of(t) for t in texts], dtype=np.int64).reshape(-1, len(LABELLERS)))
     return labels, HashedScorer().fit(texts, good)
 

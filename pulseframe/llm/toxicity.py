@@ -12,12 +12,13 @@ word it distorts and so most of its vector, whether or not it was seen in traini
 The softmax over two classes is linear in the passage's mean, so each word adds one
 number to a passage's logit: tasks keep a bounded table of words' numbers.
 
-Bounds. At most SAMPLE labelled rows are fitted, those of the smallest hash of
-doc_id; the model has BUCKETS x DIM numbers whatever the input, and is broadcast.
+Bounds. At most SAMPLE labelled rows with SAMPLE_BYTES of text in all are fitted, those of the
+smallest hash of doc_id (``common.sample_texts``); the model has BUCKETS x DIM numbers whatever the input, and is broadcast.
 
 Semantics. A text without words (or null) gets the training rows' share of label 1.
 Only text enters a score. Rows without label, with a null label or null doc_id never train.
-Repeated rows are scored each by itself; repeated labels of a document all train.
+Repeated rows are scored each by itself, but of one doc_id the least text alone trains; labels of a
+document that differ all train, equal ones once.
 With no labelled rows every score is 0 and nothing is rejected.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, free_name, pieces, table, texts_of, utf8
+from .common import SAMPLE_BYTES, Scratch, crc_mod, free_name, pieces, sample_texts, table, texts_of, utf8
 
 SAMPLE = 8000
 BUCKETS = 1 << 17
@@ -184,13 +185,13 @@ def best_cut(logit: np.ndarray, labels: np.ndarray) -> float:
     return float(edges[best[len(best) // 2]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE) -> SubwordSoftmax:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> SubwordSoftmax:
     """Learns labels.toxic from labelled rows whose crc32(doc_id) mod 5 is not 0."""
     train = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     train = train.select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    picked = train.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body")).join(F.broadcast(picked), "doc_id")
-    rows = sorted((r.doc_id, r.toxic, r.body) for r in rows.collect())
+    picked = train.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    source = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = sorted((r.doc_id, r.toxic, r.body) for r in sample_texts(source, picked, Scratch(docs.sparkSession, "toxicity"), most))
     return SubwordSoftmax().fit([b for _, _, b in rows], [y for _, y, _ in rows])
 
 
