@@ -158,3 +158,27 @@ def ridge_weights(t: Tables) -> DataFrame:
     found = fit(mean("hrv", "hrv"), mean("heart_rate", "perceived_readiness"))
     row = (found["n_days"], found["coefficients"]["hrv"], found["correlations"]["hrv"], found["suggested_weights"]["hrv"])
     return t.spark.createDataFrame([row], "n_days long, coefficient double, correlation double, weight double")
+
+
+FIT_SQL = """, x AS (SELECT subject_id, start_ts::DATE AS d, avg(value) FILTER (WHERE type = 'hrv') / 100 AS a, avg(value) FILTER (WHERE type = 'step_count') / 100 AS b, avg(value) FILTER (WHERE type = 'active_energy') / 100 AS c, avg(value) FILTER (WHERE type = 'heart_rate') / 100 AS y FROM rec GROUP BY ALL),
+k AS (SELECT * FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND y IS NOT NULL),
+m AS (SELECT subject_id, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my, corr(a, y) AS ra, corr(b, y) AS rb, corr(c, y) AS rc FROM k GROUP BY ALL),
+q AS (SELECT subject_id, n, ma, mb, mc, my, ra, rb, rc, sum((a - ma) * (a - ma)) + 0.5 AS aa, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (c - mc)) AS ac, sum((b - mb) * (b - mb)) + 0.5 AS bb, sum((b - mb) * (c - mc)) AS bc, sum((c - mc) * (c - mc)) + 0.5 AS cc,
+  sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS bv, sum((c - mc) * (y - my)) AS cy FROM k JOIN m USING (subject_id) GROUP BY ALL),
+t AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM q),
+s AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (bv * cc - bc * cy) + ac * (bv * bc - bb * cy)) / det AS pa, (aa * (bv * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - bv * ac)) / det AS pb, (aa * (bb * cy - bv * bc) - ab * (ab * cy - bv * ac) + ay * (ab * bc - bb * ac)) / det AS pc FROM t),
+w AS (SELECT *, greatest(pa, 0) + greatest(pb, 0) + greatest(pc, 0) AS every FROM s)
+SELECT subject_id, n, round(pa, 6) AS a, round(pb, 6) AS b, round(pc, 6) AS c, round(my - pa * ma - pb * mb - pc * mc, 6) AS intercept,
+  round(CASE WHEN every > 0 THEN greatest(pa, 0) / every ELSE 0 END, 6) AS weight_a, round(CASE WHEN every > 0 THEN greatest(pb, 0) / every ELSE 0 END, 6) AS weight_b, round(CASE WHEN every > 0 THEN greatest(pc, 0) / every ELSE 0 END, 6) AS weight_c,
+  round(ra, 6) AS r_a, round(rb, 6) AS r_b, round(rc, 6) AS r_c FROM w WHERE n >= 4"""
+
+
+@query("athletes_weights", FIT_SQL)
+def athletes_weights(t: Tables) -> DataFrame:
+    """AG-29, AG-30: weights of three features for every athlete at once; in SQL the normal equations by determinants."""
+    from .plans.calibration import fit_by
+
+    of = lambda kind: F.avg(F.when(F.col("type") == kind, F.col("value"))) / 100
+    days = t.rec.groupBy("subject_id", F.to_date("start_ts").alias("d")).agg(of("hrv").alias("a"), of("step_count").alias("b"), of("active_energy").alias("c"), of("heart_rate").alias("y"))
+    out = fit_by(days, ["subject_id"], ["a", "b", "c"], "y", 0.5)
+    return out.select("subject_id", "n", *(F.round(c, 6).alias(c) for c in out.columns if c not in ("subject_id", "n")))

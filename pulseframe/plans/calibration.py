@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import regression
+
 FEATURES = ("hrv", "sleeping_hr", "sleep", "resp", "temp", "hrv_cv")
 
 
@@ -53,6 +57,16 @@ def fit(features: DataFrame, labels: DataFrame, penalty: float = 1.0) -> dict:
     return out
 
 
+def fit_by(days: DataFrame, by: list[str], names: list[str], label: str = "perceived_readiness", penalty: float = 1.0) -> DataFrame:
+    """``fit`` for each athlete: (by, n, coefficients, intercept, weight_ and r_ of each name), of those with enough days."""
+    known = days.dropna(subset=[*names, label])
+    fitted = regression.weights(regression.ridge_by(known, by, names, label, penalty), by, names)
+    alike = lambda n: F.try_divide(F.covar_samp(n, label), F.nullif(F.stddev_samp(n) * F.stddev_samp(label), F.lit(0.0)))  # noqa: E731  null where either is constant
+    felt = known.groupBy(*by).agg(*(alike(n).alias(f"r_{n}") for n in names))
+    same = reduce(and_, [fitted[c].eqNullSafe(felt[c]) for c in by])
+    return fitted.join(felt, same).drop(*(felt[c] for c in by)).filter(F.col("n") >= max(3, len(names) + 1))
+
+
 def agreement(records: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
     """(by, r, n): Pearson's correlation of two metrics' daily means, over days that have both."""
     own = records.filter(F.col("type").isin(first, second)).groupBy(*by, F.to_date("start_ts").alias("d"))

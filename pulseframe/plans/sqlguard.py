@@ -5,14 +5,20 @@ anything is analysed or run. Three lists bound it: the relational steps below, t
 that the caller names (or every temporary view), and Spark's own functions of the groups
 that only compute. So files, catalogs, commands, scripts and calls into the JVM have no
 way in, whatever they are called.
+
+What passes may still be too much. Before it runs, the optimised plan's own statistics bound what it
+reads and the pairs that a join without an equality looks at (``excess``); while it runs, a
+deadline interrupts it by its tag (``answer``).
 """
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 ROWS = 1000
 PLANS = "org.apache.spark.sql.catalyst.plans.logical."
@@ -99,8 +105,69 @@ def fault(spark: SparkSession, query: str, views: Iterable[str] | None = None) -
     return next(_Walk(spark, frozenset(v.lower() for v in views)).faults(plan, frozenset()), None)
 
 
+#: Rows that any source may have, and pairs that a join may compare one by one.
+MOST_ROWS, MOST_PAIRS = 10**12, 10**10
+
+
+def _rows(node) -> int:
+    """How many rows the optimiser thinks that a node has: its count, or its bytes by the width of a row."""
+    told = node.stats()
+    if told.rowCount().isDefined():
+        return int(str(told.rowCount().get()))
+    width = max(1, 8 + sum(int(node.output().apply(i).dataType().defaultSize()) for i in range(node.output().size())))
+    return int(str(told.sizeInBytes())) // width
+
+
+def excess(df: DataFrame, rows: int = MOST_ROWS, pairs: int = MOST_PAIRS) -> str | None:
+    """Why a query is too large to be run, by its optimised plan; None if it isn't."""
+    jvm = df.sparkSession.sparkContext._jvm
+    keys = jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        name, children = node.nodeName(), node.children()
+        below = [children.apply(i) for i in range(children.size())]
+        if not below and _rows(node) > rows:
+            return f"{name} has some {_rows(node):.0e} rows, more than {rows:.0e}"
+        if name == "Join" and not keys.unapply(node).isDefined():
+            compared = _rows(below[0]) * _rows(below[1])
+            if compared > pairs:
+                return f"a join without an equality compares some {compared:.0e} pairs, more than {pairs:.0e}"
+        todo.extend(below)
+        inner = node.subqueries()
+        todo.extend(inner.apply(i) for i in range(inner.size()))
+    return None
+
+
 def run_sql(spark: SparkSession, query: str, rows: int = ROWS, args=None, views: Iterable[str] | None = None) -> DataFrame:
     """At most ``rows`` rows of the query; ValueError if it is refused."""
     if reason := fault(spark, query, views):
         raise ValueError(reason)
-    return spark.sql(query, args=args).limit(rows)
+    found = spark.sql(query, args=args).limit(rows)
+    if reason := excess(found):
+        raise ValueError(reason)
+    return found
+
+
+def answer(spark: SparkSession, query: str, rows: int = ROWS, args=None, views: Iterable[str] | None = None, seconds: float = 60.0) -> list[Row]:
+    """The rows of ``run_sql``; TimeoutError if they take longer than ``seconds``, and its jobs end."""
+    found, tag, late = run_sql(spark, query, rows, args, views), f"answer-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        while not done.wait(0.2):  # again, as the next stage's job may start meanwhile
+            spark.interruptTag(tag)
+
+    done, timer = threading.Event(), threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        return found.collect()
+    except Exception as why:
+        if late.is_set():
+            raise TimeoutError(f"the query took longer than {seconds} seconds") from why
+        raise
+    finally:
+        done.set()
+        timer.cancel()
+        spark.removeTag(tag)
