@@ -156,10 +156,12 @@ def answer(spark: SparkSession, query: str, rows: int = ROWS, args=None, views:
     def stop() -> None:
         late.set()
         while not done.wait(0.2):  # again, as the next stage's job may start meanwhile
-            spark.interruptTag(tag)
+            context.cancelJobsWithTag(tag)
 
+    context = spark.sparkContext
     done, timer = threading.Event(), threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
     timer.start()
     try:
         return found.collect()
@@ -170,4 +172,5 @@ def answer(spark: SparkSession, query: str, rows: int = ROWS, args=None, views:
     finally:
         done.set()
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
+        context.setInterruptOnCancel(False)
