@@ -1,17 +1,17 @@
 """Benchmark decontamination by an FM-index for each shard of training documents.
 
-Method. A shard is some SHARD_BYTES of documents. Its words become numbers (the
-benchmark's vocabulary; any other word is 0), and the stretches that could hold a
-benchmark window (each neighbouring pair of words occurs in some window, long
-enough for the shortest window) are concatenated, each closed by a separator of its
-own. Over that text an FM-index is built: suffix array by prefix doubling,
+Method. A shard is some SHARD_BYTES of documents. Its words become numbers, and the
+stretches that could hold a benchmark window (each neighbouring pair of words occurs in
+some window, long enough for the shortest window) are concatenated, each closed by a
+separator of its own. Over that text one FM-index is built: suffix array by prefix doubling,
 Burrows-Wheeler transform, wavelet matrix for ranks. All distinct windows are
 searched backwards at once, one word a step; occurrences are located by walking
 back to sampled suffix positions, and their spans are merged for each document.
 
-No document is shuffled. The benchmark's windows are sent to the tasks in blocks
-of BLOCK_CHARS characters; with more than one block the hits of a document are
-merged over the blocks by one more pass for each.
+No document is shuffled, and there is one pass over the documents whatever the benchmark's
+size: its windows lie in the shared folder, a file for each block of BLOCK_CHARS characters,
+and a task reads one file at a time, once to mark a shard's stretches and once to search
+its index. One block only, the usual case, is read once a task.
 
 Semantics. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z is lower-cased.
 A null or empty text has no words and is never contaminated; a benchmark item
@@ -23,14 +23,16 @@ through ``annotate``; result columns that clash get leading underscores.
 
 from __future__ import annotations
 
+import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, pieces, table, texts_of, utf8
+from .common import Scratch, free_name, pieces, table, texts_of, utf8
 
 WINDOW = 13
 #: Characters of benchmark text whose windows are searched in one pass.
@@ -149,65 +151,106 @@ class FMIndex:
 
 
 class Windows:
-    """Distinct windows of benchmark items, as word numbers, and the items that have each."""
+    """Distinct windows of benchmark items, as numbers of the block's words, and the items that have each."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        number = lambda w: self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        known: dict[bytes, int] = {}
+        number = lambda w: known.setdefault(w, len(known))
         holders: dict[tuple[int, ...], set[int]] = {}
         self.items = [item for item, words in items if words]
         for at, words in enumerate(words for _, words in items if words):
             ids = [number(w) for w in words]
             for begin in range(max(1, len(ids) - window + 1)):
                 holders.setdefault(tuple(ids[begin : begin + window]), set()).add(at)
-        self.sigma = len(self.vocabulary) + 1
+        self.words = list(known)
         self.by_length = []
         for length in sorted({len(w) for w in holders}):
             own = [w for w in holders if len(w) == length]
             ends = np.cumsum([len(holders[w]) for w in own])
             self.by_length.append((np.array(own, dtype=np.int64), ends, np.concatenate([sorted(holders[w]) for w in own])))
         self.shortest = min((len(w) for w in holders), default=0)
-        pairs = {a * self.sigma + b for w in holders for a, b in zip(w, w[1:], strict=False)}
-        self.pairs = np.array(sorted(pairs), dtype=np.int64)
-
-    def stretches(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Ranges of words that a window may lie in."""
-        if not self.shortest or len(ids) < self.shortest:
-            return []
-        joined = (ids[:-1] > 0) & (ids[1:] > 0)
-        both = np.flatnonzero(joined)
-        key = ids[both] * self.sigma + ids[both + 1]
-        if len(self.pairs):
-            slot = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            joined[both] = self.pairs[slot] == key
-        else:
-            joined[both] = False
-        cut = np.flatnonzero(~joined) + 1
-        begins, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(ids)]])
-        good = (ends - begins >= self.shortest) & (ids[begins] > 0)
-        return list(zip(begins[good].tolist(), ends[good].tolist(), strict=True))
-
-
-def hits_of(windows: Windows, parts: list[tuple[int, int, np.ndarray]]):
-    """(document, first word, end word, item) of every occurrence in a shard's stretches.
-
-    ``parts``: document, first word, words of each stretch.
-    """
-    tokens = np.concatenate([np.append(ids, 0) for _, _, ids in parts])
-    starts = np.cumsum([0] + [len(ids) + 1 for _, _, ids in parts])[:-1]
-    index = FMIndex(tokens, windows.sigma)
-    docs, firsts = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
-    for patterns, ends, holders in windows.by_length:
-        low, high = index.search(patterns)
+        pairs = {(a, b) for w in holders for a, b in zip(w, w[1:], strict=False)}
+        self.pairs = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+        self.singles = np.array(sorted({w[0] for w in holders if len(w) == 1}), dtype=np.int64)
+
+
+class Shard:
+    """Texts whose words are numbers from 1 on; 0 stands between texts."""
+
+    def __init__(self, texts: list[str]):
+        self.number: dict[bytes, int] = {}
+        parts = []
+        for text in texts:
+            words = words_of(text)
+            for word in set(words).difference(self.number):
+                self.number[word] = len(self.number) + 1
+            parts.append(np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words)))
+        self.n_words = [len(p) for p in parts]
+        self.ids = np.concatenate([x for p in parts for x in (p, [0])]).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)
+        self.starts = np.cumsum([0] + [n + 1 for n in self.n_words])[:-1]
+        self.linked, self.single = np.zeros(len(self.ids), dtype=bool), np.zeros(len(self.ids), dtype=bool)
+        self.shortest = 0
+
+    def own(self, block: Windows) -> np.ndarray:
+        """The shard's numbers of the block's words, 0 for words that it lacks."""
+        return np.array([self.number.get(w, 0) for w in block.words], dtype=np.int64)
+
+    def mark(self, block: Windows) -> None:
+        """Marks neighbouring words, and words by themselves, that some window of the block has."""
+        own = self.own(block)
+        if block.shortest:
+            self.shortest = min(self.shortest or block.shortest, block.shortest)
+        if len(block.pairs) and len(self.ids):
+            sigma, both = len(self.number) + 1, own[block.pairs]
+            keys = np.unique((both[:, 0] * sigma + both[:, 1])[(both > 0).all(axis=1)])
+            if len(keys):
+                key = self.ids[:-1] * sigma + self.ids[1:]
+                slot = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                self.linked[:-1] |= keys[slot] == key
+        if len(block.singles):
+            wanted = np.zeros(len(self.number) + 1, dtype=bool)
+            wanted[own[block.singles]] = True
+            wanted[0] = False
+            self.single |= wanted[self.ids]
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the runs of linked words that a window may lie in."""
+        if not self.shortest:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        cut = np.flatnonzero(~self.linked) + 1
+        begins, ends = np.concatenate([[0], cut[:-1]]), cut
+        good = (ends - begins >= max(2, self.shortest)) | ((ends - begins == 1) & self.single[begins])
+        return begins[good], ends[good]
+
+    def indexes(self):
+        """(FM-index, stretches' begins in the index, their begins in the shard, the index' numbers by the shard's)."""
+        begins, ends = self.stretches()
+        lengths = ends - begins + 1
+        part = np.cumsum(lengths) // SHARD_WORDS
+        for at in np.unique(part):
+            mine = np.flatnonzero(part == at)
+            tokens = np.concatenate([x for i in mine for x in (self.ids[begins[i] : ends[i]], [0])])
+            kinds, dense = np.unique(tokens, return_inverse=True)
+            renamed = np.zeros(len(self.number) + 1, dtype=np.int64)
+            renamed[kinds] = np.arange(len(kinds))
+            yield FMIndex(dense.astype(np.int64), len(kinds)), np.cumsum(lengths[mine]) - lengths[mine], begins[mine], renamed
+
+
+def occurrences(index: FMIndex, inside: np.ndarray, begins: np.ndarray, renamed: np.ndarray, own: np.ndarray, block: Windows):
+    """(places of occurrences in the shard, their ends, window of each, windows' item lists) for each length of window."""
+    for patterns, ends, holders in block.by_length:
+        asked = renamed[own[patterns]]
+        there = np.flatnonzero((asked > 0).all(axis=1))
+        low, high = index.search(asked[there])
         found = np.flatnonzero(high > low)
         if not len(found):
             continue
         counts = (high - low)[found]
         rows = np.repeat(low[found] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         where = index.locate(rows)
-        part = np.searchsorted(starts, where, side="right") - 1
-        begin = firsts[part] + where - starts[part]
-        yield docs[part], begin, begin + patterns.shape[1], np.repeat(found, counts), ends, holders
+        part = np.searchsorted(inside, where, side="right") - 1
+        place = begins[part] + where - inside[part]
+        yield place, place + patterns.shape[1], np.repeat(there[found], counts), ends, holders
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -218,42 +261,24 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin[new].tolist(), reach[np.append(new[1:] - 1, len(reach) - 1)].tolist(), strict=True))
 
 
-def search_texts(windows: Windows, texts: list[str]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
-    """For each text: its words, the merged spans of hit words, and the items that occur."""
-    n_words, spans, items = [], [[] for _ in texts], [set() for _ in texts]
-    number = windows.vocabulary.get
-    parts: list[tuple[int, int, np.ndarray]] = []
-    held = 0
-
-    def flush():
-        nonlocal parts, held
-        if not parts:
-            return
-        per_doc: dict[int, list] = {}
-        for docs, begin, end, window, ends, holders in hits_of(windows, parts):
-            for at in np.unique(docs).tolist():
-                own = docs == at
-                per_doc.setdefault(at, []).append((begin[own], end[own]))
-                for w in np.unique(window[own]).tolist():
-                    items[at].update(holders[ends[w - 1] if w else 0 : ends[w]].tolist())
-        for at, pieces in per_doc.items():
-            old = spans[at]
-            begin = np.concatenate([[s for s, _ in old], *(b for b, _ in pieces)]).astype(np.int64)
-            end = np.concatenate([[e for _, e in old], *(e for _, e in pieces)]).astype(np.int64)
-            spans[at] = merged(begin, end)
-        parts, held = [], 0
-
-    for at, text in enumerate(texts):
-        words = words_of(text)
-        n_words.append(len(words))
-        ids = np.fromiter(map(number, words, [0] * len(words)), dtype=np.int64, count=len(words))
-        for begin, end in windows.stretches(ids):
-            parts.append((at, begin, ids[begin:end]))
-            held += end - begin + 1
-        if held >= SHARD_WORDS:
-            flush()
-    flush()
-    return n_words, spans, items
+def search_texts(blocks, texts: list[str]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """For each text: its words, the merged spans of hit words, and the items that occur. ``blocks()`` gives the Windows, one after the other."""
+    shard = Shard(texts)
+    for block in blocks():
+        shard.mark(block)
+    spans, items = [[] for _ in texts], [set() for _ in texts]
+    for index, inside, begins, renamed in shard.indexes():
+        for block in blocks():
+            for place, end, window, ends, holders in occurrences(index, inside, begins, renamed, shard.own(block), block):
+                doc = np.searchsorted(shard.starts, place, side="right") - 1
+                order = np.argsort(doc, kind="stable")
+                cuts = np.flatnonzero(np.diff(doc[order])) + 1
+                for own in np.split(order, cuts):
+                    at = int(doc[own[0]])
+                    spans[at] = merged(*(np.concatenate([[s[k] for s in spans[at]], x[own] - shard.starts[at]]).astype(np.int64) for k, x in enumerate((place, end))))
+                    for w in np.unique(window[own]).tolist():
+                        items[at].update(block.items[i] for i in holders[ends[w - 1] if w else 0 : ends[w]].tolist())
+    return shard.n_words, spans, items
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())]))
@@ -271,33 +296,40 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
         yield [(r.item, words_of(r.body)) for r in own.collect()]
 
 
+def written_blocks(benchmark: DataFrame, scratch: Scratch, window: int = WINDOW) -> list[str]:
+    """Files in the shared folder, one for each block's Windows."""
+    paths = []
+    for at, block in enumerate(item_blocks(benchmark)):
+        paths.append(scratch.path(f"block-{at}"))
+        system, name = fs.FileSystem.from_uri(paths[-1] if "://" in paths[-1] else f"file://{paths[-1]}")
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name) as file:
+            file.write(pickle.dumps(Windows(block, window)))
+    return paths
+
+
+def read_block(path: str) -> Windows:
+    system, name = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    with system.open_input_stream(name) as file:
+        return pickle.loads(file.read())
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with n_words, hit_spans (words, end exclusive) and hit_items, and the names that these got."""
-    spark = docs.sparkSession
     names = {c: free_name(docs.columns, c) for c in ("n_words", "hit_spans", "hit_items")}
-    out = docs
-    for at, block in enumerate(item_blocks(benchmark)):
-        held = spark.sparkContext.broadcast(Windows(block, window))
-        fields = [] if at else [T.StructField(names["n_words"], T.LongType()), T.StructField(names["hit_spans"], SPANS), T.StructField(names["hit_items"], T.ArrayType(T.StringType()))]
-        schema = T.StructType(out.schema.fields + fields)
-
-        def run(batches, held=held, first=not at):
-            windows = held.value
-            for batch in pieces(batches, text, SHARD_BYTES):
-                n_words, spans, items = search_texts(windows, texts_of(batch, text))
-                found = [[windows.items[i] for i in sorted(x)] for x in items]
-                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-                if not first:
-                    old = columns[names["hit_spans"]].to_pylist()
-                    spans = [merged(*np.array([(s["first_word"], s["end_word"]) for s in o] + list(n)).T) if o and n else [(s["first_word"], s["end_word"]) for s in o] or n for o, n in zip(old, spans, strict=True)]
-                    found = [o + n for o, n in zip(columns[names["hit_items"]].to_pylist(), found, strict=True)]
-                columns[names["n_words"]] = pa.array(n_words, pa.int64())
-                columns[names["hit_spans"]] = pa.array([[{"first_word": a, "end_word": b} for a, b in s] for s in spans], ARROW_SPANS)
-                columns[names["hit_items"]] = pa.array(found, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-        out = out.mapInArrow(run, schema)
-    return out, names
+    paths = written_blocks(benchmark, Scratch(docs.sparkSession, "benchmark"), window)
+    kinds = {"n_words": T.LongType(), "hit_spans": SPANS, "hit_items": T.ArrayType(T.StringType())}
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(names[c], t) for c, t in kinds.items())])
+
+    def run(batches):
+        held = [read_block(paths[0])] if len(paths) == 1 else []
+        blocks = (lambda: held) if held else (lambda: map(read_block, paths))
+        for batch in pieces(batches, text, SHARD_BYTES):
+            n_words, spans, items = search_texts(blocks, texts_of(batch, text))
+            told = [pa.array(n_words, pa.int64()), pa.array([[{"first_word": a, "end_word": b} for a, b in s] for s in spans], ARROW_SPANS), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], names=[*batch.schema.names, *names.values()])
+
+    return docs.mapInArrow(run, schema), names
 
 
 def n_hit(spans):

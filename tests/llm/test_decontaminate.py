@@ -41,6 +41,22 @@ def test_equals_plain_search(spark, monkeypatch, block_chars):
     assert got(found) == sorted((d, *contamination(t, items)) for d, t, _ in docs)
 
 
+def test_one_stage_whatever_the_benchmarks_size(spark, monkeypatch):
+    monkeypatch.setattr(D.item_blocks, "__defaults__", (60,))
+    docs, items = cases(3)
+    found, _ = D.annotate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_indexes_of_few_words(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_WORDS", 50)
+    docs, items = cases(5)
+    blocks = [D.Windows([(str(i), D.words_of(t or "")) for i, t in part]) for part in (items[:6], items[6:])]
+    n_words, spans, hit = D.search_texts(lambda: blocks, [t or "" for _, t, _ in docs])
+    for (_, text, _), n, own, names in zip(docs, n_words, spans, hit, strict=True):
+        assert (n, sum(b - a for a, b in own), len(names)) == contamination(text, items)[:3]
+
+
 def test_long_items_only(spark):
     draw = random.Random(8)
     vocabulary = [f"v{i}" for i in range(9)]
