@@ -12,38 +12,42 @@ EVENT = "HKWorkoutEventType"
 
 # The names that metrics have in the tables, by the exporter's identifier.
 QUANTITIES = {
-    "StepCount": "step_count",
-    "HeartRate": "heart_rate",
-    "RestingHeartRate": "resting_heart_rate",
-    "WalkingHeartRateAverage": "walking_heart_rate_average",
-    "HeartRateVariabilitySDNN": "hrv",
-    "HeartRateRecoveryOneMinute": "heart_rate_recovery",
-    "BodyMass": "weight",
-    "BodyMassIndex": "bmi",
-    "BodyFatPercentage": "body_fat_percentage",
-    "LeanBodyMass": "lean_body_mass",
-    "Height": "height",
-    "VO2Max": "vo2max",
-    "ActiveEnergyBurned": "active_energy",
-    "BasalEnergyBurned": "basal_energy",
-    "DistanceWalkingRunning": "distance_walking_running",
-    "DistanceCycling": "distance_cycling",
-    "DistanceSwimming": "distance_swimming",
-    "FlightsClimbed": "flights_climbed",
-    "AppleExerciseTime": "exercise_time",
-    "AppleStandTime": "stand_time",
-    "AppleWalkingSteadiness": "walking_steadiness",
-    "RespiratoryRate": "respiratory_rate",
-    "OxygenSaturation": "oxygen_saturation",
-    "BloodPressureSystolic": "blood_pressure_systolic",
-    "BloodPressureDiastolic": "blood_pressure_diastolic",
-    "BloodGlucose": "blood_glucose",
-    "BodyTemperature": "body_temperature",
-    "AppleSleepingWristTemperature": "sleeping_wrist_temperature",
-    "DietaryEnergyConsumed": "dietary_energy",
-    "DietaryWater": "water",
+    "HKQuantityTypeIdentifierStepCount": "step_count",
+    "HKQuantityTypeIdentifierHeartRate": "heart_rate",
+    "HKQuantityTypeIdentifierRestingHeartRate": "resting_heart_rate",
+    "HKQuantityTypeIdentifierWalkingHeartRateAverage": "walking_heart_rate_average",
+    "HKQuantityTypeIdentifierHeartRateVariabilitySDNN": "hrv",
+    "HKQuantityTypeIdentifierHeartRateRecoveryOneMinute": "heart_rate_recovery",
+    "HKQuantityTypeIdentifierBodyMass": "weight",
+    "HKQuantityTypeIdentifierBodyMassIndex": "bmi",
+    "HKQuantityTypeIdentifierBodyFatPercentage": "body_fat_percentage",
+    "HKQuantityTypeIdentifierLeanBodyMass": "lean_body_mass",
+    "HKQuantityTypeIdentifierHeight": "height",
+    "HKQuantityTypeIdentifierVO2Max": "vo2max",
+    "HKQuantityTypeIdentifierActiveEnergyBurned": "active_energy",
+    "HKQuantityTypeIdentifierBasalEnergyBurned": "basal_energy",
+    "HKQuantityTypeIdentifierDistanceWalkingRunning": "distance_walking_running",
+    "HKQuantityTypeIdentifierDistanceCycling": "distance_cycling",
+    "HKQuantityTypeIdentifierDistanceSwimming": "distance_swimming",
+    "HKQuantityTypeIdentifierFlightsClimbed": "flights_climbed",
+    "HKQuantityTypeIdentifierAppleExerciseTime": "exercise_time",
+    "HKQuantityTypeIdentifierAppleStandTime": "stand_time",
+    "HKQuantityTypeIdentifierAppleWalkingSteadiness": "walking_steadiness",
+    "HKQuantityTypeIdentifierRespiratoryRate": "respiratory_rate",
+    "HKQuantityTypeIdentifierOxygenSaturation": "oxygen_saturation",
+    "HKQuantityTypeIdentifierBloodPressureSystolic": "blood_pressure_systolic",
+    "HKQuantityTypeIdentifierBloodPressureDiastolic": "blood_pressure_diastolic",
+    "HKQuantityTypeIdentifierBloodGlucose": "blood_glucose",
+    "HKQuantityTypeIdentifierBodyTemperature": "body_temperature",
+    "HKQuantityTypeIdentifierAppleSleepingWristTemperature": "sleeping_wrist_temperature",
+    "HKQuantityTypeIdentifierDietaryEnergyConsumed": "dietary_energy",
+    "HKQuantityTypeIdentifierDietaryWater": "water",
+}
+CATEGORIES = {
+    "HKCategoryTypeIdentifierSleepAnalysis": "sleep_analysis",
+    "HKCategoryTypeIdentifierMindfulSession": "mindful_session",
+    "HKCategoryTypeIdentifierAppleStandHour": "stand_hour",
 }
-CATEGORIES = {"SleepAnalysis": "sleep_analysis", "MindfulSession": "mindful_session", "AppleStandHour": "stand_hour"}
 # Prefixes that are stripped from other identifiers, the first that fits.
 PREFIXES = (
     "HKQuantityTypeIdentifier",
@@ -55,7 +59,15 @@ PREFIXES = (
     "HKWorkoutActivityType",
 )
 # Sleep stages.
-STAGES = {"InBed": "in_bed", "Asleep": "asleep", "AsleepUnspecified": "asleep", "AsleepCore": "core", "AsleepDeep": "deep", "AsleepREM": "rem", "Awake": "awake"}
+STAGES = {
+    "HKCategoryValueSleepAnalysisInBed": "in_bed",
+    "HKCategoryValueSleepAnalysisAsleep": "asleep",
+    "HKCategoryValueSleepAnalysisAsleepUnspecified": "asleep",
+    "HKCategoryValueSleepAnalysisAsleepCore": "core",
+    "HKCategoryValueSleepAnalysisAsleepDeep": "deep",
+    "HKCategoryValueSleepAnalysisAsleepREM": "rem",
+    "HKCategoryValueSleepAnalysisAwake": "awake",
+}
 # Metrics that are summed over a period; others are averaged.
 SUMMED = (
     "step_count", "active_energy", "basal_energy", "flights_climbed", "exercise_time", "stand_time", "dietary_energy", "water",
@@ -79,7 +91,7 @@ def snake(name: Column) -> Column:
 
 
 def metric_type(raw: Column) -> Column:
-    aliases = {QUANTITY + k: v for k, v in QUANTITIES.items()} | {CATEGORY + k: v for k, v in CATEGORIES.items()}
+    aliases = QUANTITIES | CATEGORIES
     rest = F.regexp_replace(raw, f"^(?:{'|'.join(PREFIXES)})", "")
     plain = snake(F.when(rest == "", raw).otherwise(rest))
     return F.when(F.coalesce(raw, F.lit("")) == "", "unknown").otherwise(F.coalesce(lookup(aliases, raw), plain))
@@ -87,7 +99,7 @@ def metric_type(raw: Column) -> Column:
 
 def sleep_stage(raw: Column) -> Column:
     plain = F.nullif(snake(F.replace(raw, F.lit(STAGE), F.lit(""))), F.lit(""))
-    known = lookup({STAGE + k: v for k, v in STAGES.items()}, raw)
+    known = lookup(STAGES, raw)
     return F.when(F.coalesce(raw, F.lit("")) == "", "unknown").otherwise(F.coalesce(known, plain, F.lit("unknown")))
 
 

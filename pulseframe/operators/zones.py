@@ -33,7 +33,7 @@ def time_in_zones(samples: DataFrame, by: list[str], models: dict[str, list[tupl
     marks = [F.struct(F.lit(m).alias("model"), tr.zone_of(F.col("value"), bounds).alias("zone")) for m, bounds in models.items()]
     spent = weighted.select(*by, "seconds", F.explode(F.array(*marks)).alias("mark")).groupBy(*by, "mark.model", "mark.zone").agg(F.sum("seconds").alias("seconds"))
     every = [F.struct(F.lit(m).alias("model"), F.lit(z).alias("zone")) for m, bounds in models.items() for z, _ in bounds]
-    grid = weighted.select(*by).distinct().select(*by, F.explode(F.array(*every)).alias("mark")).select(*by, "mark.model", "mark.zone")
+    grid = spent.select(*by).distinct().select(*by, F.explode(F.array(*every)).alias("mark")).select(*by, "mark.model", "mark.zone")
     full = grid.join(spent, [*by, "model", "zone"], "left").withColumn("seconds", F.coalesce("seconds", F.lit(0)))
     total = F.sum("seconds").over(Window.partitionBy(*by, "model"))
     share = F.coalesce(F.round(F.try_divide(F.col("seconds"), total), 3), F.lit(0.0))

@@ -60,13 +60,13 @@ def elements(stream, tags=TAGS, block: int = 1 << 20):
 
     names = "|".join(tags)
     begin = re.compile(rb"<(" + names.encode() + rb")(?=[\s/>])")
-    held, more = b"", True
-    while more or held:
-        found = begin.search(held)
+    held, at, more = b"", 0, True
+    while more or at < len(held):
+        found = begin.search(held, at)
         if found is None:
             if not more:
                 return
-            held = held[-64:]
+            at = max(at, len(held) - 64)
         else:
             tag = found[1]
             head = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""").match(held, found.start())
@@ -79,14 +79,14 @@ def elements(stream, tags=TAGS, block: int = 1 << 20):
                     end = close + len(tag) + 3 if close >= 0 else None
             if end is not None:
                 yield tag.decode(), held[found.start() : end].decode("utf-8", "replace")
-                held = held[end:]
+                at = end
                 continue
             if not more:
                 return
-            held = held[found.start() :]
+            at = found.start()
         data = stream.read(block)
         more = bool(data)
-        held += data
+        held, at = held[at:] + data, 0  # what is read is cut off once a block
 
 
 class ExportReader(DataSourceReader):
