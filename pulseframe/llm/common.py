@@ -88,6 +88,22 @@ def with_small_side(docs: DataFrame, keys: DataFrame, on: list[str], how: str, r
     return docs.join(F.broadcast(keys) if rows <= BROADCAST_IDS else keys, on, how)
 
 
+#: Keys that hold at least one row in so many; there are no more of them than that.
+HOT_SHARE = 1000
+
+
+def join_apart(rows: DataFrame, keys: DataFrame, on: list[str], size: str) -> DataFrame:
+    """Inner join with distinct ``keys``, of which ``size`` tells how many of ``rows`` each has.
+
+    Keys of a thousandth of these rows or more, a thousand at most, are broadcast and their rows stay where
+    they are, so no key is one task's work; the rest is shuffled.
+    """
+    total = keys.agg(F.sum(size)).first()[0] or 0
+    hot, cool = (keys.filter(c).drop(size) for c in (F.col(size) * HOT_SHARE >= total, F.col(size) * HOT_SHARE < total))
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cool, on))
+
+
 def lower_ascii(column):
     """A-Z to a-z; other letters stay."""
     return F.translate(column, UPPER, LOWER)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, pieces, table, texts_of, utf8, with_small_side
+from .common import Scratch, join_apart, pieces, table, texts_of, utf8, with_small_side
 
 SPAN = 400
 GRAM = 64
@@ -427,18 +427,18 @@ class RepeatedPassages:
         others = (F.min(row) < F.max(row)) if alphabet.across else (F.count(F.lit(1)) > 1)
         grams = keep(
             anchors.groupBy("gram")
-            .agg(others.alias("repeated"), (F.min("context") < F.max("context")).alias("several"))
+            .agg(others.alias("repeated"), (F.min("context") < F.max("context")).alias("several"), F.count(F.lit(1)).alias("size"))
             .filter("repeated")
-            .select("gram", "several"),
+            .select("gram", "several", "size"),
             "grams",
         )
-        repeated = anchors.join(grams, "gram")
+        repeated = join_apart(anchors, grams, ["gram"], "size")
         whole = repeated.filter("NOT several").select(*ROW_KEY, "first", "last")
         mixed = keep(repeated.filter("several").drop("several"), "mixed")
         contexts = keep(
-            mixed.groupBy("gram", "context").agg(others.alias("repeated"), F.min(F.struct(*ROW_KEY, "anchor", "first", "last")).alias("one")), "contexts"
+            mixed.groupBy("gram", "context").agg(others.alias("repeated"), F.min(F.struct(*ROW_KEY, "anchor", "first", "last")).alias("one"), F.count(F.lit(1)).alias("size")), "contexts"
         )
-        copied = mixed.join(contexts.filter("repeated").select("gram", "context"), ["gram", "context"]).select(*ROW_KEY, "first", "last")
+        copied = join_apart(mixed, contexts.filter("repeated").select("gram", "context", "size"), ["gram", "context"], "size").select(*ROW_KEY, "first", "last")
         crowds = contexts.groupBy("gram").count().filter(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
         parts = contexts.join(crowds, "gram", "left").select(
             "one.id", "one.body_hash", F.struct("one.anchor", "one.first", "one.last", "gram", (~F.col("repeated")).alias("lone"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w")

@@ -102,3 +102,15 @@ def test_passages_of_other_documents(spark, tmp_path, monkeypatch, hot):
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.n_passages, r.passage_words, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.op10_suffix_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()]
     assert got == [a + b for a, b in zip(passages(texts, S.PASSAGE), without_repeats(texts, S.SPAN), strict=True)]
+
+
+def test_hot_keys_are_joined_apart(spark):
+    from pyspark.sql import functions as F
+
+    from pulseframe.llm.common import join_apart
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("k"), "id")
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("top")).filter("k % 2 = 1")
+    got = sorted(map(tuple, join_apart(rows, keys, ["k"], "size").select("k", "id", "top").collect()))
+    assert got == sorted(map(tuple, rows.join(keys, "k").select("k", "id", "top").collect()))
+    assert join_apart(rows.limit(0), keys.limit(0), ["k"], "size").collect() == []
