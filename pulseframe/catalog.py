@@ -767,4 +767,4 @@ def load_per_week_board(t: Tables) -> DataFrame:
     return text(rolling.newest(grid(t), ["subject_id"], "week", 8).select("subject_id", "week", "km", "n"), "week")
 
 
-from . import catalog_imports, catalog_more, catalog_recovery, catalog_store, catalog_volume  # noqa: E402, F401  they register their queries
+from . import catalog_files, catalog_imports, catalog_more, catalog_recovery, catalog_store, catalog_volume  # noqa: E402, F401  they register their queries

@@ -7,6 +7,7 @@ short array, and the rest is array arithmetic. To see one night, filter the resu
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,12 +163,18 @@ def readiness(recovered: DataFrame, workouts: DataFrame, records: DataFrame, anc
     return out.withColumns({"recommendation": told, "illness": F.struct(*(c.alias(n) for n, c in ill.items())), "penalty": sc.settled(F.col("penalty"), 1), "owed_h": sc.settled(F.col("owed_h"), 1)}).drop("last")
 
 
-def contributors(row, cfg: sc.Scoring = sc.DEFAULT) -> list[dict]:
-    """What each sub-score of one collected night adds, heaviest weight first."""
-    present = {n: row[f"{n}_score"] for n in cfg.weights if row[f"{n}_score"] is not None}
-    weight = {n: cfg.weights[n] * min(1.0, row[f"{n}_samples"] / cfg.min_samples) for n in present}
-    if not sum(weight.values()):
-        weight = {n: cfg.weights[n] for n in present}
-    total = reduce(lambda a, b: a + b, weight.values(), 0.0)
-    order = sorted(present, key=lambda n: -cfg.weights[n])
-    return [{"metric": n, "score": round(present[n], 1), "weight": round(weight[n] / total, 3), "contribution": round(present[n] * weight[n] / total, 1)} for n in order]
+def contributions(nights: DataFrame, by: list[str], cfg: sc.Scoring = sc.DEFAULT) -> DataFrame:
+    """(by, place, metric, score, weight, contribution): what each sub-score of a night adds, heaviest first (by the weights as they are set).
+
+    Weights shrink with the samples behind a score, unless all would be 0; they are shares of those present.
+    """
+    order = sorted(cfg.weights, key=lambda n: -cfg.weights[n])
+    held = {n: F.col(f"{n}_score").isNotNull() for n in order}
+    trusted = {n: F.when(held[n], cfg.weights[n] * sc.confidence(F.col(f"{n}_samples"), cfg)).otherwise(0.0) for n in order}
+    plain = {n: F.when(held[n], cfg.weights[n]).otherwise(0.0) for n in order}
+    sums = nights.withColumns({"_trusted": reduce(add, trusted.values()), "_plain": reduce(add, plain.values())})
+    weight = {n: F.when(F.col("_trusted") > 0, trusted[n] / F.col("_trusted")).otherwise(F.try_divide(plain[n], F.col("_plain"))) for n in order}
+    parts = [F.when(held[n], F.struct(F.lit(n).alias("metric"), F.col(f"{n}_score").alias("_score"), weight[n].alias("_weight"))) for n in order]
+    told = sums.select(*by, F.posexplode(F.filter(F.array(*parts), lambda x: x.isNotNull())).alias("place", "part"))
+    score, share = F.col("part._score"), F.col("part._weight")
+    return told.select(*by, "place", "part.metric", sc.settled(score, 1).alias("score"), sc.settled(share, 3).alias("weight"), sc.settled(score * share, 1).alias("contribution"))

@@ -172,7 +172,8 @@ def history(spark, subject="a"):
 def test_recovery_of_all_nights(spark):
     hrv, sleep, records = history(spark)
     _, more_sleep, more_records = history(spark, "b")
-    rows = recovery.recovery(sleep.unionByName(more_sleep), records.unionByName(more_records), ["subject_id"]).orderBy("subject_id", "night").collect()
+    scores = recovery.recovery(sleep.unionByName(more_sleep), records.unionByName(more_records), ["subject_id"])
+    rows = scores.orderBy("subject_id", "night").collect()
     assert len(rows) == 2 * NIGHTS
     first, second = rows[:NIGHTS], rows[NIGHTS:]
     assert [r.score for r in first] == [r.score for r in second]
@@ -184,8 +185,10 @@ def test_recovery_of_all_nights(spark):
         assert first[n].hrv_z == pytest.approx((sum(recent) / len(recent) - center) / scale)
         assert first[n].hrv_score == pytest.approx(min(100, max(0, 50 + 16.6 * first[n].hrv_z)))
     assert all(r.sleeping_hr > 49 for r in first) and first[35].sleeping_hr_z > 3
-    parts = recovery.contributors(first[-1])
+    told = recovery.contributions(frame(spark, [tuple(r) for r in first[-2:]], scores.schema), ["subject_id", "night"]).collect()
+    parts = [p for p in told if p.night == first[-1].night]
     assert sum(p["weight"] for p in parts) == pytest.approx(1, abs=0.003) and sum(p["contribution"] for p in parts) == pytest.approx(first[-1].score, abs=0.4)
+    assert [p.metric for p in sorted(parts, key=lambda p: p.place)][:2] == ["hrv", "sleep"]
 
 
 def test_readiness(spark):
