@@ -71,12 +71,12 @@ def points_in(points: DataFrame, spans: DataFrame, on: list[str], at: str, start
     return joined.filter(inside & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end))))
 
 
-def points_covered(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, bucket: int = 3600) -> DataFrame:
+def points_covered(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, bucket: int = 3600, block: Column | None = None) -> DataFrame:
     """Points that some interval holds, ends included, each once.
 
-    The intervals are made disjoint first, month by month, so a point meets one of them at most.
+    The intervals are made disjoint first (by ``block``, see ``islands``), so a point meets one of them at most.
     """
-    disjoint = islands(spans.filter(F.col(end) >= F.col(start)), on, start, end, F.date_trunc("month", start))
+    disjoint = islands(spans.filter(F.col(end) >= F.col(start)), on, start, end, block)
     return points_in(points, disjoint, on, at, "island_start", "island_end", True, bucket).drop("island_start", "island_end")
 
 
