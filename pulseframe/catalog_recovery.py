@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import LOAD_SQL, Tables, quantile_cte, query, rd, text
+from .catalog import ADAPTERS, LOAD_SQL, SQL, Tables, quantile_cte, query, rd, text
 from .functions import identifiers as ids
 from .functions import scores as sc
 from .functions import times as tm
@@ -111,3 +111,22 @@ def readiness(t: Tables) -> DataFrame:
     slept = t.seg.select("subject_id", tm.wake_day(F.col("start_ts")).alias("night")).distinct()
     out = score(nights(t), t.wk, t.rec, known, ["subject_id"], known_nights=slept)
     return text(out.select("subject_id", "night", "readiness", "readiness_band", "acwr", "penalty", "owed_h", "recommendation"), "night")
+
+
+@query("streamed_recovery", SQL["recovery"].removeprefix(ADAPTERS))
+def streamed_recovery(t: Tables) -> DataFrame:
+    """SR-12, 2.12: the same nights scored as they come, in three batches of which the last is late."""
+    from .plans.recovery import night_inputs
+    from .sources.workspace import workspace
+    from .streaming import nights as stream
+
+    spark, folder = t.spark, workspace(t.spark, "nights")
+    rows = stream.prepared(night_inputs(t.seg, t.rec.withColumn("type", ids.lookup(KINDS, F.col("type"))), ["subject_id"]), "subject_id")
+    rows.write.parquet(f"{folder}/nights")
+    rows, late = spark.read.parquet(f"{folder}/nights"), (F.col("day") % 9 == 4) & (F.col("athlete") < "5")
+    middle = F.lit(19737)  # 15 January 2024
+    for part in (~late & (F.col("day") < middle), ~late & (F.col("day") >= middle), late):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/landing")
+        stream.start(spark, f"{folder}/landing", f"{folder}/scores", f"{folder}/checkpoint", "subject_id", t.seg.schema["subject_id"].dataType).awaitTermination()
+    z = [sc.settled(F.col(f"{m}_z"), 3).alias(f"{m}_z") for m in ("hrv", "sleeping_hr")]
+    return text(stream.scores(spark, f"{folder}/scores", "subject_id").select("subject_id", "night", "state", "score", "band", "confidence", "ci", *z), "night")

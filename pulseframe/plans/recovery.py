@@ -93,17 +93,32 @@ def regularity(nights: DataFrame, by: list[str], days: int = 14) -> DataFrame:
     return nights.withColumn("_bed", bed).withColumn("regularity", F.when(F.count("_bed").over(w) >= 2, F.stddev_samp("_bed").over(w))).drop("_bed")
 
 
-def recovery(sleep: DataFrame, records: DataFrame, by: list[str], cfg: sc.Scoring = sc.DEFAULT, hr_window: int = 5) -> DataFrame:
-    """One row a night: state, score, band, confidence, ci, and z, sub-score and baseline size of each metric."""
-    nights = regularity(sleep_inputs(sleep, by), by)
-    key = [*by, "night"]
+def night_inputs(sleep: DataFrame, records: DataFrame, by: list[str], hr_window: int = 5) -> DataFrame:
+    """What a night itself gives: hours asleep and in deep or REM sleep, awakenings, bedtime, and a value of each metric."""
+    nights, key = sleep_inputs(sleep, by), [*by, "night"]
     means = {n: m for n, m in METRICS.items() if n != "sleeping_hr"}
     nights = nights.join(night_values(sleep, records, by, means).select(*key, *means), key, "left")
-    nights = nights.join(sleeping_rate(sleep, records, by, hr_window).select(*key, F.col("value").alias("sleeping_hr")), key, "left")
+    return nights.join(sleeping_rate(sleep, records, by, hr_window).select(*key, F.col("value").alias("sleeping_hr")), key, "left")
+
+
+def with_windows(nights: DataFrame, by: list[str], cfg: sc.Scoring = sc.DEFAULT) -> DataFrame:
+    """``night_inputs`` with what the nights before give: baselines' values as short arrays, bedtimes' spread, days of history."""
+    nights = regularity(nights, by)
     before = lambda c, first, last: bl.trailing(nights, by, "night", c, first, last)
     held = {f"{n}_base": before(n, -cfg.window_days, -1) for n in METRICS} | {"hours_base": before("hours_asleep", -cfg.window_days, -1)}
     held["hrv_recent"] = before("hrv", 1 - max(cfg.smoothing_days, 1), 0)
-    nights = nights.withColumns(held)
+    held["history_days"] = F.datediff("night", F.min("night").over(Window.partitionBy(*by)))
+    return nights.withColumns(held)
+
+
+def recovery(sleep: DataFrame, records: DataFrame, by: list[str], cfg: sc.Scoring = sc.DEFAULT, hr_window: int = 5) -> DataFrame:
+    """One row a night: state, score, band, confidence, ci, and z, sub-score and baseline size of each metric."""
+    return scored_nights(with_windows(night_inputs(sleep, records, by, hr_window), by, cfg), by, cfg)
+
+
+def scored_nights(nights: DataFrame, by: list[str], cfg: sc.Scoring = sc.DEFAULT) -> DataFrame:
+    """``recovery`` of nights that have their windows: no night looks at another from here on."""
+    key = [*by, "night"]
     nights = nights.withColumns({"hrv_logs": bl.logs(F.col("hrv_base")), "recent_logs": bl.logs(F.col("hrv_recent"))})
     nights = nights.withColumn("cv_base", bl.rolling_variations(F.col("hrv_logs"), cfg.smoothing_days))
     # one row for each night and metric: their baselines are one set of expressions
@@ -127,11 +142,10 @@ def recovery(sleep: DataFrame, records: DataFrame, by: list[str], cfg: sc.Scorin
     parts = {n: F.col(f"{n}_score") for n in scored}
     trust = {n: sc.confidence(F.col(f"{n}_samples"), cfg) for n in scored}
     nights = nights.withColumns(sc.recovery(parts, trust, cfg))
-    history = F.datediff("night", F.min("night").over(Window.partitionBy(*by)))
-    thin = (history < cfg.min_history) | (F.col("confidence") < cfg.confident)
+    thin = (F.col("history_days") < cfg.min_history) | (F.col("confidence") < cfg.confident)
     state = F.when(F.col("score").isNull(), "insufficient_data").when(thin, "calibrating").otherwise("ok")
     few = F.filter(F.array(*(F.when(parts[n].isNotNull() & (F.col(f"{n}_samples") < cfg.min_samples), F.lit(n)) for n in METRICS)), lambda x: x.isNotNull())
-    nights = nights.withColumns({"band": sc.band(F.col("score"), cfg), "history_days": history, "state": state, "low_confidence": few})
+    nights = nights.withColumns({"band": sc.band(F.col("score"), cfg), "state": state, "low_confidence": few})
     figures = [f"{n}_{c}" for n in scored for c in ("score", "samples")] + [f"{n}_{c}" for n in today for c in ("z", "center", "scale")]
     return nights.select(*key, "state", "history_days", "score", "band", "confidence", "ci", "low_confidence", "hours_asleep", "awakenings", "regularity", need.alias("need_h"), *METRICS, *figures)
 
