@@ -19,7 +19,8 @@ as they stream by. So nothing that grows with the corpus is broadcast or collect
 largest task holds the distinct strings of the commonest two bytes (a fiftieth of all).
 
 Semantics. Training documents are those whose crc32(doc_id as text) mod 7 is not 2. A
-null text is empty: it has the end mark alone. Rows that repeat a document count each.
+null text is empty: it has the end mark alone. A text of more than CHUNK_BYTES is taken in stretches of
+so many bytes, each with the DEPTH bytes before it. Rows that repeat a document count each.
 Without training documents every bit has probability 1/2 and base_score is that of
 unseen tokens. An empty table gives an empty result. Other columns are ignored.
 """
@@ -86,6 +87,18 @@ def grams_of(bodies: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.nd
     return packed[inside[: len(packed)]], sizes
 
 
+def gram_stretches(body: bytes, depth: int = DEPTH, most: int | None = None):
+    """``grams_of`` one text, ``most`` of them at a time: a text of any length takes no more memory than that and itself."""
+    most = most or CHUNK_BYTES
+    whole = bytes([END]) * depth + body + bytes([END])
+    for begin in range(0, len(body) + 1, most):
+        codes = np.frombuffer(whole, dtype=np.uint8, offset=begin, count=min(most, len(body) + 1 - begin) + depth)
+        packed = np.zeros(len(codes) - depth, dtype=np.int64)
+        for k in range(depth + 1):
+            packed = (packed << 8) | codes[k : k + len(packed)]
+        yield packed
+
+
 def chunked(sizes: list[int], most: int = CHUNK_BYTES):
     """Ranges of consecutive texts of about ``most`` bytes together, or of one longer text."""
     begin = held = 0
@@ -261,8 +274,9 @@ def gathered(blocks: DataFrame, depth: int) -> DataFrame:
                             else:
                                 for w in set(body.split()):
                                     counter.setdefault(w, 0)
-                        unique, n = np.unique(grams_of(bodies, depth)[0], return_counts=True)
-                        strings.add(unique, n.astype(np.int64) if train else np.zeros(len(n), np.int64))
+                        for own_grams in gram_stretches(bodies[0], depth) if len(bodies) == 1 else [grams_of(bodies, depth)[0]]:
+                            unique, n = np.unique(own_grams, return_counts=True)
+                            strings.add(unique, n.astype(np.int64) if train else np.zeros(len(n), np.int64))
         for block in sorted(words):
             unique, n = grams.pop(block).settle()
             part = part_of(unique)
@@ -394,9 +408,13 @@ class ContextTreeModel:
                 n_tokens.append(len(words) + 1)
                 n_known.append(int((c > 0).sum()) + (train_docs > 0))
                 base.append(float(np.log10((c + 1) / whole).sum()) + end)
-            grams, sizes = grams_of(bodies, depth)
-            unique, slot = np.unique(grams, return_inverse=True)
-            score = np.add.reduceat(ready[1][np.searchsorted(ready[0], unique)][slot], np.cumsum(sizes) - sizes)
+            if len(bodies) == 1:
+                sizes = np.array([len(bodies[0]) + 1], dtype=np.int64)
+                score = np.array([sum(float(ready[1][np.searchsorted(ready[0], g)].sum()) for g in gram_stretches(bodies[0], depth))])
+            else:
+                grams, sizes = grams_of(bodies, depth)
+                unique, slot = np.unique(grams, return_inverse=True)
+                score = np.add.reduceat(ready[1][np.searchsorted(ready[0], unique)][slot], np.cumsum(sizes) - sizes)
             return pa.RecordBatch.from_arrays(
                 [own.column(4), own.column(6), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([train_tokens] * len(bodies), pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes - 1)],
                 names=schema.names,

@@ -109,3 +109,24 @@ def test_contexts_of_six_bytes_count(spark):
 def test_held_out_texts_are_likelier_than_by_the_base(spark):
     held = lm.op2_context_tree(spark, "/root/testdata/sf0.1").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert held["sum(score)"] > 0.95 * held["sum(base_score)"]
+
+
+def test_stretches_of_a_text_are_its_grams():
+    for body in (b"", b"a", bytes(range(256)) * 3, b"ab" * 500):
+        whole, sizes = lm.grams_of([body])
+        assert sizes.tolist() == [len(body) + 1]
+        for most in (1, 7, 64, 10_000):
+            parts = list(lm.gram_stretches(body, most=most))
+            assert np.array_equal(np.concatenate(parts), whole) and max(map(len, parts)) <= most
+
+
+def test_a_text_of_several_stretches(spark):
+    """Two texts of some MB, one the other's beginning: their scores differ by what follows, which is all known."""
+    unit = "the cat sat on the mat and saw the hat of the other cat "
+    long, longer = unit * 60_000, unit * 90_000
+    docs = spark.createDataFrame([(1, long), (2, longer), (3, unit)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.ContextTreeModel(docs).scored().collect()}
+    assert len(long) > lm.CHUNK_BYTES and got[1].n_bytes == len(long) and got[2].n_tokens == 90_000 * 14 + 1
+    per_unit = (got[2].score - got[1].score) / 30_000
+    assert per_unit < 0 and got[1].score == pytest.approx(got[2].score - 30_000 * per_unit, rel=1e-9)
+    assert got[1].score == pytest.approx(60_000 * per_unit, rel=0.01)
