@@ -129,4 +129,4 @@ def test_a_text_of_several_stretches(spark):
     assert len(long) > lm.CHUNK_BYTES and got[1].n_bytes == len(long) and got[2].n_tokens == 90_000 * 14 + 1
     per_unit = (got[2].score - got[1].score) / 30_000
     assert per_unit < 0 and got[1].score == pytest.approx(got[2].score - 30_000 * per_unit, rel=1e-9)
-    assert got[1].score == pytest.approx(60_000 * per_unit, rel=0.01)
+    assert got[1].score == pytest.approx(60_000 * per_unit, abs=20)  # its first and last bytes are rare
