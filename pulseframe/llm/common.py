@@ -104,6 +104,17 @@ def join_apart(rows: DataFrame, keys: DataFrame, on: list[str], size: str) -> Da
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cool, on))
 
 
+def marked_apart(rows: DataFrame, keys: DataFrame, on: list[str], size: str, mark: str) -> DataFrame:
+    """``rows`` with a boolean ``mark``: whether ``keys`` has their key. Dealt as in ``join_apart``."""
+    total, own = keys.agg(F.sum(size)).first()[0] or 0, free_name([*rows.columns, mark], "own")
+    hot, cool = (keys.filter(c).select(*on, F.lit(True).alias(own)) for c in (F.col(size) * HOT_SHARE >= total, F.col(size) * HOT_SHARE < total))
+    near = rows.join(F.broadcast(hot), on, "left")
+    found, rest = near.filter(F.col(own)), near.filter(F.col(own).isNull()).drop(own)
+    rest = rest.join(cool, on, "left")
+    both = found.unionByName(rest)
+    return both.withColumn(mark, F.coalesce(F.col(own), F.lit(False))).drop(own)
+
+
 def lower_ascii(column):
     """A-Z to a-z; other letters stay."""
     return F.translate(column, UPPER, LOWER)

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, join_apart, pieces, table, texts_of, utf8, with_small_side
+from .common import Scratch, join_apart, marked_apart, pieces, table, texts_of, utf8, with_small_side
 
 SPAN = 400
 GRAM = 64
@@ -439,9 +439,9 @@ class RepeatedPassages:
             mixed.groupBy("gram", "context").agg(others.alias("repeated"), F.min(F.struct(*ROW_KEY, "anchor", "first", "last")).alias("one"), F.count(F.lit(1)).alias("size")), "contexts"
         )
         copied = join_apart(mixed, contexts.filter("repeated").select("gram", "context", "size"), ["gram", "context"], "size").select(*ROW_KEY, "first", "last")
-        crowds = contexts.groupBy("gram").count().filter(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
-        parts = contexts.join(crowds, "gram", "left").select(
-            "one.id", "one.body_hash", F.struct("one.anchor", "one.first", "one.last", "gram", (~F.col("repeated")).alias("lone"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("w")
+        crowds = contexts.groupBy("gram").count().filter(F.col("count") > HOT)
+        parts = marked_apart(contexts, crowds, ["gram"], "count", "hot").select(
+            "one.id", "one.body_hash", F.struct("one.anchor", "one.first", "one.last", "gram", (~F.col("repeated")).alias("lone"), "hot").alias("w")
         )
         wanted = keep(parts.groupBy(*ROW_KEY).agg(F.collect_list("w").alias("wanted")), "wanted")
         total = contexts.count()

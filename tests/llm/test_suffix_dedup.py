@@ -107,10 +107,13 @@ def test_passages_of_other_documents(spark, tmp_path, monkeypatch, hot):
 def test_hot_keys_are_joined_apart(spark):
     from pyspark.sql import functions as F
 
-    from pulseframe.llm.common import join_apart
+    from pulseframe.llm.common import join_apart, marked_apart
 
     rows = spark.range(3000).select(F.when(F.col("id") < 1500, 7).otherwise(F.col("id")).alias("k"), "id")
     keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.max("id").alias("top")).filter("k % 2 = 1")
     got = sorted(map(tuple, join_apart(rows, keys, ["k"], "size").select("k", "id", "top").collect()))
     assert got == sorted(map(tuple, rows.join(keys, "k").select("k", "id", "top").collect()))
     assert join_apart(rows.limit(0), keys.limit(0), ["k"], "size").collect() == []
+    told = {r.id: r.seen for r in marked_apart(rows, keys, ["k"], "size", "seen").collect()}
+    assert len(told) == 3000 and all(seen == (i < 1500 or i % 2 == 1) for i, seen in told.items())
+    assert marked_apart(rows, keys.limit(0), ["k"], "size", "seen").filter("seen").count() == 0
