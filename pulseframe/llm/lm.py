@@ -274,7 +274,7 @@ def gathered(blocks: DataFrame, depth: int) -> DataFrame:
                             else:
                                 for w in set(body.split()):
                                     counter.setdefault(w, 0)
-                        for own_grams in gram_stretches(bodies[0], depth) if len(bodies) == 1 else [grams_of(bodies, depth)[0]]:
+                        for own_grams in gram_stretches(bodies[0], depth) if len(bodies[0]) > CHUNK_BYTES else [grams_of(bodies, depth)[0]]:
                             unique, n = np.unique(own_grams, return_counts=True)
                             strings.add(unique, n.astype(np.int64) if train else np.zeros(len(n), np.int64))
         for block in sorted(words):
@@ -408,7 +408,7 @@ class ContextTreeModel:
                 n_tokens.append(len(words) + 1)
                 n_known.append(int((c > 0).sum()) + (train_docs > 0))
                 base.append(float(np.log10((c + 1) / whole).sum()) + end)
-            if len(bodies) == 1:
+            if len(bodies[0]) > CHUNK_BYTES:  # then it is alone
                 sizes = np.array([len(bodies[0]) + 1], dtype=np.int64)
                 score = np.array([sum(float(ready[1][np.searchsorted(ready[0], g)].sum()) for g in gram_stretches(bodies[0], depth))])
             else:
