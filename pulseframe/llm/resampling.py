@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, free_name, pieces, positions, table, utf8
+from .common import Scratch, free_name, pieces, positions, small_batches, table, utf8
 
 BUCKETS = 10_000
 #: Documents of fewer words are never drawn.
 LEAST_WORDS = 20
 PERCENT = 10
 SEED = "2024"
+#: Bytes of text that DuckDB counts at a time.
+PIECE = 2 << 20
 #: Characters of a text that DuckDB takes as one row.
 CHUNK = 1 << 20
 #: ASCII bytes that are no letter or digit become spaces, capitals small letters; all other bytes stay.
@@ -120,7 +122,7 @@ def spill(docs: DataFrame, scratch: Scratch, name: str, text: str = "text", carr
     def run(batches):
         held, count = counter(shortest, longest, buckets)
         kinds = None
-        for batch in pieces(batches, body):
+        for batch in pieces(batches, body, PIECE):
             kinds = [c.type for c in batch.columns[: len(carry)]]
             texts = folded(batch.column(len(carry)))
             rows = []
@@ -240,6 +242,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
 
 
 def op11_resampling(spark, sf_dir):
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, names = ranked(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select("doc_id", *(F.col(names[c]).alias(c) for c in ("n_features", "weight", "score", "rank")))
