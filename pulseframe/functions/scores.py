@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .training import clamp
+from .training import clamp, settled
 
 
 @dataclass(frozen=True)
@@ -65,11 +65,6 @@ class Scoring:
 DEFAULT = Scoring()
 
 
-def settled(x: Column, digits: int) -> Column:
-    """Rounded twice, so that the order of a sum doesn't decide about a half."""
-    return F.round(F.round(x, 9), digits)
-
-
 def z_score(x: Column, center: Column, scale: Column) -> Column:
     return F.try_divide(x - center, F.nullif(scale, F.lit(0.0)))
 

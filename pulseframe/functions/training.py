@@ -20,14 +20,24 @@ HR_MAX_RANGE, RESTING_RANGE = (120.0, 250.0), (25.0, 120.0)
 HR_MAX, RESTING_HR = 190.0, 60.0
 
 
+def settled(x: Column, digits: int) -> Column:
+    """Rounded twice, so that the order of a sum doesn't decide about a half."""
+    return F.round(F.round(x, 9), digits)
+
+
+def scaled(x: Column, digits: int) -> Column:
+    """Rounded as SQL engines round doubles: the scaled number is, so most means that miss a half by an ulp go up with it."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def pace(speed_kmh: Column) -> Column:
     """Minutes a kilometre."""
-    return F.when(speed_kmh > 0, F.round(60 / speed_kmh, 2))
+    return F.when(speed_kmh > 0, scaled(60 / speed_kmh, 2))
 
 
 def cadence(speed_kmh: Column, stride_m: Column) -> Column:
     """Steps a minute."""
-    return F.when((speed_kmh != 0) & (stride_m > 0), F.round(speed_kmh * 1000 / 60 / stride_m, 1))
+    return F.when((speed_kmh != 0) & (stride_m > 0), scaled(speed_kmh * 1000 / 60 / stride_m, 1))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -52,7 +62,7 @@ def trimp(minutes: Column, avg_hr: Column, rest: Column, hr_max: Column) -> Colu
 
 def drift(first: Column, second: Column) -> Column:
     """Percent by which the second half's ratio is above the first's."""
-    return F.when(first != 0, F.round((second - first) / first * 100, 1))
+    return F.when(first != 0, settled((second - first) / first * 100, 1))
 
 
 def percent_bounds(hr_max: float) -> list[tuple[str, float]]:
