@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import training as tr
 from ..functions.times import seconds
 from .dedup import real_workouts
+from .intervals import points_in
 
 
 def gap_weights(samples: DataFrame, by: list[str], at: str = "start_ts", cap: int = 60, tie: str = "row_hash") -> DataFrame:
@@ -40,6 +43,26 @@ def time_in_zones(samples: DataFrame, by: list[str], models: dict[str, list[tupl
     return full.select(*by, "model", "zone", "seconds", F.round(F.col("seconds") / 60, 1).alias("minutes"), share.alias("share"))
 
 
+def zones_of_spans(samples: DataFrame, spans: DataFrame, by: list[str], start: str, end: str, models: dict[str, list[tuple[str, float]]], cap: int = 60, tie: str = "row_hash") -> DataFrame:
+    """``time_in_zones`` of every span (by, start, end; both ends included).
+
+    A sample's gap to the next is the same in every span but for the span's last one, which weighs nothing. So gaps are
+    taken once, an instant's samples are one row, and a span adds up its instants less the last, without sorting them.
+    """
+    weighted = gap_weights(samples, by, cap=cap, tie=tie)
+    every = [(m, z, bounds) for m, bounds in models.items() for z, _ in bounds]
+    spent = [F.coalesce(F.sum(F.when(tr.zone_of(F.col("value"), bounds) == z, F.col("seconds"))), F.lit(0)).alias(f"_z{i}") for i, (_, z, bounds) in enumerate(every)]
+    instants = weighted.groupBy(*by, F.col("start_ts").alias("_at")).agg(F.count("value").alias("_known"), *spent)
+    inside = points_in(instants, spans.select(*by, start, end), by, "_at", start, end, True)
+    whole = [(F.sum(f"_z{i}") - F.max_by(f"_z{i}", "_at")).alias(f"_z{i}") for i in range(len(every))]
+    told = inside.groupBy(*by, start, end).agg(F.sum("_known").alias("_known"), *whole).filter("_known > 0")
+    total = {m: reduce(add, [F.col(f"_z{i}") for i, (own, _, _) in enumerate(every) if own == m]) for m in models}
+    rows = [F.struct(F.lit(m).alias("model"), F.lit(z).alias("zone"), F.col(f"_z{i}").alias("seconds"), total[m].alias("total")) for i, (m, z, _) in enumerate(every)]
+    out = told.select(*by, start, end, F.explode(F.array(*rows)).alias("_one")).select(*by, start, end, "_one.*")
+    share = F.coalesce(F.round(F.try_divide(F.col("seconds"), F.col("total")), 3), F.lit(0.0))
+    return out.select(*by, start, end, "model", "zone", "seconds", F.round(F.col("seconds") / 60, 1).alias("minutes"), share.alias("share"))
+
+
 def zones_of_pairs(pairs: DataFrame, by: list[str], bounds: list[tuple[str, float]], bpm: str = "bpm", width: str = "seconds") -> DataFrame:
     """Time in zones from (bpm, seconds), such as the bins of a series."""
     known = pairs.filter(F.col(bpm).isNotNull())

@@ -35,3 +35,24 @@ def test_a_crowded_night_has_the_rate_of_one_by_one(spark, monkeypatch):
     monkeypatch.setattr(recovery, "NIGHT_ROWS", 0)
     counted = rows()
     assert len(single) == 1 and single[0].valid_windows == counted[0].valid_windows > 5 and abs(single[0].value - counted[0].value) < 1e-9
+
+
+def test_zones_and_splits_of_equal_spans(spark):
+    from pulseframe.operators import zones
+    from pulseframe.plans.tools import workout_details
+
+    draw = random.Random(9)
+    records = spark.createDataFrame(
+        [(1, i, draw.choice(["heart_rate", "distance_walking_running"]), T0 + dt.timedelta(seconds=20 * draw.randrange(90)), draw.choice([0.25, 120.0, 160.0, None])) for i in range(200)], "subject_id int, row_hash int, type string, start_ts timestamp, value double"
+    )
+    chosen = spark.createDataFrame([(1, n, moment(a), moment(b)) for n, (a, b) in enumerate([(0, 12), (0, 12), (5, 5), (7, 40), (50, 60)])], "subject_id int, row_hash int, start_ts timestamp, end_ts timestamp")
+    told = workout_details(chosen, records, records, include="zones splits")
+    spans = chosen.select("subject_id", F.col("row_hash").alias("workout"), F.col("start_ts").alias("ws"), F.col("end_ts").alias("we"))
+    inside = intervals.points_in(records, spans, ["subject_id"], "start_ts", "ws", "we", True)
+    models = {"percent": zones.tr.percent_bounds(190.0), "training": zones.tr.named_bounds(None)}
+    plain = zones.time_in_zones(inside.filter("type = 'heart_rate'"), ["workout"], models)
+    assert sorted(map(tuple, told["zones"].collect())) == sorted(map(tuple, plain.collect()))
+    splits = {n: sorted(tuple(r)[1:] for r in told["splits"].filter(F.col("workout") == n).collect()) for n in (0, 1)}
+    assert splits[0] and splits[0] == splits[1]
+    for part in ("zones", "splits"):  # no window over one workout's samples
+        assert "windowspecdefinition(workout" not in told[part]._jdf.queryExecution().toString()
