@@ -55,9 +55,9 @@ def retried_batches(t: Tables) -> DataFrame:
         if number == 1:
             raise ValueError("not in order")
 
-    for part in range(3):
-        t.rec.filter(F.col("row_hash") % 3 == part).select(line.alias("value")).coalesce(1).write.mode("append").option("compression", "gzip").text(f"{folder}/landing")
-        delta.start(spark, f"{folder}/landing", store, f"{folder}/checkpoint", accept=refuse, files=1).awaitTermination()
+    for part in range(3):  # however many files a part is, they are one batch
+        t.rec.filter(F.col("row_hash") % 3 == part).select(line.alias("value")).write.mode("append").option("compression", "gzip").text(f"{folder}/landing")
+        delta.start(spark, f"{folder}/landing", store, f"{folder}/checkpoint", accept=refuse, files=100_000).awaitTermination()
     before = store.rows("records")
     delta.retry_failed(store)
     again = delta.retry_failed(store)

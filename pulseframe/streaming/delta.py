@@ -28,7 +28,8 @@ def import_batch(store: Store, lines: DataFrame, batch_id: int, subject: str = "
 
     ``run`` names the stream; a batch that the stream repeats adds nothing and replaces what it set aside.
     """
-    held = lines.persist()
+    # a gzip file is read by one task; what is done with its lines is dealt out
+    held = lines.repartition(2 * lines.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         bad = rejected(held)
         if bad.limit(1).count():
