@@ -71,17 +71,24 @@ def points_in(points: DataFrame, spans: DataFrame, on: list[str], at: str, start
     return joined.filter(inside & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end))))
 
 
-def covering(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, block: Column) -> DataFrame:
+def covering(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, block: Column | None = None) -> DataFrame:
     """``points`` that some interval holds (start <= at < end), with ``_times``: how many do.
 
     A running count of starts and ends in order of time, not a row for each pair, so intervals that lie over one
-    another cost nothing. ``block`` is of ``at`` (see ``scans.running``).
+    another cost nothing. Without ``block`` a group (a night, say) is one sort and all is shuffled once, by ``on``;
+    where a group's history is long, give a ``block`` of ``at`` (see ``scans.running``).
     """
     held = spans.filter(F.col(end) > F.col(start))
     turns = held.select(*on, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("n")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("n")))).alias("_turn"))
-    turns = turns.groupBy(*on, F.col("_turn.t").alias(at)).agg(F.sum("_turn.n").alias("_turns"))
+    if block is None:
+        turns = turns.select(*on, F.col("_turn.t").alias(at), F.col("_turn.n").cast("long").alias("_turns"))
+    else:
+        turns = turns.groupBy(*on, F.col("_turn.t").alias(at)).agg(F.sum("_turn.n").alias("_turns"))
     both = points.withColumn("_point", F.lit(1)).unionByName(turns.withColumn("_point", F.lit(0)), allowMissingColumns=True)
-    run = scans.running(both, on, [at, "_point"], block, {"_times": scans.Scan("sum", F.col("_turns"))})
+    if block is None:
+        run = both.withColumn("_times", F.sum("_turns").over(Window.partitionBy(*on).orderBy(at, "_point").rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        run = scans.running(both, on, [at, "_point"], block, {"_times": scans.Scan("sum", F.col("_turns"))})
     return run.filter("_point = 1 AND _times > 0").drop("_point", "_turns")
 
 

@@ -56,3 +56,19 @@ def test_zones_and_splits_of_equal_spans(spark):
     assert splits[0] and splits[0] == splits[1]
     for part in ("zones", "splits"):  # no window over one workout's samples
         assert "windowspecdefinition(workout" not in told[part]._jdf.queryExecution().toString()
+
+
+def test_a_nights_samples_are_read_once_and_not_shuffled_to_it(spark, tmp_path):
+    sleep = spark.createDataFrame([(1, moment(0), moment(300), "core"), (1, moment(1500), moment(1900), "asleep"), (1, moment(1440), moment(1950), "in_bed")], "k int, start_ts timestamp, end_ts timestamp, stage string")
+    spark.createDataFrame([(1, moment(n * 5), kind, 50.0 + n % 40) for n in range(400) for kind in ("heart_rate", "hrv")], "k int, start_ts timestamp, type string, value double").write.parquet(f"{tmp_path}/readings")
+    readings = spark.read.parquet(f"{tmp_path}/readings")
+    told = recovery.night_inputs(sleep, readings, ["k"])
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("type:string,value:double") == 2
+    assert plan.count("BroadcastHashJoin [k") >= 2
+    alone = recovery.sleeping_rate(sleep, readings, ["k"], least_hours=0.5)
+    assert alone._jdf.queryExecution().executedPlan().toString().count("value:double") == 1
+    rows = {r.night.day: (r.value, r.source, r.valid_windows) for r in alone.collect()}
+    second = sorted(50.0 + n % 40 for n in range(300, 380))
+    low = second[3] + 0.95 * (second[4] - second[3])  # at rank 0.05 * 79
+    assert rows[2] == (50.5, "stage_restricted", 59) and rows[3][1:] == ("p5_fallback", None) and abs(rows[3][0] - low) < 1e-9
