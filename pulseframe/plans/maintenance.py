@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import utc_second
-from ..operators.dedup import collapsed, real_steps
+from ..operators.dedup import first_of, real_steps
 from ..schema import TABLES
 from ..sources.commits import Conflict
-from ..sources.sink import MONTH, TIMES, Store, hashed
+from ..sources.sink import MONTH, PACKED, TIMES, Store, hashed
 
 
 def link_counts(events: DataFrame, workouts: DataFrame) -> DataFrame:
@@ -60,13 +60,16 @@ def rebuild(store: Store, name: str, max_collapse: float = 0.01) -> dict:
     state, own = store.state(), f"{name}/import=rebuilt-{uuid.uuid4().hex}"
     version, old = state["version"], store.read(name, state)
     linked = lambda events, workouts: link_counts(events, workouts.select(F.col("row_hash").alias("workout_hash"), "row_hash")).first().asDict()
+    # of rows with one new hash the one with the smallest old hash; hashes travel as bytes, and an old one only where it differs
     now = hashed(name, old.withColumn("_old", F.col("row_hash")))
-    fresh = collapsed(now.withColumn("_fresh", F.col("row_hash")).withColumn("row_hash", F.col("_old")), F.col("_fresh")).select(*TABLES[name].names)
+    before = F.when(F.col("_old") < F.col("row_hash"), 0).when(F.col("_old") == F.col("row_hash"), 1).otherwise(2).cast("byte")
+    now = now.select("*", F.unhex("row_hash").alias("_new"), before.alias("_place_of_old")).withColumn("_old", F.nullif(F.col("_old"), F.col("row_hash"))).drop("row_hash")
+    fresh = first_of(now, ["_new"], ["_place_of_old", "_old"]).withColumn("row_hash", F.lower(F.hex("_new"))).select(*TABLES[name].names)
     if name in TIMES:
         fresh = fresh.withColumn(MONTH, F.coalesce(F.substring(utc_second(F.col(TIMES[name])), 1, 7), F.lit("none")))
-    fresh.write.partitionBy(*([MONTH] if name in TIMES else [])).parquet(store.path(own))
+    fresh.write.partitionBy(*([MONTH] if name in TIMES else [])).parquet(store.path(own), compression=PACKED)
     new = store.spark.read.schema(fresh.schema).parquet(store.path(own))
-    told = new.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("row_hash").alias("hashes")).first()
+    told = new.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.unhex("row_hash")).alias("hashes")).first()
     before = after = {"orphans": 0}
     if name == "workouts":
         events = store.read("workout_events", state)
