@@ -71,6 +71,24 @@ def points_in(points: DataFrame, spans: DataFrame, on: list[str], at: str, start
     return joined.filter(inside & ((F.col(at) <= F.col(end)) if closed else (F.col(at) < F.col(end))))
 
 
+def cells(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, bucket: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """``points`` and ``spans`` with _size and _block, so that a span's points all have its own.
+
+    A span is one row, in the block of its start, of the smallest of SIZES sizes (GROWTH times as long each) that is
+    as long as the span. So it ends in the next block at the latest: a point is in its own block and the one before.
+    """
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    first, last = seconds(F.col(start)), seconds(F.col(end))
+    fits = [F.when(last - first <= bucket * GROWTH**k, F.lit(bucket * GROWTH**k).cast("long")) for k in range(SIZES)]
+    sized = spans.filter(known & (F.col(end) >= F.col(start))).withColumn("_size", F.coalesce(*fits))
+    used = sized.agg(F.collect_set("_size").alias("_sizes")).scalar()  # a scalar subquery: SIZES numbers at most
+    own = F.floor(seconds(F.col(at)) / F.col("_size"))
+    placed = points.filter(known & F.col(at).isNotNull()).withColumn("_sizes", used).withColumn("_size", F.explode("_sizes")).drop("_sizes")
+    return placed.withColumn("_block", F.explode(F.array(own, own - 1))), sized.withColumn("_block", F.floor(first / F.col("_size")))
+
+
 def covering(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, block: Column | None = None) -> DataFrame:
     """``points`` that some interval holds (start <= at < end), with ``_times``: how many do.
 
